@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup
+from . import linededup, neardup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,18 @@ def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_superminhash": op1_superminhash}
+    return {
+        "op1_superminhash": op1_superminhash,
+        "op4_line_bitmaps": op4_line_bitmaps,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_line_bitmaps": linededup.ORACLE_SQL,
+    }
