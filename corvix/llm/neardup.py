@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,13 @@ from ._common import as_bytes, dropped, runs, spread_join, written
 from .components import UnionFind, connected_components
 
 WIDTH = 5
-BANDS = 25
-ROWS = 4
-#: Classes whose texts one task compares at once.
-BLOCK = 64
-#: Up to this many document ids (16 bytes each) are broadcast to pick out candidates' texts.
-BROADCAST_IDS = 500_000
-WORDS_KEPT = 300_000
+#: Bands at most, and the share of pairs at the threshold that may agree on none of them.
+BANDS, MISSED = 32, 1e-5
+#: Classes of a candidate component that one task compares at once, and members that it compares with a pivot.
+GROUP, BLOCK = 128, 64
+#: Up to this many document ids (8 bytes each) are broadcast to pick out candidates' texts.
+BROADCAST_IDS = 100_000
+WORDS_KEPT = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,6 +87,18 @@ def superminhash(x: np.ndarray, m: int) -> np.ndarray:
     return h
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows for which at most 32 bands miss a pair at the threshold once in 100,000."""
+    best = (BANDS, 1)
+    for rows in range(1, 64):
+        agree = (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log1p(-agree)) if agree < 1 else 1
+        if bands > BANDS:
+            break
+        best = (bands, rows)
+    return best
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> list[int]:
     """One signed 64-bit key for each band; keys of different bands differ."""
     parts = signature.reshape(bands, rows)
@@ -171,33 +184,32 @@ def _links_to_pivot(width: int, percent: int):
     return run
 
 
-def _texts(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """groups with the text of each `rep`, sorted by `grp`."""
-    few = groups.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, text) of the documents with the ids in column `rep`."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    joined = texts.join(F.broadcast(groups) if few else groups, "rep")
-    return joined.repartition("grp").sortWithinPartitions("grp")
+    return texts.join(F.broadcast(ids) if few else ids, "rep")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text, ...).
 
     Documents whose sets of `width`-word shingles have 100 * intersection >= percent * union are
     linked; component_id is the smallest doc_id of a document's component, kept says whether it is the
     document's own.
 
-    Equal sets are one class, so copies cost nothing further. Each class has a SuperMinHash signature of
-    bands * rows components; classes that agree on a whole band are candidates (at a similarity of 0.8
-    one of a million pairs agrees on none of 25 bands of 4). Links are confirmed on full sets. Candidate
-    components of up to 64 classes are compared within one task, without comparing what is connected
-    already. In larger ones every bucket is compared with a few pivots at a time, in blocks of 64
-    members, and drops them afterwards, until what is left of it is connected; so large groups of near
-    copies cost few comparisons, and no pair of a bucket is left out that could change a component.
+    Equal sets are one class, so copies cost nothing further. Each class has a SuperMinHash signature;
+    classes that agree on a whole band are candidates (see banding()). Links are confirmed on full sets.
+    Candidate components of up to 128 classes are compared within one task, without comparing what is
+    connected already. In larger ones every bucket is compared with some pivots at a time, in blocks of
+    64 members, and drops them afterwards, until what is left of it is connected; so no pair of a
+    bucket is left out that could change a component.
 
     Null and empty texts, and those without words, have empty sets and are their own component. Rows
     with a null doc_id have a null component_id and are kept. Rows that share a doc_id are separate
     rows of one node. An empty table gives no rows. Other columns are ignored.
     """
+    bands, rows = banding(percent)
     run, kind = _signed(width, bands, rows)
     signed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
@@ -211,9 +223,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, band
     candidates = connected_components(members.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     sizes = candidates.groupBy("label").agg(F.count("*").alias("n"))
     grouped = written(spread_join(candidates, sizes.withColumn("size", F.col("n")), ["label"], "n", ["node"], candidates.count()), "grouped")
-    small = grouped.where(F.col("size") <= BLOCK).select(F.col("node").alias("rep"), F.col("label").alias("grp"))
-    links = written(_texts(docs, small).select("grp", "rep", "text").mapInArrow(_links_within(width, percent), "a long, b long"), "links")
-    large = grouped.where(F.col("size") > BLOCK).select(F.col("node").alias("rep"))
+    small = grouped.where(F.col("size") <= GROUP).select(F.col("node").alias("rep"), F.col("label").alias("grp"))
+    texts = _texts(docs, small).repartition("grp").sortWithinPartitions("grp").select("grp", "rep", "text")
+    links = written(texts.mapInArrow(_links_within(width, percent), "a long, b long"), "links")
+    large = grouped.where(F.col("size") > GROUP).select(F.col("node").alias("rep"))
     if not large.isEmpty():
         links = links.union(_large_links(docs, large, members, width, percent))
     labels = connected_components(links)
@@ -229,17 +242,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, band
 def _large_links(docs: DataFrame, large: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that connect the members of large candidate components as all links would.
 
-    Each round takes, in every open bucket, the members in most and largest buckets as pivots (1, then 4,
-    16, ...), compares them with all members that have another label, relabels, and drops the pivots.
+    Each round takes, in every open bucket, the members in most and largest buckets as pivots (4, then 32,
+    256, ...), compares them with all members that have another label, relabels, and drops the pivots.
     A bucket is closed when its remaining members have one label.
     """
+    texts = written(_texts(docs, large), "texts")
     opened = written(members.join(large, "rep", "left_semi").select("bucket", "rep", "size"), "open")
     weight = opened.groupBy("rep").agg(F.sum("size").alias("weight"))
     opened, before = written(opened.join(weight, "rep").select("bucket", "rep", "weight"), "open"), opened
     dropped(before)
     labels = written(large.select("rep", F.col("rep").alias("label")).distinct(), "labels")
     found: list[DataFrame] = []
-    pivots = 1
+    pivots = 4
     while not opened.isEmpty():
         best = W.partitionBy("bucket").orderBy(F.desc("weight"), "rep")
         chosen = opened.withColumn("at", F.row_number().over(best)).where(F.col("at") <= pivots)
@@ -256,7 +270,8 @@ def _large_links(docs: DataFrame, large: DataFrame, members: DataFrame, width: i
         block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
         pairs = written(pairs.select("rep", "pivot", F.xxhash64("pivot", block).alias("grp")), "pairs")
         groups = pairs.union(pairs.select(F.col("pivot").alias("rep"), "pivot", "grp").distinct())
-        links = written(_texts(docs, groups).select("grp", "pivot", "rep", "text").sortWithinPartitions("grp", "pivot").mapInArrow(_links_to_pivot(width, percent), "a long, b long"), "links")
+        blocks = groups.join(texts, "rep").repartition("grp").sortWithinPartitions("grp").select("grp", "pivot", "rep", "text")
+        links = written(blocks.mapInArrow(_links_to_pivot(width, percent), "a long, b long"), "links")
         found.append(links)
 
         merged = connected_components(_relabelled(links, labels))
@@ -268,7 +283,8 @@ def _large_links(docs: DataFrame, large: DataFrame, members: DataFrame, width: i
         still = spread_join(rest, state.withColumn("open", F.col("lo") != F.col("hi")), ["bucket"], "n", ["rep"], total).where("open")
         opened, before = written(still.select("bucket", "rep", "weight"), "open"), opened
         dropped(before, chosen)
-        pivots *= 4
+        pivots *= 8
+    dropped(opened, texts)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, neardup
+from . import decontaminate, language, linededup, neardup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,18 +16,34 @@ def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_superminhash": op1_superminhash,
+        "op3_family_svm": op3_family_svm,
         "op4_line_bitmaps": op4_line_bitmaps,
+        "op5_suffix_automaton": op5_suffix_automaton,
+        "op10_boosted_toxicity": op10_boosted_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_bitmaps": linededup.ORACLE_SQL,
+        "op5_suffix_automaton": decontaminate.ORACLE_SQL,
     }
