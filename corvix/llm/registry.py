@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, neardup, toxicity
+from . import decontaminate, language, linededup, neardup, packing, sharding, toxicity, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,10 @@ def op1_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,14 @@ def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -35,9 +48,12 @@ def op10_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_superminhash": op1_superminhash,
+        "op2_two_pass_shuffle": op2_two_pass_shuffle,
         "op3_family_svm": op3_family_svm,
         "op4_line_bitmaps": op4_line_bitmaps,
         "op5_suffix_automaton": op5_suffix_automaton,
+        "op6_tiered_packing": op6_tiered_packing,
+        "op7_wavelet_matrix": op7_wavelet_matrix,
         "op10_boosted_toxicity": op10_boosted_toxicity,
     }
 

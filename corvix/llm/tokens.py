@@ -27,11 +27,11 @@ class Encoder:
     its first. Nothing is cut anywhere else.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(definition)
         if '"use_regex":true' not in self.tokenizer.pre_tokenizer.__getstate__().decode().replace(" ", ""):
             raise ValueError("the tokenizer must be byte-level BPE")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
