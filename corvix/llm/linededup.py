@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import HOT_KEYS, hot_threshold
+from ._common import HOT_KEYS, hot_threshold, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,10 +40,10 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
     """
     lines = docs.select("doc_id", _row().alias("row_hash"), F.posexplode(F.transform(_lines(), _key)).alias("pos", "key"))
     lines = lines.where(F.char_length("key") >= least_chars)
-    lines = lines.select("doc_id", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    lines = written(lines.select("doc_id", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2")), "lines")
 
     counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    total = docs.select(F.sum(F.size(_lines()))).first()[0] or 0
+    total = lines.count()
     hot = counts.where(F.col("n") > hot_threshold(total)).select("h1", "h2").collect()
     assert len(hot) <= max(HOT_KEYS, total)
     rest, gone_hot = lines, None
