@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, neardup, packing, sharding, toxicity, vafile, wavelet
+from . import decontaminate, language, linededup, neardup, packing, ppm, sharding, toxicity, vafile, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.digest(_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +62,7 @@ def queries() -> dict:
         "op5_suffix_automaton": op5_suffix_automaton,
         "op6_tiered_packing": op6_tiered_packing,
         "op7_wavelet_matrix": op7_wavelet_matrix,
+        "op8_ppm": op8_ppm,
         "op9_va_file": op9_va_file,
         "op10_boosted_toxicity": op10_boosted_toxicity,
     }
