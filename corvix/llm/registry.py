@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,7 @@ def queries() -> dict:
         "op8_ppm": op8_ppm,
         "op9_va_file": op9_va_file,
         "op10_boosted_toxicity": op10_boosted_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
