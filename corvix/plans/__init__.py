@@ -1 +1 @@
-
+"""Configuration, query pipeline, searcher, service and distributed builds."""

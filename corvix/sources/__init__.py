@@ -1 +1 @@
-
+"""Readers, writers, generators, artifact layout and manifests."""
