@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError
-from ..functions.vectors import shown, squared_l2
+from ..functions.vectors import shown
 from ..plans.config import PqParams
 from .ivf import kmeans
 from .scan import Scorer, matrix, ranked, scan
@@ -82,10 +82,21 @@ def reconstruct(coded: DataFrame, codebook: DataFrame) -> DataFrame:
 
 def distance_table(queries: DataFrame, codebook: DataFrame) -> DataFrame:
     """(qid, m, code, d): squared L2 of each query's sub-vectors to each code."""
-    width = F.size("centroid")
-    part = F.slice("q", F.col("m") * width + 1, width)
-    joined = queries.crossJoin(F.broadcast(codebook))  # a codebook has 256 codes a sub-space at most
-    return joined.select("qid", "m", "code", squared_l2(part, F.col("centroid")).alias("d"))
+    shared = queries.sparkSession.sparkContext.broadcast(loaded(codebook))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = shared.value
+        m, k, width = book.shape
+        for batch in batches:
+            q = matrix(batch["q"])
+            gap = q.reshape(len(q), m, 1, width) - book[None]
+            d = (gap * gap).sum(3).ravel()
+            names = np.repeat(batch["qid"].to_numpy(zero_copy_only=False), m * k)
+            columns = [pa.array(names, pa.int64()), pa.array(np.tile(np.repeat(np.arange(m), k), len(q)), pa.int32()), pa.array(np.tile(np.arange(k), m * len(q)), pa.int32()), pa.array(d)]
+            yield pa.RecordBatch.from_arrays(columns, names=["qid", "m", "code", "d"])
+
+    given = queries.select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q"))
+    return given.mapInArrow(run, "qid long, m int, code int, d double").where(F.col("d") < float("inf"))
 
 
 def adc_scorer(book: np.ndarray) -> Scorer:

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..errors import ConfigError
 from ..evaluation.metrics import prefetch
@@ -86,4 +85,4 @@ def warm(shards: DataFrame, probes: DataFrame, policy: PrefetchPolicy) -> DataFr
     if not policy.enabled:
         return shards.limit(0)
     names = prefetch(probes, policy.min_query_count).select("shard_id")
-    return shards.join(F.broadcast(names), "shard_id", "left_semi").persist()
+    return shards.join(names, "shard_id", "left_semi").persist()

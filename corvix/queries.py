@@ -400,11 +400,10 @@ def q_shard_encoded_len(spark, sf):
 
 
 def q_cost_metrics(spark, sf):
-    total = q_shard_encoded_len(spark, sf).agg(F.sum("raw_bytes").alias("disk_raw"), F.sum("pq_bytes").alias("disk_pq"))
-    n = vectors(spark, sf).agg(F.count("*").alias("n"))
+    sizes = q_shard_encoded_len(spark, sf).join(_sizes(spark, sf), "shard_id")
+    total = sizes.agg(F.sum("raw_bytes").alias("disk_raw"), F.sum("pq_bytes").alias("disk_pq"), F.sum("vector_count").alias("n"))
     d, m, k = (F.lit(x).cast("long") for x in (DIMS, PQ_M, PQ_K))
-    both = total.crossJoin(n)  # one row each
-    return both.select("disk_raw", "disk_pq", scores.raw_memory(F.col("n"), d).alias("memory_raw"), scores.pq_memory(F.col("n"), d, m, k).alias("memory_pq"), F.lit(DIMS * 4 / PQ_M).alias("ratio_pq"))
+    return total.select("disk_raw", "disk_pq", scores.raw_memory(F.col("n"), d).alias("memory_raw"), scores.pq_memory(F.col("n"), d, m, k).alias("memory_pq"), F.lit(DIMS * 4 / PQ_M).alias("ratio_pq"))
 
 
 def q_worker_plan(spark, sf):

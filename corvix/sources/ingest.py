@@ -32,10 +32,10 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def profile(records: DataFrame) -> DataFrame:
     """One row on records (id, data, metadata): counts, least and most components, repeated ids."""
-    per_id = records.groupBy("id").agg(F.count("*").alias("n"))
-    repeated = per_id.agg(F.count_if(F.col("n") > 1).alias("repeated_ids"))
-    out = records.agg(F.count("*").alias("vector_count"), F.min(F.size("data")).cast("long").alias("min_dims"), F.max(F.size("data")).cast("long").alias("max_dims"), F.count("metadata").alias("with_metadata"))
-    return out.crossJoin(F.broadcast(repeated))  # one row each
+    size = F.size("data").cast("long")
+    per_id = records.groupBy("id").agg(F.count("*").alias("n"), F.min(size).alias("lo"), F.max(size).alias("hi"), F.count("metadata").alias("m"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per_id.agg(total("n").alias("vector_count"), F.min("lo").alias("min_dims"), F.max("hi").alias("max_dims"), total("m").alias("with_metadata"), F.count_if(F.col("n") > 1).alias("repeated_ids"))
 
 
 def dim_violations(records: DataFrame, dims: int) -> DataFrame:
