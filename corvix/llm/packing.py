@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Context sizes, powers of two, longest first.
 TIERS = (2048, 1024, 512, 256)
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(shared.value), Packer(tiers)
+        ids_of, packer = encoder(shared.value).encode, Packer(tiers)
         part = TaskContext.get().partitionId()
         held: dict[int, list] = {}  # place: doc_id, ids, ids not yet put out
         out: list[tuple] = []
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
 
         place = gathered = 0
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
                 ids += last
                 held[place] = [doc_id, ids, len(ids) // 4]
                 put(packer.route(place, len(ids) // 4))

@@ -4,27 +4,45 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
 #: A space between two characters that are no white space. Byte-level BPE starts a piece at each.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
-#: Parts whose ids a worker keeps; when there are more, those of over SHORT characters go.
-KEPT, SHORT = 400_000, 7
-#: Characters of texts worked on at once, if no text is longer.
-SLICE = 1 << 20
+#: Marks that are a piece of their own, all together, where they follow a letter and end a part.
+_MARKS = string.punctuation
+#: Parts whose ids a worker keeps (about 200 bytes each); when there are more, those of over SHORT characters go.
+KEPT, SHORT = 1_600_000, 7
+#: Characters of texts worked on at once, if no text is longer, and new parts encoded as one text.
+SLICE, TOGETHER = 1 << 20, 500
+
+
+class _Known(dict):
+    """Ids by part. A part that is new gets an empty array, to be filled before anything is read."""
+
+    def __init__(self, given: object = ()) -> None:
+        super().__init__(given)
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, part: str) -> bytearray:
+        self[part] = self.new[part] = out = bytearray()
+        return out
 
 
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids, without special tokens.
 
-    The pattern by which byte-level BPE cuts a text always starts a new piece at a space between two
-    other characters, and pieces are encoded one by one. So the parts between such spaces, each with its
-    space, have the same ids alone as within the text, and those of a part are kept for its next
-    occurrence. New parts are encoded as one text; the only token of a part that starts with a space is
-    its first. Nothing is cut anywhere else.
+    Byte-level BPE cuts a text by a pattern into pieces and encodes these one by one. A single white-space
+    character between two others always ends a piece; a space then belongs to the next one, a line
+    feed is a piece of its own. So the parts between them have the same ids alone as within the text, and
+    those of a part are kept for its next occurrence; so have marks that follow a letter at a part's end.
+    New parts are encoded some hundreds at a time as one text, where what separates them is found again: the
+    only token of a part after a space that starts with one is its first. Texts with an added token's
+    name in them are encoded whole.
     """
 
     def __init__(self, definition: str) -> None:
@@ -37,44 +55,85 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
         self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self._ids("\n")
+        self.known, self.heads, self.marks = _Known(), _Known(), _Known()
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        ids = self._ids(" " + " ".join(parts))
-        at = np.flatnonzero(self.starts[ids]).tolist()
-        if len(at) != len(parts):
-            raise ValueError("a part has more than one token that starts with a space")
-        data = ids.tobytes()
-        for part, a, b in zip(parts, at, [*at[1:], len(ids)]):
-            self.known[part] = data[4 * a : 4 * b]
+    def _together(self, parts: list[str], spaced: bool) -> dict[str, bytes]:
+        """Ids of parts, each after a space or at the start of a line."""
+        found: dict[str, bytes] = {}
+        groups = [parts[at : at + TOGETHER] for at in range(0, len(parts), TOGETHER)]
+        texts = [f" {' '.join(g)}" if spaced else "\n".join(g) for g in groups]
+        feed = np.frombuffer(self.feed, "<u4")[0]
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            at = np.flatnonzero(self.starts[ids] if spaced else ids == feed)
+            begins, ends = (at, np.append(at[1:], len(ids))) if spaced else (np.append(0, at + 1), np.append(at, len(ids)))
+            if len(begins) != len(group):
+                raise ValueError("parts can't be told apart")
+            data = ids.tobytes()
+            for part, a, b in zip(group, (4 * begins).tolist(), (4 * ends).tolist()):
+                found[part] = data[a:b]
+        return found
+
+    def _learn(self, known: _Known, spaced: bool) -> _Known:
+        """Ids of the parts that were met first since the last call, put where they were asked for."""
+        new, known.new = known.new, {}
+        marked, plain = [], set()
+        for part in new:
+            start = part.rstrip(_MARKS)
+            if len(start) < len(part) and start[-1:].isalpha():
+                marked.append((part, start, part[len(start) :]))
+                if start in new or start not in known:
+                    plain.add(start)
+            else:
+                plain.add(part)
+        found = self._together(list(plain), spaced)
+        for part, start, marks in marked:
+            tail = self.marks.get(marks)
+            if tail is None:
+                tail = self.marks[marks] = self._ids(marks)
+            found[part] = (found.get(start) or known[start]) + tail
+        for part, asked in new.items():
+            asked.extend(found[part])
+        if len(known) > KEPT:
+            short = {k: v for k, v in known.items() if len(k) <= SHORT and k not in new}
+            known = _Known(short if len(short) <= KEPT // 2 else ())
+        if len(self.marks) > KEPT:
+            self.marks = _Known()
+        known.update(found)
+        return known
 
     def _several(self, texts: list[str]) -> Iterator[bytes]:
-        heads, split = [], []
-        new: set[str] = set()
+        get, head = self.known.__getitem__, self.heads.__getitem__
+        work = []
         for text in texts:
-            odd = _RUN.search(text) or text[0].isspace() or text[-1].isspace()
-            head, *parts = _BREAK.split(text) if odd else text.split(" ")
-            if odd and any(" " in p for p in parts):  # such parts are rare and not worth keeping
-                heads.append(self._ids(text).tobytes())
-                parts = []
-            else:
-                heads.append(self._ids(head).tobytes())
-            split.append(parts)
-            new.update(parts)
-        new -= self.known.keys()
-        if new:
-            if len(self.known) + len(new) > KEPT:
-                self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
-                if len(self.known) > KEPT // 2:
-                    self.known = {}
-                new = {p for parts in split for p in parts} - self.known.keys()
-            self._learn(sorted(new))
-        find = self.known.__getitem__
-        for head, parts in zip(heads, split):
-            yield head + b"".join(map(find, parts))
+            if any(token in text for token in self.added):
+                work.append([self._ids(text)])
+                continue
+            if _RUN.search(text) or text[0].isspace() or text[-1].isspace():
+                first, *parts = _BREAK.split(text)
+                if any(" " in p for p in parts) or not first:  # such texts are rare
+                    work.append([self._ids(text)])
+                else:
+                    work.append([self._ids(first), *map(get, parts)])
+                continue
+            ids: list[bytes] = []
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                ids.append(head(parts[0]))
+                ids.extend(map(get, parts[1:]))
+                ids.append(self.feed)
+            ids.pop()
+            work.append(ids)
+        if self.known.new:
+            self.known = self._learn(self.known, True)
+        if self.heads.new:
+            self.heads = self._learn(self.heads, False)
+        return map(b"".join, work)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; null and empty ones have none."""
@@ -84,8 +143,13 @@ class Encoder:
             while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE):
                 size += len(texts[end] or "")
                 end += 1
-            given = [t for t in texts[at:end] if t]
-            found = self._several(given)
+            found = self._several([t for t in texts[at:end] if t])
             for t in texts[at:end]:
                 yield next(found) if t else b""
             at = end
+
+
+@lru_cache(maxsize=1)
+def encoder(definition: str) -> Encoder:
+    """The worker's encoder, with what it keeps; tasks that follow each other share it."""
+    return Encoder(definition)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import new_path
-from .tokens import Encoder
+from .tokens import encoder
 
 END = 2
 #: Ids in a block at most; a document with more goes on in the next block.
@@ -150,12 +150,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(shared.value), np.array([end], "<u4").tobytes()
+        ids_of, last = encoder(shared.value).encode, np.array([end], "<u4").tobytes()
         parts: list[bytes] = []
         listed: list[tuple[int | None, int]] = []
         room, number, before, shard = BLOCK, 0, 0, 0
         for batch in batches:
-            for shard, doc_id, ids in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist())):
+            for shard, doc_id, ids in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
                 ids += last
                 at, n = 0, len(ids) // 4
                 while at < n:
