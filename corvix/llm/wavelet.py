@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ._common import new_path
 from .tokens import encoder
 
 END = 2
-#: Ids in a block at most; a document with more goes on in the next block.
+#: Ids in a block at most; only documents with more are cut.
 BLOCK = 1 << 20
 #: Bits between two entries of a rank directory.
 STRIDE = 1 << 12
@@ -30,21 +32,30 @@ class WaveletMatrix:
 
     def __init__(self, planes: list[np.ndarray], n: int) -> None:
         self.planes, self.n = planes, n
-        self.zeros, self.ranks = [], []
-        for plane in planes:
-            bits = np.unpackbits(plane, count=n)
-            ones = np.add.reduceat(bits, np.arange(0, n, STRIDE), dtype=np.int64) if n else np.zeros(0, np.int64)
-            self.ranks.append(np.concatenate(([0], np.cumsum(ones))))
-            self.zeros.append(n - int(self.ranks[-1][-1]))
+
+    @cached_property
+    def ranks(self) -> list[np.ndarray]:
+        """Ones of each plane before every STRIDE-th place, and in all."""
+        out = []
+        for plane in self.planes:
+            bits = np.unpackbits(plane, count=self.n)
+            ones = np.add.reduceat(bits, np.arange(0, self.n, STRIDE), dtype=np.int64) if self.n else np.zeros(0, np.int64)
+            out.append(np.concatenate(([0], np.cumsum(ones))))
+        return out
+
+    @cached_property
+    def zeros(self) -> list[int]:
+        return [self.n - int(r[-1]) for r in self.ranks]
 
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
-        n, x = len(ids), ids.astype(np.uint32)
+        n, most = len(ids), int(ids.max(initial=0))
+        x = ids.astype(np.uint16 if most < 1 << 16 else np.uint32)
         planes = []
-        for shift in range(max(1, int(x.max(initial=0)).bit_length()) - 1, -1, -1):
-            bits = (x >> np.uint32(shift) & np.uint32(1)).astype(bool)
+        for shift in range(max(1, most.bit_length()) - 1, -1, -1):
+            bits = (x >> shift & 1).astype(bool)
             planes.append(np.packbits(bits))
-            x = np.concatenate((x[~bits], x[bits]))
+            x = np.concatenate((x.take(np.flatnonzero(~bits)), x.take(np.flatnonzero(bits))))
         return cls(planes, n)
 
     def bit(self, plane: int, at: int) -> int:
@@ -98,23 +109,23 @@ class WaveletMatrix:
 
     def decoded(self) -> np.ndarray:
         """The whole sequence: planes are undone from the last to the first."""
-        x = np.zeros(self.n, np.uint32)
+        x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for shift, plane in enumerate(reversed(self.planes)):
-            bits = np.unpackbits(plane, count=self.n).astype(bool)
-            zeros = self.n - int(np.count_nonzero(bits))
+            bits = np.unpackbits(plane, count=self.n).view(bool)
+            ones = np.flatnonzero(bits)
             before = np.empty_like(x)
-            before[~bits], before[bits] = x[:zeros], x[zeros:]
-            x = before | bits.astype(np.uint32) << np.uint32(shift)
+            before[np.flatnonzero(~bits)], before[ones] = x[: self.n - len(ones)], x[self.n - len(ones) :] | 1 << shift
+            x = before
         return x
 
     def to_bytes(self) -> bytes:
-        """Number of ids and planes (32 bits each, little-endian), then the planes, deflated."""
-        return np.array([self.n, len(self.planes)], "<u4").tobytes() + zlib.compress(b"".join(p.tobytes() for p in self.planes), 1)
+        """Number of ids and planes (32 bits each, little-endian), then the planes, compressed by Zstandard."""
+        return np.array([self.n, len(self.planes)], "<u4").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in self.planes))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         n, planes = np.frombuffer(data, "<u4", 2).tolist()
-        raw = np.frombuffer(zlib.decompress(data[8:]), np.uint8)
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8)
         return cls(list(raw.reshape(planes, -1)), n)
 
 
@@ -141,7 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     Documents are range-partitioned by doc_id; each partition is a shard and writes one file. A file is
     a Parquet container of blocks of at most a million ids: the documents' ids and the lengths of their
     parts in the block, how many ids of the first are in earlier blocks, whether the last one ends, and
-    the deflated wavelet matrix. Null texts are empty; every document ends with `end`. Null doc_ids come
+    the compressed wavelet matrix. Null texts are empty; every document ends with `end`. Null doc_ids come
     first; rows that share one are ordered by a hash of the text and follow each other. An empty table
     gives no block.
     """
@@ -158,6 +169,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
             for shard, doc_id, ids in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
                 ids += last
                 at, n = 0, len(ids) // 4
+                if room < n <= BLOCK:
+                    yield _block(shard, number, listed, before, True, parts)
+                    parts, listed, room, number, before = [], [], BLOCK, number + 1, 0
                 while at < n:
                     took = min(room, n - at)
                     listed.append((doc_id, took))
@@ -176,17 +190,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(run, BLOCKS).write.parquet(path)
 
 
-PARTS = "doc_id long, start long, at long, ids binary, whole boolean"
+PARTS = "doc_id long, start long, at long, n_tokens long, ids binary, ids_crc32 long, whole boolean"
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The documents in token files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit).
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """The documents in token files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32.
 
     start counts the ids of all documents before. A document of several blocks is put together from its
-    parts. Rows come in no set order.
+    parts. Without with_ids, ids of other documents are left null. Rows come in no set order.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    sizes = sorted(map(tuple, blocks.select("shard", "block", "n_tokens").collect()))  # three numbers for a million ids
+    sizes = sorted(map(tuple, blocks.select("shard", "block", "n_tokens").collect()))  # three numbers a block
     starts, total = {}, 0
     for shard, block, n in sizes:
         starts[shard, block] = total
@@ -208,20 +222,31 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 whole = [True] * len(ends)
                 whole[-1] = row["closes"]
                 whole[0] = whole[0] and not row["before"]
-                columns = [doc_ids, starts, at, [data[4 * a : 4 * b] for a, b in zip(begins, ends)], whole]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()])], names=_names(PARTS))
-
-    parts = blocks.select("shard", "block", "doc_ids", "no_id", "lengths", "before", "closes", "matrix").mapInArrow(run, PARTS)
-    cut = parts.where("not whole").groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    joined = F.aggregate(F.col("parts"), F.lit(b""), lambda all, x: F.concat(all, x["ids"]))
-    out = parts.where("whole").select("doc_id", "start", "ids")
-    if any(n >= BLOCK for _, _, n in sizes):
-        out = out.unionByName(cut.select("doc_id", "start", joined.alias("ids")))
-    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+                ids = [data[4 * a : 4 * b] for a, b in zip(begins, ends)]
+                crcs = [zlib.crc32(x) for x in ids]
+                if not with_ids:
+                    ids = [None if all else x for x, all in zip(ids, whole)]
+                columns = [doc_ids, starts, at, [b - a for a, b in zip(begins, ends)], ids, crcs, whole]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=_names(PARTS))
+
+    def decoded(some: DataFrame) -> DataFrame:
+        return some.select("shard", "block", "doc_ids", "no_id", "lengths", "before", "closes", "matrix").mapInArrow(run, PARTS)
+
+    uncut = (F.col("before") == 0) & F.col("closes")
+    names = ["doc_id", "start", "n_tokens", "ids", "ids_crc32"]
+    out = decoded(blocks.where(uncut)).select(names)
+    if not blocks.where(~uncut).isEmpty():
+        rest = decoded(blocks.where(~uncut))
+        parts = rest.where("not whole").groupBy("doc_id", "start").agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+        joined = F.aggregate(F.col("parts"), F.lit(b""), lambda all, x: F.concat(all, x["ids"]))
+        whole = parts.select("doc_id", "start", "n_tokens", joined.alias("ids")).withColumn("ids_crc32", F.crc32("ids"))
+        out = out.unionByName(rest.where("whole").select(names)).unionByName(whole.select(names))
+    return out
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per document, from token files that are written and read back."""
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer, path)
-    return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(docs.sparkSession, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
