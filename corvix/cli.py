@@ -26,6 +26,7 @@ from .sources.store import HadoopStore
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="corvix")
     out.add_argument("--root", default="./data")
+    out.add_argument("--output", choices=["json", "text"], default="json")
     sub = out.add_subparsers(dest="command", required=True)
 
     def command(name: str, *options: tuple[str, dict]) -> None:
@@ -67,11 +68,20 @@ def serve(service: Service) -> None:
                 print(json.dumps({"error": str(e)}), flush=True)
 
 
+def as_text(value: object, name: str = "") -> str:
+    """Nested values as lines `a.b: value`."""
+    if isinstance(value, dict):
+        return "\n".join(as_text(v, f"{name}.{k}" if name else str(k)) for k, v in value.items())
+    if isinstance(value, list) and any(isinstance(v, dict) for v in value):
+        return "\n".join(as_text(v, f"{name}[{i}]") for i, v in enumerate(value))
+    return f"{name}: {value}"
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("corvix").getOrCreate()
     store = HadoopStore(spark, a.root)
-    show = lambda x: print(json.dumps(x, indent=2, default=str))
+    show = lambda x: print(json.dumps(x, indent=2, default=str) if a.output == "json" else as_text(x))
     searcher = lambda alias: Searcher(store, resolve(store, alias))
     try:
         if a.command == "ingest":

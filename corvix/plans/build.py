@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,13 +12,13 @@ from ..errors import ConfigError, DimensionMismatch
 from ..evaluation.metrics import recall
 from ..functions.scores import pq_shard_bytes, raw_shard_bytes
 from ..operators import bm25, ivf, pq
-from ..operators.backends import IndexTables, backend
+from ..operators.backends import Backend, IndexTables, backend
 from ..operators.scan import knn
 from ..sources.ingest import dim_violations, read_dataset
 from ..sources.layout import key
 from ..sources.manifest import DatasetManifest, IndexManifest, ShardDef
 from ..sources.store import HadoopStore
-from .config import AnnFamily, BM25Params, DistanceMetric, FanOutPolicy, PqParams
+from .config import AnnFamily, BM25Params, DistanceMetric, FanOutPolicy, PqParams, check_metric
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,16 @@ class BuildParams:
 def check(dataset: DatasetManifest, params: BuildParams) -> None:
     if params.num_shards < 1:
         raise ConfigError("num_shards must be at least 1")
-    if (params.family == AnnFamily.IVF_PQ) != (params.pq is not None):
-        raise ConfigError("ivf_pq goes with pq parameters")
-    made = backend(params.family, **({"params": params.pq} if params.pq else params.family_params))
-    made.validate(dataset.dims, params.metric)
+    if params.family == AnnFamily.IVF_PQ and params.pq is None or params.family == AnnFamily.IVF_FLAT and params.pq is not None:
+        raise ConfigError("ivf_pq has pq parameters, ivf_flat has none")
+    if params.pq:
+        params.pq.check(dataset.dims)
+        check_metric(AnnFamily.IVF_PQ, params.metric)
+    made_for(params).validate(dataset.dims, params.metric)
+
+
+def made_for(params: BuildParams) -> Backend:
+    return backend(params.family, **({"params": params.pq} if params.family == AnnFamily.IVF_PQ else params.family_params))
 
 
 def fingerprints(rows: DataFrame, payload: str) -> DataFrame:
@@ -113,8 +119,9 @@ def recall_estimate(vectors: DataFrame, tables: IndexTables, params: BuildParams
     """Mean recall of sampled vectors as queries against the exact answer."""
     queries = ivf.seeds(vectors, params.recall_sample_size, params.kmeans_seed + 2).select(F.col("id").alias("qid"), F.col("data").alias("q"))
     truth = knn(vectors, queries, params.metric.value, params.recall_k)
-    made = backend(params.family, **({"params": params.pq} if params.pq else params.family_params))
-    found = made.search(tables, queries, params.metric, params.recall_k, FanOutPolicy(params.nprobe))
+    if tables.codebook is not None and params.family != AnnFamily.IVF_PQ:
+        tables = replace(tables, shards=pq.reconstruct(tables.shards, tables.codebook))
+    found = made_for(params).search(tables, queries, params.metric, params.recall_k, FanOutPolicy(params.nprobe))
     value = recall(truth, found).agg(F.avg("recall")).first()[0]
     return {"recall": value, "k": params.recall_k, "nprobe": params.nprobe, "sample_size": params.recall_sample_size}
 

@@ -13,11 +13,12 @@ from ..functions.vectors import shown
 from ..operators import ivf
 from ..operators.backends import Backend, Flat, IndexTables, resolve
 from ..operators.merge import merge, rerank, rerank_target, with_metadata
+from ..operators.pq import reconstruct
 from ..sources.ingest import read_dataset, read_metadata
 from ..sources.layout import key
 from ..sources.manifest import DatasetManifest, IndexManifest
 from ..sources.store import HadoopStore
-from .config import DistanceMetric, QueryConfig
+from .config import AnnFamily, DistanceMetric, QueryConfig
 
 Embed = Callable[[DataFrame], DataFrame]
 Rerank = Callable[[DataFrame, DataFrame, str, int], DataFrame]
@@ -92,10 +93,13 @@ class Searcher:
         shards = spark.read.parquet(store.path(key("index_shards", manifest.index_version)))
         self.shards = shards.persist() if cached else shards
         codebook = spark.read.parquet(store.path(manifest.codebook_key)) if manifest.codebook_key else None
-        self.tables = IndexTables(self.shards, spark.read.parquet(store.path(manifest.centroids_key)), codebook)
-        self.metric = DistanceMetric(manifest.metric)
         more = {"beam": manifest.params["beam"]} if "beam" in manifest.params else {}
         self.backend = resolve(manifest.algorithm, manifest.codec, **more)
+        rows = self.shards
+        if codebook is not None and self.backend.family != AnnFamily.IVF_PQ:  # other families scan approximate vectors
+            rows = reconstruct(rows, codebook)
+        self.tables = IndexTables(rows, spark.read.parquet(store.path(manifest.centroids_key)), codebook)
+        self.metric = DistanceMetric(manifest.metric)
 
     def _dataset(self) -> DatasetManifest:
         return DatasetManifest.load(self.store, self.manifest.dataset_version)

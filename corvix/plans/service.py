@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -14,6 +16,9 @@ from ..operators.hybrid import blend
 from .config import DistanceMetric, FanOutPolicy, HybridRankingPolicy, QueryConfig, QueryMode
 from .pipeline import QueryPlan, Searcher
 
+#: Upper bounds of the latency histogram, in seconds.
+BOUNDS = [0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
+
 
 @dataclass(frozen=True)
 class QueryRequest:
@@ -47,6 +52,8 @@ class Service:
     lexical: bm25.Bm25Index | None = None
     defaults: FanOutPolicy = field(default_factory=FanOutPolicy)
     counts: dict[str, int] = field(default_factory=dict)
+    seconds: list[int] = field(default_factory=lambda: [0] * (len(BOUNDS) + 1))
+    total_seconds: float = 0.0
 
     def resolve(self, r: QueryRequest) -> QueryConfig:
         """The checked configuration of a request, or ConfigError."""
@@ -90,6 +97,7 @@ class Service:
 
     def query(self, r: QueryRequest) -> QueryResponse:
         self.counts["requests"] = self.counts.get("requests", 0) + 1
+        began = time.perf_counter()
         try:
             config = self.resolve(r)
             # more candidates only where they are reranked, in hybrid queries too
@@ -107,6 +115,9 @@ class Service:
             raise
         names = [c for c in ("id", "score", "metadata") if c in out.columns]
         rows = out.where(F.col("rank") <= r.k).orderBy("rank").select(*names).collect()
+        took = time.perf_counter() - began
+        self.seconds[bisect.bisect_left(BOUNDS, took)] += 1
+        self.total_seconds += took
         return QueryResponse([x.asDict() for x in rows], self.searcher.manifest.index_version, config.mode.value)
 
     def query_plan(self, r: QueryRequest) -> QueryPlan:
@@ -122,3 +133,12 @@ class Service:
 
     def metrics(self) -> dict[str, int]:
         return dict(self.counts)
+
+    def prometheus(self) -> str:
+        """Counters and the latency histogram in Prometheus' text format."""
+        lines = [f"corvix_{name}_total {n}" for name, n in sorted(self.counts.items())]
+        below = 0
+        for bound, n in zip([*map(str, BOUNDS), "+Inf"], self.seconds):
+            below += n
+            lines.append(f'corvix_query_seconds_bucket{{le="{bound}"}} {below}')
+        return "\n".join([*lines, f"corvix_query_seconds_sum {self.total_seconds:.6f}", f"corvix_query_seconds_count {below}", ""])

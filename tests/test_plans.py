@@ -31,6 +31,7 @@ def built(spark, tmp_path_factory):
     flat = building.build(store, dataset, BuildParams("flat", DistanceMetric.EUCLIDEAN, num_shards=5, kmeans_iters=5, recall_sample_size=10))
     building.build(store, dataset, BuildParams("pq", DistanceMetric.EUCLIDEAN, AnnFamily.IVF_PQ, 5, 5, pq=PqParams(4, 16)))
     building.build(store, dataset, BuildParams("strided", DistanceMetric.EUCLIDEAN, AnnFamily.DISKANN, 5, 5, family_params={"beam": 8}))
+    building.build(store, dataset, BuildParams("both", DistanceMetric.EUCLIDEAN, AnnFamily.HNSW, 5, 5, recall_sample_size=5, pq=PqParams(4, 16)))
     publish(store, "latest", "flat")
     return store, dataset, flat
 
@@ -96,7 +97,7 @@ def test_build_and_search(built):
     assert out.where("metadata IS NULL").count() == 0
     plan = searcher.plan(asked(store, dataset, 2), QueryConfig(fan_out=FanOutPolicy(3, 1)))
     assert (plan.centroids.count(), plan.shards.count()) == (6, 2)
-    for name in ("pq", "strided"):
+    for name in ("pq", "strided", "both"):
         s = Searcher(store, IndexManifest.load(store, name))
         assert s.search(asked(store, dataset), QueryConfig(top_k=4)).groupBy("qid").count().where("count != 4").count() == 0
     coded = Searcher(store, IndexManifest.load(store, "pq"))
@@ -187,6 +188,7 @@ def test_service(built, spark):
             service.query(request)
     assert service.metrics() == {"requests": 3 + len(bad), "errors": len(bad)}
     assert service.health()["status"] == "ok"
+    assert "corvix_query_seconds_count 3" in service.prometheus() and 'le="+Inf"} 3' in service.prometheus()
 
 
 def test_harness(built, spark):
@@ -254,6 +256,7 @@ def test_cli(spark, tmp_path, capsys):
     assert run("eval-ann", "--max-queries", "2", "--nprobe", "3") == 0
     assert json.loads(capsys.readouterr().out)["recall"] == 1.0
     assert run("publish", "--index", "none") == 2
+    assert cli.as_text({"a": {"b": 1}, "c": [{"d": 2}]}) == "a.b: 1\nc[0].d: 2"
 
 
 def test_streaming(spark, tmp_path):
