@@ -49,13 +49,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing reads any more."""
     for t in tables:
-        spark, path = t.sparkSession, t._corvix_path
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(t.sparkSession, t._corvix_path)
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all tables of written(), of this session and others; results that read them are void."""
+    _delete(spark, f"{shared_dir(spark)}/corvix")
 
 
 def broadcast_if(df: DataFrame, most: int) -> DataFrame:

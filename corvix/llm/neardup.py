@@ -18,8 +18,10 @@ from .components import UnionFind, connected_components
 WIDTH = 5
 #: Bands at most, and the share of pairs at the threshold that may agree on none of them.
 BANDS, MISSED = 32, 1e-5
-#: Classes of a candidate component that one task compares at once, and members that it compares with a pivot.
-GROUP, BLOCK = 128, 64
+#: Classes of a candidate component that one task compares at once, and their shingles.
+GROUP, PART = 4096, 2_000_000
+#: Members of a larger component that a task compares with a pivot.
+BLOCK = 64
 #: Up to this many document ids (8 bytes each) are broadcast to pick out candidates' texts.
 BROADCAST_IDS = 100_000
 WORDS_KEPT = 100_000
@@ -146,25 +148,65 @@ def _members(rows: list[dict], words: dict, width: int) -> tuple[list[int], list
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (by place) that connect sets as all their links would.
+
+    Sets that can't have a link, because too many of their shingles are in no other set (see _linkable()),
+    are left out. Of the others one after another is compared with all, by counting how often each set
+    occurs among the holders of its shingles; first the one with the most common shingles, then sets
+    that are not in the largest component of those not yet compared. When these are one component, no
+    pair is left that could change one.
+    """
+    m, n = len(sets), np.array([len(x) for x in sets])
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(m), n)
+    alive = np.ones(m, bool)
+    while True:
+        held = np.bincount(shingle[alive[owner]], minlength=int(shingle.max()) + 1)
+        own = np.bincount(owner[held[shingle] == 1], minlength=m)
+        bad = alive & (100 * (n - own) < percent * n)
+        if not bad.any():
+            break
+        alive &= ~bad
+    left = alive[owner]
+    holders = owner[left][np.argsort(shingle[left], kind="stable")]
+    first = np.concatenate(([0], np.cumsum(held)[:-1]))
+    begins = np.concatenate(([0], np.cumsum(n)[:-1]))
+    label, links = np.arange(m), []
+    weight = np.bincount(owner, held[shingle], m) / np.maximum(n, 1)
+    todo = alive.copy()
+    nxt = int(np.where(alive, weight, -1).argmax())
+    while todo.any():
+        own = shingle[begins[nxt] : begins[nxt] + n[nxt]]
+        counts, starts = held[own], first[own]
+        at = np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        common = np.bincount(holders[at], minlength=m)
+        near = np.flatnonzero(alive & (100 * common >= percent * (n + n[nxt] - common)))
+        for other in np.unique(label[near]).tolist():
+            if other != label[nxt]:
+                links.append((nxt, int(near[label[near] == other][0])))
+        label[np.isin(label, label[near])] = label[nxt]
+        todo[nxt] = False
+        rest = np.flatnonzero(todo)
+        if not len(rest):
+            break
+        apart = rest[label[rest] != np.bincount(label[rest]).argmax()]
+        if not len(apart):
+            break
+        nxt = int(apart[0])
+    return links
+
+
 def _links_within(width: int, percent: int):
-    """Links that span each bounded group's components; a pair already connected isn't compared."""
+    """group_links() of each bounded group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for rows in runs(batches, "grp"):
             ids, sets = _members(rows, words, width)
-            joined, a, b = UnionFind(), [], []
-            order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
-            for x, i in enumerate(order):
-                for k in order[x + 1 :]:
-                    if 100 * len(sets[i]) < percent * len(sets[k]):
-                        break
-                    if joined.find(ids[i]) != joined.find(ids[k]) and similar(sets[i], sets[k], percent):
-                        joined.union(ids[i], ids[k])
-                        a.append(ids[i])
-                        b.append(ids[k])
-            if a:
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=EDGES)
+            links = group_links(sets, percent) if len(ids) > 1 else []
+            if links:
+                yield pa.record_batch([pa.array([ids[x] for x, _ in links], pa.int64()), pa.array([ids[y] for _, y in links], pa.int64())], schema=EDGES)
 
     return run
 
@@ -200,35 +242,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
 
     Equal sets are one class, so copies cost nothing further. Each class has a SuperMinHash signature;
     classes that agree on a whole band are candidates (see banding()). Links are confirmed on full sets.
-    Candidate components of up to 128 classes are compared within one task, without comparing what is
-    connected already. In larger ones every bucket is compared with some pivots at a time, in blocks of
-    64 members, and drops them afterwards, until what is left of it is connected; so no pair of a
-    bucket is left out that could change a component.
+    Candidate components of up to 4096 classes and two million shingles are compared within one task, by
+    group_links(). Larger ones first lose the classes that can't have a link, because too many of
+    their shingles are in no other class of the component, and are split anew. In those that stay large,
+    every bucket is compared with some pivots at a time, in blocks of 64 members, and drops them afterwards,
+    until what is left of it is connected. So no pair of a bucket is left out that could change a component.
 
     Null and empty texts, and those without words, have empty sets and are their own component. Rows
-    with a null doc_id have a null component_id and are kept. Rows that share a doc_id are separate
-    rows of one node. An empty table gives no rows. Other columns are ignored.
+    with a null doc_id have a null component_id and are kept. Of rows that share a
+    doc_id that with the smallest text is compared with others; each row is returned. An empty table gives
+    no rows. Other columns are ignored.
     """
     bands, rows = banding(percent)
     run, kind = _signed(width, bands, rows)
     signed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("n_shingles").alias("shingles"), F.any_value("bands").alias("bands")), "classes")
     in_bands = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
-    total = classes.count() * bands
-    sized = buckets.withColumn("n", F.col("size"))
-    members = written(spread_join(in_bands, sized, ["bucket"], "n", ["rep"], total), "members")
-
-    candidates = connected_components(members.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    sizes = candidates.groupBy("label").agg(F.count("*").alias("n"))
-    grouped = written(spread_join(candidates, sizes.withColumn("size", F.col("n")), ["label"], "n", ["node"], candidates.count()), "grouped")
-    small = grouped.where(F.col("size") <= GROUP).select(F.col("node").alias("rep"), F.col("label").alias("grp"))
-    texts = _texts(docs, small).repartition("grp").sortWithinPartitions("grp").select("grp", "rep", "text")
-    links = written(texts.mapInArrow(_links_within(width, percent), "a long, b long"), "links")
-    large = grouped.where(F.col("size") > GROUP).select(F.col("node").alias("rep"))
+    members = _shared_buckets(in_bands, classes.count() * bands)
+    small, large = _split(members, classes)
+    links = _within(_texts(docs, small.select("rep")).join(small, "rep"), width, percent)
     if not large.isEmpty():
-        links = links.union(_large_links(docs, large, members, width, percent))
+        texts = _texts(docs, large.select("rep")).groupBy("rep").agg(F.min("text").alias("text"))
+        texts = written(texts.join(large, "rep"), "texts")
+        left = _linkable(texts, width, percent)
+        members = _shared_buckets(members.select("rep", "bucket").join(left, "rep", "left_semi"), members.count())
+        small, large = _split(members, classes)
+        links = links.union(_within(texts.drop("grp").join(small, "rep"), width, percent))
+        if not large.isEmpty():
+            links = links.union(_large_links(texts.drop("grp"), large.select("rep"), members, width, percent))
     labels = connected_components(links)
 
     nodes = classes.select("digest", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -239,14 +281,88 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _large_links(docs: DataFrame, large: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def _shared_buckets(in_bands: DataFrame, total: int) -> DataFrame:
+    """(bucket, rep, size, first) of buckets with several members, from (rep, bucket)."""
+    buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
+    return written(spread_join(in_bands, buckets.withColumn("n", F.col("size")), ["bucket"], "n", ["rep"], total), "members")
+
+
+def _split(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, grp) of small candidate components and of large ones; grp is the component."""
+    candidates = connected_components(members.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
+    sized = written(candidates.withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.max("shingles").alias("shingles")), "rep"), "sized")
+    small = (F.count("*") <= GROUP) & (F.sum("shingles") <= PART)
+    sizes = sized.groupBy("label").agg(F.count("*").alias("n"), small.alias("small"))
+    grouped = spread_join(sized, sizes, ["label"], "n", ["rep"], sized.count())
+    grouped = written(grouped.select("rep", F.col("label").alias("grp"), "small"), "grouped")
+    return grouped.where("small").select("rep", "grp"), grouped.where("not small").select("rep", "grp")
+
+
+def _within(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links within the groups of (rep, grp, text)."""
+    dealt = texts.repartition("grp").sortWithinPartitions("grp").select("grp", "rep", "text")
+    return written(dealt.mapInArrow(_links_within(width, percent), "a long, b long"), "links")
+
+
+def _dealt_shingles(width: int):
+    """Each text's shingles, dealt by hash to parts of its group, as arrays."""
+    names = ["grp", "part", "rep", "n", "hashes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            rows = []
+            for grp, parts, rep, text in zip(batch["grp"].to_pylist(), batch["parts"].to_pylist(), batch["rep"].to_pylist(), as_bytes(batch["text"])):
+                x = shingles(text, words, width)
+                of = (x % np.uint64(parts)).astype(np.int64)
+                x = x[np.argsort(of, kind="stable")]
+                edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=parts)))).tolist()
+                rows += [(grp, k, rep, len(x), x[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
+
+    return run
+
+
+def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a part each member alone has."""
+    for rows in runs(batches, "key"):
+        sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        _, back, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        begins = np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
+        own = np.add.reduceat((counts[back] == 1).astype(np.int64), begins)
+        yield pa.record_batch([pa.array([r["rep"] for r in rows], pa.int64()), pa.array([r["n"] for r in rows], pa.int64()), pa.array(own)], names=["rep", "n", "own"])
+
+
+def _linkable(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep) of the members of (rep, grp, text) that a link of their group may hold.
+
+    A set of n shingles of which no other member has `own` has at most n - own in common with any, and any
+    union has at least n; so it has no link if 100 * (n - own) < percent * n. Those go, and again, as long
+    as a twentieth goes at a time. A group's shingles are dealt to parts of about PART, each one task's.
+    """
+    words = texts.groupBy("grp").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sized = texts.join(words.select("grp", F.ceil(F.col("bytes") / (6 * PART)).alias("parts")), "grp")
+    dealt = written(sized.select("grp", "parts", "rep", "text").mapInArrow(_dealt_shingles(width), "grp long, part long, rep long, n long, hashes binary"), "shingles")
+    left = texts.select("rep")
+    before, after = None, left.count()
+    while before is None or after < 0.95 * before:
+        keyed = dealt.join(left, "rep", "left_semi").withColumn("key", F.xxhash64("grp", "part"))
+        counts = keyed.select("key", "rep", "n", "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(_own_shingles, "rep long, n long, own long")
+        kept = counts.groupBy("rep").agg(F.max("n").alias("n"), F.sum("own").alias("own"))
+        left = written(kept.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).select("rep"), "left")
+        before, after = after, left.count()
+    dropped(dealt)
+    return left
+
+
+def _large_links(texts: DataFrame, large: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that connect the members of large candidate components as all links would.
 
     Each round takes, in every open bucket, the members in most and largest buckets as pivots (4, then 32,
     256, ...), compares them with all members that have another label, relabels, and drops the pivots.
     A bucket is closed when its remaining members have one label.
     """
-    texts = written(_texts(docs, large), "texts")
     opened = written(members.join(large, "rep", "left_semi").select("bucket", "rep", "size"), "open")
     weight = opened.groupBy("rep").agg(F.sum("size").alias("weight"))
     opened, before = written(opened.join(weight, "rep").select("bucket", "rep", "weight"), "open"), opened
@@ -284,7 +400,7 @@ def _large_links(docs: DataFrame, large: DataFrame, members: DataFrame, width: i
         opened, before = written(still.select("bucket", "rep", "weight"), "open"), opened
         dropped(before, chosen)
         pivots *= 8
-    dropped(opened, texts)
+    dropped(opened)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
