@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..errors import ConfigError
 from ..plans.config import FanOutPolicy
-from .scan import exact_scorer, knn, matrix, ranked, scan
+from .scan import Exact, knn, matrix, ranked, scan
 
 #: Centroids that one pass compares vectors with.
 CENTROID_BLOCK = 16_384
@@ -152,7 +152,7 @@ def route(queries: DataFrame, centroids: DataFrame, policy: FanOutPolicy) -> Dat
     """
     number = "centroid_id" if "centroid_id" in centroids.columns else "shard_id"
     given = centroids.select(F.col(number).cast("long").alias("id"), F.col("centroid").alias("data"), F.col("shard_id").alias("shard"))
-    probes = ranked(scan(given, queries, policy.candidate_centroids, exact_scorer("squared_l2")), policy.candidate_centroids)
+    probes = ranked(scan(given, queries, policy.candidate_centroids, Exact("squared_l2")), policy.candidate_centroids)
     shards = probes.join(given.select("id", F.col("shard").alias("shard_id")), "id").groupBy("qid", "shard_id").agg(F.min("rank").alias("probe_rank"))
     if policy.candidate_shards:
         order = W.partitionBy("qid").orderBy("probe_rank")

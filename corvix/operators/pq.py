@@ -14,7 +14,7 @@ from ..errors import ConfigError
 from ..functions.vectors import shown
 from ..plans.config import PqParams
 from .ivf import kmeans
-from .scan import Scorer, matrix, ranked, scan
+from .scan import matrix, ranked, scan
 
 
 def train(vectors: DataFrame, params: PqParams, iterations: int, seed: int, sample: int | None = None) -> DataFrame:
@@ -99,24 +99,35 @@ def distance_table(queries: DataFrame, codebook: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "qid long, m int, code int, d double").where(F.col("d") < float("inf"))
 
 
-def adc_scorer(book: np.ndarray) -> Scorer:
-    """Squared distances of queries to coded rows by table lookup."""
+class Lookup:
+    """Squared distances of queries to coded rows, by a table of each query's distances to the codes."""
 
-    def score(q: np.ndarray, batch: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
-        codes = matrix(batch["codes"])[rows].astype(int)
-        width = book.shape[2]
+    payload = "codes"
+
+    def __init__(self, book: np.ndarray) -> None:
+        self.book = book
+
+    def prepare(self, batch: pa.RecordBatch) -> np.ndarray:
+        return matrix(batch[self.payload]).astype(int)
+
+    def rough(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        width = self.book.shape[2]
         out = np.zeros((len(q), len(rows)))
-        for m, own in enumerate(book):
+        for m, own in enumerate(self.book):
             gap = q[:, None, m * width : (m + 1) * width] - own[None]
-            out += (gap * gap).sum(2)[:, codes[:, m]]
+            out += (gap * gap).sum(2)[:, rows[:, m]]
         return out
 
-    return score
+    def slack(self, q: np.ndarray, rows: np.ndarray) -> None:
+        return None
+
+    def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return self.rough(q[None], rows)[0]
 
 
 def adc_topk(coded: DataFrame, codebook: DataFrame, queries: DataFrame, k: int, routes: DataFrame | None = None) -> DataFrame:
     """(qid, rank, id, score): the k lowest squared distances to the coded rows (id, codes)."""
-    found = scan(coded, queries, k, adc_scorer(loaded(codebook)), payload="codes", routes=routes)
+    found = scan(coded, queries, k, Lookup(loaded(codebook)), routes)
     return ranked(found, k).select("qid", "rank", "id", shown(F.col("score")).alias("score"))
 
 

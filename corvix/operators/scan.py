@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -74,12 +76,51 @@ class Best:
         return pa.record_batch([pa.array(np.repeat(qids, n), pa.int64()), pa.array(np.concatenate(self.ids), pa.int64()), pa.array(np.concatenate(self.scores), pa.float64())], names=["qid", "id", "score"])
 
 
-Scorer = Callable[[np.ndarray, pa.RecordBatch, np.ndarray], np.ndarray]
+class Scorer(Protocol):
+    """Scores queries against rows of a batch; `payload` is the column it reads."""
 
+    payload: str
 
-def exact_scorer(metric: str) -> Scorer:
-    """Scores of queries (by number) against rows of a batch's `data`."""
-    return lambda q, batch, rows: distances(metric, q, matrix(batch["data"].take(pa.array(rows))) if len(rows) < batch.num_rows else matrix(batch["data"]))
+    def prepare(self, batch: pa.RecordBatch) -> np.ndarray: ...
+
+    def rough(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores of each query and prepared row, or numbers in their order but for slack()."""
+
+    def slack(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray | None:
+        """How far rough numbers of each query may be off; None if they are the scores."""
+
+    def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores of one query and each row."""
+
+
+@dataclass(frozen=True)
+class Exact:
+    """Distances to the vectors in `data`.
+
+    Rough Euclidean distances are squares from one matrix product; only rows that could be among the k best by
+    these have their differences summed up.
+    """
+
+    metric: str
+    payload: str = "data"
+
+    def prepare(self, batch: pa.RecordBatch) -> np.ndarray:
+        return matrix(batch[self.payload])
+
+    def rough(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        if self.metric in ("cosine", "inner_product"):
+            return distances(self.metric, q, rows)
+        if q.shape[1] != rows.shape[1]:
+            raise DimensionMismatch(f"queries have {q.shape[1]} components, vectors {rows.shape[1]}")
+        return (q * q).sum(1)[:, None] - 2 * (q @ rows.T) + (rows * rows).sum(1)
+
+    def slack(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray | None:
+        if self.metric in ("cosine", "inner_product"):
+            return None
+        return 1e-7 * (1 + (q * q).sum(1) + (rows * rows).sum(1).max(initial=0))
+
+    def exact(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return distances(self.metric, q[None], rows)[0]
 
 
 def _run(shared, k: int, scorer: Scorer):
@@ -87,18 +128,28 @@ def _run(shared, k: int, scorer: Scorer):
         qids, q, routes = shared.value
         best = Best(len(qids), k)
         for batch in batches:
-            ids = batch["id"].to_numpy(zero_copy_only=False)
+            if not batch.num_rows:
+                continue
+            ids, x = batch["id"].to_numpy(zero_copy_only=False), scorer.prepare(batch)
             if routes is None:
-                groups = [(np.arange(len(ids)), np.arange(len(qids)))]
+                groups = [(None, np.arange(len(qids)))]
             else:
                 shards = batch["shard_id"].to_numpy(zero_copy_only=False)
                 groups = [(np.flatnonzero(shards == s), routes[s]) for s in np.unique(shards).tolist() if s in routes]
             for rows, asked in groups:
-                step = max(1, PAIRS // max(1, len(rows)))
+                own_ids, own = (ids, x) if rows is None else (ids[rows], x[rows])
+                step = max(1, PAIRS // max(1, len(own)))
                 for at in range(0, len(asked), step):
-                    own = asked[at : at + step]
-                    for query, scores in zip(own.tolist(), scorer(q[own], batch, rows)):
-                        best.add(query, ids[rows], scores)
+                    some = asked[at : at + step]
+                    rough, slack = scorer.rough(q[some], own), scorer.slack(q[some], own)
+                    for n, query in enumerate(some.tolist()):
+                        if slack is None:
+                            best.add(query, own_ids, rough[n])
+                            continue
+                        near = np.arange(len(own))
+                        if len(own) > k:
+                            near = np.flatnonzero(~(rough[n] > np.partition(rough[n], k - 1)[k - 1] + 2 * slack[n]))
+                        best.add(query, own_ids[near], scorer.exact(q[query], own[near]))
         if len(qids):
             yield best.rows(qids)
 
@@ -117,15 +168,15 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.array([i for i, _ in rows]), np.array([v for _, v in rows])
 
 
-def scan(candidates: DataFrame, queries: DataFrame, k: int, scorer: Scorer, payload: str = "data", routes: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score): at least the k best candidates (id, payload[, shard_id]) of each query (qid, q).
+def scan(candidates: DataFrame, queries: DataFrame, k: int, scorer: Scorer, routes: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score): at least the k best candidates (id, scorer.payload[, shard_id]) of each query (qid, q).
 
     With routes (qid, shard_id) a query sees the rows of its shards only. Each task keeps k rows a
     query; ranked() merges them.
     """
     spark = candidates.sparkSession
-    names = ["id", payload] + (["shard_id"] if routes is not None else [])
-    given = candidates.select(F.col("id").cast("long").alias("id"), *names[1:]).where(F.col("id").isNotNull() & F.col(payload).isNotNull())
+    names = [scorer.payload] + (["shard_id"] if routes is not None else [])
+    given = candidates.select(F.col("id").cast("long").alias("id"), *names).where(F.col("id").isNotNull() & F.col(scorer.payload).isNotNull())
     out = None
     for qids, q in query_blocks(queries) if k > 0 else ():
         by_shard, own = None, given
@@ -151,5 +202,5 @@ def ranked(found: DataFrame, k: int | None = None) -> DataFrame:
 
 def knn(vectors: DataFrame, queries: DataFrame, metric: str, k: int, routes: DataFrame | None = None) -> DataFrame:
     """(qid, rank, id, score): the k nearest vectors (id, data) of each query (qid, q), ties by id."""
-    found = scan(vectors, queries, k, exact_scorer(metric.replace("-", "_")), routes=routes)
+    found = scan(vectors, queries, k, Exact(metric.replace("-", "_")), routes)
     return ranked(found, k).select("qid", "rank", "id", shown(F.col("score")).alias("score"))
