@@ -30,7 +30,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group linked by a similarity of 0.8 or more."""
+    """One document, that with the smallest doc_id, of each group linked by a similarity of 0.8 or more.
+
+    Rows that share a doc_id are one document; rows without one stay.
+    """
     found = neardup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(found, "doc_id", "left_semi")
     return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +19,10 @@ SAMPLE = 3000
 FOLDS = 3
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 MEMO = 300_000
+#: Toxic documents for one that an entry adds at least.
+RARE = 150
+#: Different words before an entry, as a share of the documents it is in, at least.
+VARIED = 0.15
 #: Lengths of stems.
 STEMS = range(4, 9)
 #: Words from each end of which a mention of the reader counts as near.
@@ -53,6 +57,23 @@ def entries(word: str) -> set[str]:
     return out
 
 
+def _entries(text: str) -> set[str]:
+    found: set[str] = set()
+    for word in {plain(w) for w in text.split()}:
+        if len(word) >= 3 and any(c.isalpha() for c in word):
+            found |= entries(word)
+    return found
+
+
+def _code(entry: str) -> int:
+    return xxhash.xxh3_64_intdigest(entry)
+
+
+def _codes(text: str) -> np.ndarray:
+    """64-bit hashes of what a text's words may be listed by, each once."""
+    return np.unique(np.fromiter(map(_code, _entries(text)), np.uint64))
+
+
 class Lexicon:
     """Words and stems that mark toxic documents, learned by greedy cover.
 
@@ -62,31 +83,45 @@ class Lexicon:
     """
 
     def __init__(self, texts: list[str], labels: np.ndarray, covers: int = 3, least: int = 3, most: int = 400) -> None:
-        bad, good = Counter(), Counter()
-        held: list[set[str]] = []
-        seen: set[str] = set()
-        for text, label in zip(texts, labels):
-            found: set[str] = set()
-            if text not in seen:
-                seen.add(text)
-                for word in {plain(w) for w in text.split()}:
-                    if len(word) >= 3 and any(c.isalpha() for c in word):
-                        found |= entries(word)
-            (bad if label else good).update(found)
-            if label:
-                held.append(found)
-        n_bad, n_good = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-        fits = {e for e, n in bad.items() if n >= least and n / n_bad >= 50 * good[e] / n_good}
-        where: dict[str, list[int]] = {}
-        for i, found in enumerate(held):
-            for e in found & fits:
-                where.setdefault(e, []).append(i)
-        cover = [0] * len(held)
         self.entries: set[str] = set()
+        bad = [t for t, label in zip(texts, labels) if label]
+        once = list(dict.fromkeys(bad))
+        held = [_codes(t) for t in once]
+        least = max(least, len(once) // RARE)
+        if not held:
+            return
+        codes, n_bad = np.unique(np.concatenate(held), return_counts=True)
+        codes, n_bad = codes[n_bad >= least], n_bad[n_bad >= least]
+        n_good = np.zeros(len(codes), np.int64)
+        for text in dict.fromkeys(t for t, label in zip(texts, labels) if not label):
+            n_good[np.isin(codes, _codes(text), assume_unique=True)] += 1
+        all_bad, all_good = max(1, len(bad)), max(1, len(texts) - len(bad))
+        fits = set(codes[n_bad / all_bad >= 50 * n_good / all_good].tolist())
+        where: dict[str, dict[int, None]] = {}
+        after: dict[str, set[str]] = {}
+        known: dict[str, list[str]] = {}
+        for i, text in enumerate(once):
+            if fits.isdisjoint(held[i].tolist()):
+                continue
+            before = ""
+            for raw in text.split():
+                word = plain(raw)
+                if word not in known:
+                    known[word] = [e for e in _entries(word) if _code(e) in fits]
+                for e in known[word]:
+                    where.setdefault(e, {})[i] = None
+                    after.setdefault(e, set()).add(before)
+                before = word
+        where = {e: docs for e, docs in where.items() if len(after[e]) >= max(least, VARIED * len(docs))}
+        of = [[] for _ in once]
+        for e, docs in where.items():
+            for i in docs:
+                of[i].append(e)
+        cover = [0] * len(once)
         starts: list[str] = []
         gain = {e: len(docs) for e, docs in where.items()}
         while gain and len(self.entries) < most:
-            e = max(gain, key=lambda e: (gain[e], len(e), e))
+            e = max(gain, key=lambda e: (gain[e] * (9 if e[-1] == "*" else 10), len(e), e))
             if gain[e] < least:
                 break
             del gain[e]
@@ -98,8 +133,9 @@ class Lexicon:
             for i in where[e]:
                 cover[i] += 1
                 if cover[i] == covers:
-                    for other in held[i] & gain.keys():
-                        gain[other] -= 1
+                    for other in of[i]:
+                        if other in gain:
+                            gain[other] -= 1
 
     def flag(self, word: str) -> int:
         out = READER if word in SECOND_PERSON else 0
