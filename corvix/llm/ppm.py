@@ -21,11 +21,13 @@ GRAMS = 2_000_000
 #: Parts of the model that the workers of an executor hold at once.
 PASSES = 2
 #: Distinct contexts that a counting task gathers before it puts them out.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Bytes of texts worked on at once, if no text is longer.
-SLICE = 1 << 21
+SLICE = 1 << 19
 #: Bytes of texts in a block of documents, for the word counts.
 BLOCK_BYTES = 32 << 20
+#: Tasks over the blocks at most; each takes its blocks one after another.
+TASKS = 20_000
 #: What stands before a text and ends it; neither byte occurs in UTF-8.
 START, STOP = 0xFE, 0xFF
 SYMBOLS = 255
@@ -403,7 +405,9 @@ def digest(docs: DataFrame, order: int = ORDER) -> DataFrame:
     total, ends = given.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.sum((~held_out()).cast("long"))).first()
     blocks, ends = max(1, math.ceil((total or 0) / BLOCK_BYTES)), ends or 0
     block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(blocks)).cast("int")
-    one = given.select(block.alias("block"), "text", (~held_out()).alias("trains")).repartitionById(blocks, F.col("block"))
+    tasks = min(blocks, TASKS)
+    task = F.floor(F.col("block").cast("long") * tasks / blocks).cast("int")
+    one = given.select(block.alias("block"), "text", (~held_out()).alias("trains")).repartitionById(tasks, task)
     one = one.sortWithinPartitions("block")
     words = written(one.mapInArrow(_block_words, "block int, word long, n long"), "words")
     counts = words.groupBy("word").agg(F.sum("n").alias("n"))
@@ -415,7 +419,7 @@ def digest(docs: DataFrame, order: int = ORDER) -> DataFrame:
     empty = {"doc_id": "long", "text": "string", "score": "double"}
     listed = back.select("block", "word", "n", *[F.lit(None).cast(k).alias(c) for c, k in empty.items()])
     wanted = scored.select(block.alias("block"), F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("n"), *empty)
-    both = listed.unionByName(wanted).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", F.asc_nulls_last("word"))
+    both = listed.unionByName(wanted).repartitionById(tasks, task).sortWithinPartitions("block", F.asc_nulls_last("word"))
     out = both.mapInArrow(_base(ends), BASED)
     less = math.log10(tokens + 0.5 * (distinct + 1))
     base = F.col("base_sum") - F.col("n_tokens") * F.lit(less)
