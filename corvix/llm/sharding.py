@@ -41,7 +41,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     Pass 1 scatters rows by a seeded hash into as many buckets as keep each near bucket_bytes. Pass 2
     takes one bucket at a time, orders it by that hash, shuffles it by Fisher-Yates with a generator
     seeded by the bucket's number, and writes it. A row's place in the order is its place in its bucket plus
-    the sizes of the buckets before; shard s holds an s-th part of the places, so counts differ by one at
+    the sizes of the buckets before (of earlier tasks: counted beforehand); shard s holds an s-th part of the places, so counts differ by one at
     most. The result doesn't depend on how the input is partitioned, so a task that runs again writes
     the same rows.
 
@@ -56,8 +56,10 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     total = docs.select(F.sum(_size())).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     scattered = hashed.withColumn("_at_bucket", F.pmod("_at", F.lit(buckets)).cast("int"))
-    counts = [0] * buckets
-    for r in scattered.groupBy("_at_bucket").count().collect():  # a number for each bucket
+    tasks = min(buckets, TASKS)
+    task = F.floor(F.col("_at_bucket").cast("long") * tasks / buckets).cast("int")
+    counts = [0] * tasks
+    for r in scattered.groupBy(task.alias("task")).count().collect():  # a number for each task
         counts[r[0]] = r[1]
     starts = np.concatenate(([0], np.cumsum(counts))).tolist()
     rows = starts[-1]
@@ -65,9 +67,9 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     shared = spark.sparkContext.broadcast((starts, bounds))
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
-    def emit(number: int, rows: pa.Table, names: list[str], starts: list, bounds: list) -> Iterator[pa.RecordBatch]:
+    def emit(number: int, rows: pa.Table, start: int, bounds: list) -> Iterator[pa.RecordBatch]:
         order = fisher_yates(rows.num_rows, (seed, number))
-        place = starts[number] + np.arange(rows.num_rows)
+        place = start + np.arange(rows.num_rows)
         shard = np.searchsorted(bounds, place, "right") - 1
         slot = place - np.array(bounds)[shard]
         out = rows.select(names).take(pa.array(order, pa.int64()))
@@ -77,25 +79,28 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, bounds = shared.value
         held: list[pa.RecordBatch] = []
-        number = None
+        number, place = None, 0
         for batch in batches:
             of = batch["_at_bucket"].to_numpy()
             edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
             for a, b in zip(edges, edges[1:]):
                 if a == b:
                     continue
-                if number is not None and of[a] != number:
-                    yield from emit(number, pa.Table.from_batches(held), names, starts, bounds)
+                if number is None:
+                    place = starts[int(of[a]) * tasks // buckets]
+                elif of[a] != number:
+                    rows = pa.Table.from_batches(held)
+                    yield from emit(number, rows, place, bounds)
+                    place += rows.num_rows
                     held = []
                 number = int(of[a])
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from emit(number, pa.Table.from_batches(held), names, starts, bounds)
+            yield from emit(number, pa.Table.from_batches(held), place, bounds)
 
     names = docs.columns
     path = new_path(spark, "shards")
-    tasks = min(buckets, TASKS)
-    dealt = scattered.repartitionById(tasks, F.floor(F.col("_at_bucket").cast("long") * tasks / buckets).cast("int"))
+    dealt = scattered.repartitionById(tasks, task)
     dealt = dealt.sortWithinPartitions("_at_bucket", "_at", "doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     dealt.mapInArrow(run, schema).write.partitionBy("shard").parquet(path)
     return spark.read.schema(schema).parquet(path)
