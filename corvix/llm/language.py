@@ -52,9 +52,14 @@ def codes(data: np.ndarray) -> np.ndarray:
     return ((a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 13)
 
 
+#: Bytes that say nothing about a language.
+_NO_LETTERS = b"0123456789()+|$%#*@=<>[]{}/\\_\"&~^"
+
+
 def prepared(text: bytes) -> bytes:
-    """Lower case, with single spaces between words and one at both ends."""
-    return f" {' '.join(text.decode('utf-8', 'replace').lower().split())} ".encode()
+    """Lower case, without digits and signs, with single spaces between words and one at both ends."""
+    plain = text.decode("utf-8", "replace").lower().encode().translate(None, _NO_LETTERS)
+    return b" ".join([b"", *plain.split(), b""])
 
 
 def vector(text: bytes) -> np.ndarray:
