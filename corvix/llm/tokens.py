@@ -16,7 +16,7 @@ _RUN = re.compile(r"\s\s")
 #: Marks that are a piece of their own, all together, where they follow a letter and end a part.
 _MARKS = string.punctuation
 #: Parts whose ids a worker keeps (about 200 bytes each); when there are more, those of over SHORT characters go.
-KEPT, SHORT = 1_600_000, 7
+KEPT, SHORT = 1_100_000, 7
 #: Characters of texts worked on at once, if no text is longer, and new parts encoded as one text.
 SLICE, TOGETHER = 1 << 20, 500
 

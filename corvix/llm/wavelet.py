@@ -129,20 +129,20 @@ class WaveletMatrix:
         return cls(list(raw.reshape(planes, -1)), n)
 
 
-BLOCKS = "shard int, block int, n_tokens long, doc_ids binary, no_id binary, lengths binary, before long, closes boolean, matrix binary"
+BLOCKS = "shard int, block int, first long, n_tokens long, doc_ids binary, no_id binary, lengths binary, before long, closes boolean, matrix binary"
 
 
 def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
 
-def _block(shard: int, number: int, docs: list[tuple[int | None, int]], before: int, closes: bool, parts: list[bytes]) -> pa.RecordBatch:
+def _block(shard: int, number: int, first: int, docs: list[tuple[int | None, int]], before: int, closes: bool, parts: list[bytes]) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(parts), "<u4")
     doc_ids = np.array([d or 0 for d, _ in docs], "<i8").tobytes()
     no_id = np.packbits([d is None for d, _ in docs]).tobytes()
     lengths = np.array([n for _, n in docs], "<u4").tobytes()
-    row = [shard, number, len(ids), doc_ids, no_id, lengths, before, closes, WaveletMatrix.of(ids).to_bytes()]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
+    row = [shard, number, first, len(ids), doc_ids, no_id, lengths, before, closes, WaveletMatrix.of(ids).to_bytes()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
     return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds)], names=_names(BLOCKS))
 
 
@@ -150,8 +150,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     """Encode docs (doc_id, text) in ascending doc_id order into token files under `path`.
 
     Documents are range-partitioned by doc_id; each partition is a shard and writes one file. A file is
-    a Parquet container of blocks of at most a million ids: the documents' ids and the lengths of their
-    parts in the block, how many ids of the first are in earlier blocks, whether the last one ends, and
+    a Parquet container of blocks of at most a million ids: how many ids of the shard come before, the
+    documents' ids and the lengths of their parts in the block, how many ids of the first are in earlier blocks, whether the last one ends, and
     the compressed wavelet matrix. Null texts are empty; every document ends with `end`. Null doc_ids come
     first; rows that share one are ordered by a hash of the text and follow each other. An empty table
     gives no block.
@@ -164,13 +164,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
         ids_of, last = encoder(shared.value).encode, np.array([end], "<u4").tobytes()
         parts: list[bytes] = []
         listed: list[tuple[int | None, int]] = []
-        room, number, before, shard = BLOCK, 0, 0, 0
+        room, number, before, shard, first = BLOCK, 0, 0, 0, 0
         for batch in batches:
             for shard, doc_id, ids in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
                 ids += last
                 at, n = 0, len(ids) // 4
                 if room < n <= BLOCK:
-                    yield _block(shard, number, listed, before, True, parts)
+                    yield _block(shard, number, first, listed, before, True, parts)
+                    first += BLOCK - room
                     parts, listed, room, number, before = [], [], BLOCK, number + 1, 0
                 while at < n:
                     took = min(room, n - at)
@@ -178,11 +179,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
                     parts.append(ids[4 * at : 4 * (at + took)])
                     at, room = at + took, room - took
                     if not room:
-                        yield _block(shard, number, listed, before, at == n, parts)
-                        parts, listed, room, number = [], [], BLOCK, number + 1
+                        yield _block(shard, number, first, listed, before, at == n, parts)
+                        parts, listed, room, number, first = [], [], BLOCK, number + 1, first + BLOCK
                         before = at if at < n else 0
         if listed:
-            yield _block(shard, number, listed, before, True, parts)
+            yield _block(shard, number, first, listed, before, True, parts)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.asc("at")]
@@ -200,10 +201,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     parts. Without with_ids, ids of other documents are left null. Rows come in no set order.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    sizes = sorted(map(tuple, blocks.select("shard", "block", "n_tokens").collect()))  # three numbers a block
     starts, total = {}, 0
-    for shard, block, n in sizes:
-        starts[shard, block] = total
+    for shard, n in sorted(map(tuple, blocks.groupBy("shard").agg(F.sum("n_tokens")).collect())):  # a number for each shard
+        starts[shard] = total
         total += n
     shared = spark.sparkContext.broadcast(starts)
 
@@ -215,7 +215,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 begins = [0, *ends[:-1]]
                 null = np.unpackbits(np.frombuffer(row["no_id"], np.uint8), count=len(ends)).tolist()
                 doc_ids = [None if z else d for d, z in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), null)]
-                first = shared.value[row["shard"], row["block"]]
+                first = shared.value[row["shard"]] + row["first"]
                 starts = [first + a for a in begins]
                 starts[0] -= row["before"]
                 at = [row["before"], *[0] * (len(ends) - 1)]
@@ -231,7 +231,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=_names(PARTS))
 
     def decoded(some: DataFrame) -> DataFrame:
-        return some.select("shard", "block", "doc_ids", "no_id", "lengths", "before", "closes", "matrix").mapInArrow(run, PARTS)
+        return some.select("shard", "first", "doc_ids", "no_id", "lengths", "before", "closes", "matrix").mapInArrow(run, PARTS)
 
     uncut = (F.col("before") == 0) & F.col("closes")
     names = ["doc_id", "start", "n_tokens", "ids", "ids_crc32"]
