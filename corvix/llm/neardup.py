@@ -413,3 +413,22 @@ def _relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
     n = links.groupBy("a").agg(F.count("*").alias("n"))
     out = spread_join(links, n.join(a, "a"), ["a"], "n", ["b"], links.count())
     return out.join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, n || ':' || array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.y, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(l.y, w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least_of l ON l.x = w.doc_id
+"""

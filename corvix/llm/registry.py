@@ -72,6 +72,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_superminhash": neardup.ORACLE_SQL,
         "op4_line_bitmaps": linededup.ORACLE_SQL,
         "op5_suffix_automaton": decontaminate.ORACLE_SQL,
         "op9_va_file": vafile.ORACLE_SQL,
