@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from corvix.llm import decontaminate, linededup, neardup, packing, toxicity
 from corvix.llm._common import written
 
+#: Parts of texts whose ids a packing worker keeps: few, as other stages have filled the executors before.
+KEPT = 300_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -47,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, packed into sequences."""
-    return packing.digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.digest(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT)
 
 
 STAGES = [

@@ -99,7 +99,7 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
 
-def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: int = END, kept: int | None = None) -> DataFrame:
     """Pieces of packed documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset, context, step_group.
 
     A document's ids are those of its whole text by the tokenizer at path `tokenizer`, without special
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = encoder(shared.value).encode, Packer(tiers)
+        ids_of, packer = encoder(shared.value, kept).encode, Packer(tiers)
         part = TaskContext.get().partitionId()
         held: dict[int, list] = {}  # place: doc_id, ids, ids not yet put out
         out: list[tuple] = []
@@ -164,5 +164,6 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return pack(docs, tokenizer).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
+def digest(docs: DataFrame, tokenizer: str, kept: int | None = None) -> DataFrame:
+    """Pieces with a checksum in place of their ids; `kept` bounds the parts whose ids a worker keeps."""
+    return pack(docs, tokenizer, kept=kept).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")

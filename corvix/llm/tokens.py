@@ -45,7 +45,8 @@ class Encoder:
     name in them are encoded whole.
     """
 
-    def __init__(self, definition: str) -> None:
+    def __init__(self, definition: str, kept: int | None = None) -> None:
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,9 +100,10 @@ class Encoder:
             found[part] = (found.get(start) or known[start]) + tail
         for part, asked in new.items():
             asked.extend(found[part])
-        if len(known) > KEPT:
+        most = self.kept or KEPT
+        if len(known) > most:
             short = {k: v for k, v in known.items() if len(k) <= SHORT and k not in new}
-            known = _Known(short if len(short) <= KEPT // 2 else ())
+            known = _Known(short if len(short) <= most // 2 else ())
         if len(self.marks) > KEPT:
             self.marks = _Known()
         known.update(found)
@@ -150,6 +152,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(definition: str) -> Encoder:
+def encoder(definition: str, kept: int | None = None) -> Encoder:
     """The worker's encoder, with what it keeps; tasks that follow each other share it."""
-    return Encoder(definition)
+    return Encoder(definition, kept)
