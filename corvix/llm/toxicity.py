@@ -19,10 +19,12 @@ SAMPLE = 3000
 FOLDS = 3
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 MEMO = 300_000
-#: Toxic documents for one that an entry adds at least.
+#: Toxic documents, each group of near copies as one, for one that an entry adds at least.
 RARE = 150
-#: Different words before an entry, as a share of the documents it is in, at least.
-VARIED = 0.15
+#: Hashes of a signature, and how many of them two near copies share at least: edits cost three runs of words each.
+HASHES, SHARED = 64, 24
+#: Words of a text that can be a near copy, at least: shorter ones share most of their runs by a stock phrase alone.
+COPIED = 10
 #: Lengths of stems.
 STEMS = range(4, 9)
 #: Words from each end of which a mention of the reader counts as near.
@@ -57,9 +59,13 @@ def entries(word: str) -> set[str]:
     return out
 
 
-def _entries(text: str) -> set[str]:
+def _words(texts: list[str]) -> set[str]:
+    return {plain(w) for t in texts for w in t.split()}
+
+
+def _entries(words: set[str]) -> set[str]:
     found: set[str] = set()
-    for word in {plain(w) for w in text.split()}:
+    for word in words:
         if len(word) >= 3 and any(c.isalpha() for c in word):
             found |= entries(word)
     return found
@@ -69,55 +75,79 @@ def _code(entry: str) -> int:
     return xxhash.xxh3_64_intdigest(entry)
 
 
-def _codes(text: str) -> np.ndarray:
-    """64-bit hashes of what a text's words may be listed by, each once."""
-    return np.unique(np.fromiter(map(_code, _entries(text)), np.uint64))
+def _codes(words: set[str]) -> np.ndarray:
+    """64-bit hashes of what words may be listed by, each once."""
+    return np.unique(np.fromiter(map(_code, _entries(words)), np.uint64))
+
+
+_TIMES = np.random.default_rng(1).integers(1, 2**63, (2, HASHES), np.uint64) | np.uint64(1)
+
+
+def _signature(words: list[str], size: int = 4096) -> np.ndarray:
+    """The least hashes of a text's runs of three words."""
+    x = np.fromiter(map(_code, words), np.uint64, len(words))
+    x = x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:] * np.uint64(0x165667B19E3779F9)
+    x = np.unique(x ^ (x >> np.uint64(31)))
+    out = np.full(HASHES, 2**32 - 1, np.uint64)
+    for at in range(0, len(x), size):
+        np.minimum(out, ((x[at : at + size, None] * _TIMES[0] + _TIMES[1]) >> np.uint64(32)).min(0), out=out)
+    return out.astype(np.uint32)
+
+
+def copies(texts: list[str]) -> list[int]:
+    """The group of each text: those linked by three eighths of their runs of three words or more, by signature, are one."""
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    long = [i for i, t in enumerate(texts) if len(t.split()) >= COPIED]
+    signed = np.array([_signature([plain(w) for w in texts[i].split()]) for i in long], np.uint32).reshape(-1, HASHES)
+    for k, i in enumerate(long):
+        for other in np.flatnonzero(np.count_nonzero(signed[k + 1 :] == signed[k], 1) >= SHARED).tolist():
+            parent[root(long[k + 1 + other])] = root(i)
+    numbers: dict[int, int] = {}
+    return [numbers.setdefault(root(i), len(numbers)) for i in range(len(texts))]
 
 
 class Lexicon:
     """Words and stems that mark toxic documents, learned by greedy cover.
 
-    Entries are taken by how many toxic documents, not yet covered three times, they add; they must be in
-    at least three of these and be 50 times as frequent among toxic documents as among others. Thus
-    words that only tell one group of copies apart are not taken, once better ones explain its label.
+    Toxic documents count once for each group of near copies. Entries are taken by how many of these, not
+    yet covered three times, they add; they must be in at least three and be 50 times as frequent among
+    toxic documents as among others. Thus words that only tell one group of copies apart are not taken,
+    while those that always stand in the same phrase are.
     """
 
     def __init__(self, texts: list[str], labels: np.ndarray, covers: int = 3, least: int = 3, most: int = 400) -> None:
         self.entries: set[str] = set()
-        bad = [t for t, label in zip(texts, labels) if label]
-        once = list(dict.fromkeys(bad))
-        held = [_codes(t) for t in once]
-        least = max(least, len(once) // RARE)
-        if not held:
+        bad = list(dict.fromkeys(t for t, label in zip(texts, labels) if label))
+        if not bad:
             return
+        groups: list[list[str]] = []
+        for text, group in zip(bad, copies(bad)):
+            if group == len(groups):
+                groups.append([])
+            groups[group].append(text)
+        held = [_codes(_words(group)) for group in groups]
+        least = max(least, len(groups) // RARE)
         codes, n_bad = np.unique(np.concatenate(held), return_counts=True)
         codes, n_bad = codes[n_bad >= least], n_bad[n_bad >= least]
         n_good = np.zeros(len(codes), np.int64)
         for text in dict.fromkeys(t for t, label in zip(texts, labels) if not label):
-            n_good[np.isin(codes, _codes(text), assume_unique=True)] += 1
-        all_bad, all_good = max(1, len(bad)), max(1, len(texts) - len(bad))
-        fits = set(codes[n_bad / all_bad >= 50 * n_good / all_good].tolist())
-        where: dict[str, dict[int, None]] = {}
-        after: dict[str, set[str]] = {}
-        known: dict[str, list[str]] = {}
-        for i, text in enumerate(once):
-            if fits.isdisjoint(held[i].tolist()):
-                continue
-            before = ""
-            for raw in text.split():
-                word = plain(raw)
-                if word not in known:
-                    known[word] = [e for e in _entries(word) if _code(e) in fits]
-                for e in known[word]:
-                    where.setdefault(e, {})[i] = None
-                    after.setdefault(e, set()).add(before)
-                before = word
-        where = {e: docs for e, docs in where.items() if len(after[e]) >= max(least, VARIED * len(docs))}
-        of = [[] for _ in once]
-        for e, docs in where.items():
-            for i in docs:
-                of[i].append(e)
-        cover = [0] * len(once)
+            n_good[np.isin(codes, _codes(_words([text])), assume_unique=True)] += 1
+        all_good = max(1, sum(1 for label in labels if not label))
+        fits = set(codes[n_bad / len(groups) >= 50 * n_good / all_good].tolist())
+        where: dict[str, list[int]] = {}
+        of: list[list[str]] = []
+        for i, group in enumerate(groups):
+            of.append([] if fits.isdisjoint(held[i].tolist()) else sorted(e for e in _entries(_words(group)) if _code(e) in fits))
+            for e in of[i]:
+                where.setdefault(e, []).append(i)
+        cover = [0] * len(groups)
         starts: list[str] = []
         gain = {e: len(docs) for e, docs in where.items()}
         while gain and len(self.entries) < most:

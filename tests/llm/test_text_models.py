@@ -93,6 +93,35 @@ def test_toxicity_without_labels(spark, toxic):
     assert toxicity.digest(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("phrase", [[], ["you", "are", "an"]])
+def test_lexicon_keeps_common_insults(phrase):
+    rng = random.Random(8)
+    texts, labels = [], []
+    for i in range(6000):
+        w = text(rng, rng.choice(["en", "de"]), rng.randrange(5, 60)).split()
+        if i % 2:
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [*phrase, rng.choice(BAD)]
+        elif i % 20 == 0:
+            w[1:1] = ["you", "are", "an"]
+        texts.append(" ".join(w))
+        labels.append(i % 2)
+    assert toxicity.Lexicon(texts, np.array(labels, float)).entries == set(BAD)
+
+
+def test_lexicon_counts_near_copies_once():
+    rng = random.Random(5)
+    first = [f"{w}{k}" for k, w in enumerate(text(rng, "fr", 80).split())]
+    near = [" ".join(rng.choice(VOCABULARY["fr"]) if rng.random() < 0.04 else w for w in first) for _ in range(200)]
+    bad = [text(rng, "en", 30) + " " + rng.choice(BAD) for _ in range(200)]
+    short = [f"you moron {w}" for w in VOCABULARY["es"]]
+    good = [text(rng, rng.choice(["en", "fr", "es"]), 30) for _ in range(800)]
+    assert len(set(toxicity.copies(near))) == 1
+    assert len(set(toxicity.copies(bad + short))) == len(bad + short)
+    found = toxicity.Lexicon(near + bad + short + good, np.array([1.0] * 216 + [1.0] * 200 + [0.0] * 800))
+    assert set(BAD) <= found.entries <= {*BAD, "you"}
+
+
 def test_isotonic():
     x, y = toxicity.isotonic(np.array([3.0, 1, 2, 4, 5, 5]), np.array([0.0, 0, 1, 1, 1, 1]))
     assert (np.diff(y) > 0).all() and y[0] == 0 and y[-1] == 1 and 0.5 in y
