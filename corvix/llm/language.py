@@ -9,11 +9,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes
+from ._common import as_bytes, dropped, written
 from .toxicity import held_out
 
 #: Labelled documents that the model is fitted on at most: in all, and of each language.
@@ -173,20 +173,24 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE) -> Model:
     """A model of at most `sample` labelled documents, as many of each language, with the smallest hashes.
 
-    Held-out documents and those with a null text or language teach nothing.
+    Held-out documents and those with a null language, or a null or letterless text, teach nothing and
+    take no places. Every language has two places at least, however many languages there are.
     """
-    known = docs.where("doc_id is not null and lang is not null").where(~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"))
-    langs = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(sample // 2).collect()]
-    each = min(per_language, sample // max(1, len(langs)))
-    ranked = known.withColumn("at", F.xxhash64(F.lit("sample"), "doc_id"))
-    ids = [(r.doc_id, lang) for lang in langs for r in ranked.where(F.col("lang") == lang).orderBy("at", "doc_id").limit(each).collect()]
+    known = docs.where("doc_id is not null and lang is not null").where(~held_out())
+    known = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    able = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id").distinct()
+    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id"))
+    first = written(able.withColumn("at", at).where(F.col("at") <= per_language), "languages")
+    each = max(2, sample // max(1, first.select("lang").distinct().count()))
+    ids = [(r.doc_id, r.lang) for r in first.where(F.col("at") <= each).collect()]
+    dropped(first)
     if not ids:
         return Model([])
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, lang string").distinct())
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, lang string"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    texts = texts.where("text is not null").join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    texts = texts.where(F.col("text").rlike(r"\p{L}")).join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sorted(texts.collect(), key=lambda r: (r.doc_id, r.lang))
-    return Model([(r.text.encode(), r.lang) for r in rows if _LETTER.search(r.text)])
+    return Model([(r.text.encode(), r.lang) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -337,17 +337,19 @@ def held_out() -> "F.Column":
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of at most `sample` labelled documents of each class, with the smallest hashes of doc_id.
 
-    Rows with a null doc_id, label or text, and held-out documents, teach nothing. A document labelled
-    twice is toxic if any label says so.
+    Rows with a null doc_id, label or text, labels without a document, and held-out documents teach nothing and
+    take no places. A document labelled twice is toxic if any label says so.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    known = known.where("label in (0, 1)").withColumn("at", F.xxhash64(F.lit("sample"), "doc_id"))
-    ids = [r for c in (0, 1) for r in known.where(F.col("label") == c).orderBy("at", "doc_id").limit(sample).select("doc_id", "label").collect()]
+    read = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = known.where("label in (0, 1)").join(read.select("doc_id"), "doc_id", "left_semi")
+    at = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id"))
+    ids = known.withColumn("at", at).where(F.col("at") <= sample).select("doc_id", "label").collect()
     if not ids:
         return Model([])
     chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.label) for r in ids], "doc_id long, label int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(chosen, "doc_id")
+    texts = read.join(chosen, "doc_id")
     one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     return Model([(r.text, r.label) for r in sorted(one.collect(), key=lambda r: r.doc_id)])
 

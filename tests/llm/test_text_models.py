@@ -48,6 +48,24 @@ def test_language_learns_from_training_only(spark):
     assert language.fit(a.unionByName(b)).langs == ["de"]
 
 
+def test_language_places_go_to_usable_rows(spark, monkeypatch):
+    monkeypatch.setattr(language, "Model", lambda rows: rows)
+    rows = [(i, "les garçons" if i % 20 == 0 else [None, "", "12 !"][i % 3], "fr") for i in range(2000)]
+    rows += [(i, "der die", "de") for i in range(2000, 2400)] * 3
+    found = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100, 40)
+    assert [sum(lang == x for _, lang in found) for x in ("fr", "de")] == [40, 40]
+    many = spark.createDataFrame([(i, "text", f"l{i % 60}") for i in range(1200)], "doc_id long, text string, lang string")
+    assert {lang for _, lang in language.fit(many, 100)} == {f"l{i}" for i in range(60)}
+
+
+def test_toxicity_places_go_to_usable_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "Model", lambda rows: rows)
+    docs = spark.createDataFrame([(i, "text" if i % 10 == 0 else None) for i in range(2000)], "doc_id long, text string")
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 20 == 0).cast("int").alias("toxic"))
+    found = toxicity.fit(docs, labels.unionByName(labels), 50)
+    assert [sum(label == x for _, label in found) for x in (0, 1)] == [50, 50]
+
+
 def test_families():
     assert language.family_of("en") == language.family_of("de") != language.family_of("fr")
     assert language.family_of("pt-BR") == language.family_of("es")
