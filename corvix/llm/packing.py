@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,10 +86,14 @@ class Packer:
         while self.held >= self.tiers[0]:
             yield self.tiers[0], self._fill(self.tiers[0])
 
-    def finish(self) -> Iterator[tuple[int, list[Piece]]]:
-        """Windows for all that is left: full ones of shorter tiers, and one that isn't full."""
+    def finish(self, least: int | None = None) -> Iterator[tuple[int, list[Piece]]]:
+        """Windows for all that is left: full ones of shorter tiers, and one that isn't full.
+
+        Sizes go on halving from the shortest tier's down to `least`; with 1 every window is full.
+        """
         yield from self.pack()
-        for size in self.tiers[1:]:
+        shorter = [self.tiers[-1] >> n for n in range(1, self.tiers[-1].bit_length())]
+        for size in [*self.tiers[1:], *(n for n in shorter if least and n >= least)]:
             while self.held >= size:
                 yield size, self._fill(size)
         if self.held:
@@ -105,9 +109,10 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
     A document's ids are those of its whole text by the tokenizer at path `tokenizer`, without special
     tokens, and `end`; a null or empty text has `end` alone. Each id is in one piece; ids holds a
     piece's as little-endian unsigned 32-bit integers, start counts its document's ids before it, offset its
-    sequence's. A sequence has at most `context` ids, a power of two; all but the last of each task are
-    full, at that size. step_group deals the sequences of each context size into groups of 16 * 2048
-    ids, so that every step has as many ids, of sequences of one size.
+    sequence's. A sequence has `context` ids, a power of two: a tier's size or, for the last ids of a task, fewer than
+    the shortest tier's, one of 128 to 1. So there is no padding, however many tasks there are. step_group
+    deals the sequences of each context size into groups of 16 * 2048 ids, of one size; as groups are
+    numbered within a task, the last one of each task and size is shorter.
 
     Rows are packed within their partition, about a million ids at a time, so there is no shuffle; what
     fills no window stays for the next million. Rows with a null doc_id or a repeated one are documents of
@@ -121,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
         part = TaskContext.get().partitionId()
         held: dict[int, list] = {}  # place: doc_id, ids, ids not yet put out
         out: list[tuple] = []
-        numbers = {size: 0 for size in tiers}
+        numbers: Counter[int] = Counter()
         sequences = 0
         last = np.array([end], "<u4").tobytes()
 
@@ -158,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
                     put(packer.pack())
                     yield from flushed()
                     gathered = 0
-        put(packer.finish())
+        put(packer.finish(1))
         yield from flushed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -94,6 +94,19 @@ def test_packer_fills_windows():
     assert {size for size, _ in windows} == {2048, 1024, 512, 256}
 
 
+def test_packing_needs_no_padding(spark, docs):
+    rows, df = docs
+    ids = {}
+    for parts in (1, 30):
+        out = packing.pack(df.repartition(parts), PATH).groupBy("sequence_id", "context").agg(F.sum("length").alias("n")).collect()
+        assert all(r.n == r.context and r.n & (r.n - 1) == 0 for r in out)
+        ids[parts] = sum(r.n for r in out)
+    assert ids[1] == ids[30]
+    p = Packer()
+    windows = [*p.route(0, 255), *p.route(1, 300), *p.finish(1)]
+    assert [(size, sum(n for _, _, n in w)) for size, w in windows] == [(256, 256), (256, 256), (32, 32), (8, 8), (2, 2), (1, 1)]
+
+
 @pytest.mark.parametrize("block", [1 << 20, 50])
 def test_token_files(spark, docs, encoder, tmp_path, monkeypatch, block):
     rows, df = docs
