@@ -42,7 +42,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words stands in passages of test items."""
+    """Documents of which less than a twentieth of the words stands in passages of test items.
+
+    They stay as they are: passages under that limit, even a whole test item in a very long document, aren't
+    cut out. decontaminate.remove_spans() does that; no stage or query calls it.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(docs.select(*COLUMNS), benchmark).where(~F.col("contaminated")).select(*COLUMNS)
 
