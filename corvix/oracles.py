@@ -147,6 +147,7 @@ SELECT b.m, b.code, (r.i - 1)::INTEGER AS i, round(coalesce(s.x, b.cv[r.i]), 4)
     "q_bm25_corpus_stats": f"WITH {POSTINGS} SELECT n, round(avgdl, 6) AS avgdl FROM st",
     "q_bm25_vocabulary": f"WITH {POSTINGS} SELECT count(DISTINCT term) AS num_terms FROM post",
     "q_bm25_topk": f"WITH {EMB}, {POSTINGS} {bm25(10)}",
+    "q_bm25_topk_items": f"WITH {POSTINGS} {bm25(10).replace(' WHERE item_id * 100 IN (SELECT qid FROM q)', '', 1)}",
     "q_bm25_faults": f"WITH {POSTINGS} SELECT DISTINCT 'unknown_document' AS kind, id::VARCHAR AS key FROM post WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'fr')",
     "q_minmax_normalize": f"WITH {EMB} SELECT qid, id, round(norm, 6) AS norm FROM ({normalized(knn('euclidean', 20))})",
     "q_hybrid_topk": f"WITH {EMB}, {POSTINGS} {blend(knn('inner_product', 20), bm25(20), 0.7, 0.3)}",

@@ -286,6 +286,11 @@ def q_bm25_topk(spark, sf):
     return _lexical(spark, sf, K)
 
 
+def q_bm25_topk_items(spark, sf):
+    """All test items as queries, whether or not a vector has their number."""
+    return bm25.search(bm25.build(documents(spark, sf)), texts(spark, sf), K)
+
+
 def q_bm25_faults(spark, sf):
     """An index whose length table lacks the documents in French."""
     made = bm25.build(documents(spark, sf))

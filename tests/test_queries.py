@@ -42,6 +42,12 @@ def test_query(spark, duck, name):
     assert plain(got) == plain(want)
 
 
+def test_all_items_are_asked(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").select("item_id").distinct().count()
+    found = __spark_entry__.queries()["q_bm25_topk_items"](spark, SF)
+    assert found.select("qid").distinct().count() == items
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 50
 
