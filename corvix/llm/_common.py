@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than this share of the rows; so there are fewer than HOT_KEYS of them.
-HOT_KEYS = 512
+#: A key is hot if it holds more than this share of the rows, or more rows than a task should have.
+HOT_SHARE, TASK_ROWS = 512, 1_000_000
 #: Below this many rows no key is hot, however few rows there are in all.
 HOT_FLOOR = 200
-#: Parts that the rows of a hot key are dealt to.
+#: Hot keys at most, as they are broadcast; beyond TASK_ROWS times as many rows in all, tasks have more rows.
+HOT_KEYS = 1 << 20
+#: Parts that the rows of a hot key are dealt to at least.
 SALTS = 64
 
 
@@ -65,30 +69,49 @@ def purge(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/corvix")
 
 
-def broadcast_if(df: DataFrame, most: int) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows; otherwise as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def hot_threshold(total: int) -> int:
-    return max(HOT_FLOOR, total // HOT_KEYS)
+    """Rows that a key has at most if it isn't hot, of `total` rows in all: so there are fewer hot keys than HOT_KEYS."""
+    return max(HOT_FLOOR, min(total // HOT_SHARE, TASK_ROWS), total // HOT_KEYS)
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, salt_by: list[str], total: int, how: str = "inner") -> DataFrame:
     """Equi-join in which no key of `big` lands in one task.
 
-    small has each key once, with the number `n` of big's rows that have it. Keys with more than
-    total / 512 rows, of which there are fewer than 512, are marked in `big` by a broadcast and dealt to
-    64 parts by salt_by; their rows of `small` are repeated for each part. `n` is not returned.
+    small has each key once, with the number `n` of big's rows that have it. Keys with more rows than
+    hot_threshold() are marked in `big` by a broadcast (of 2**20 keys at most) and dealt to parts by salt_by: 64, or as
+    many as keep a part at the threshold; their rows of `small` are repeated for each part. `n` is not returned.
+    With an empty salt_by rows are dealt by their place, for a `big` that is read from a table.
     """
     most = hot_threshold(total)
-    hot = F.broadcast(small.where(F.col(n) > most).select(*keys, F.lit(True).alias("_hot")))
-    big = big.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    parts = F.when(F.col(n) > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    small = small.withColumn("_salt", F.explode(parts)).drop(n)
+    parts = F.greatest(F.lit(SALTS), F.ceil(F.col(n) / most)).cast("int")
+    hot = F.broadcast(small.where(F.col(n) > most).select(*keys, parts.alias("_parts")))
+    place = F.xxhash64(*salt_by) if salt_by else F.monotonically_increasing_id()
+    big = big.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(place, F.col("_parts"))).cast("int")).drop("_parts")
+    dealt = F.when(F.col(n) > most, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    small = small.withColumn("_salt", F.explode(dealt)).drop(n)
     return big.join(small, [*keys, "_salt"], how).drop("_salt")
 
 
+#: What makes a worker forget things that it keeps for its next tasks.
+FORGET: list[Callable[[], None]] = []
+
+
+def trimmed() -> None:
+    """Give memory that a worker no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released() -> None:
+    """Forget what a worker keeps for tasks of another kind, such as token ids; called as a task begins."""
+    for forget in FORGET:
+        forget()
+    trimmed()
+
+
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """The rows of each key, from batches sorted by it; only one key's rows are held."""
     rows: list[dict] = []

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, written
+from ._common import as_bytes, released, trimmed, written
 
 WINDOW = 13
 #: Words of test items in one automaton; more items make more automata, passed one after another.
@@ -161,15 +161,20 @@ class SuffixAutomaton:
         return hit, items, longest
 
 
-def _pass(shared, first: bool):
-    """Adds one automaton's hits: packed bits in _hits, items in _items, the longest match in _longest."""
+FOUND = T.StructType([T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()), T.StructField("words", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pass(shared):
+    """What one automaton finds in texts, added to what others have: packed bits of hit words, items, the longest match."""
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        released()
         automaton = shared.value
-        for batch in batches:
+        for columns in batches:
+            given, *others = columns if isinstance(columns, tuple) else [columns]
             hits, items, longest, sizes = [], [], [], []
-            before = [(None, None, 0)] * batch.num_rows if first else list(zip(batch["_hits"].to_pylist(), batch["_items"].to_pylist(), batch["_longest"].to_pylist()))
-            for text, (had, names, most) in zip(as_bytes(batch["text"]), before):
+            before = zip(*(a.to_pylist() for a in others)) if others else [(None, None, 0)] * len(given)
+            for text, (had, names, most) in zip(as_bytes(given), before):
                 words = words_of(text)
                 hit, found, size = automaton.match(words)
                 if had:
@@ -179,31 +184,31 @@ def _pass(shared, first: bool):
                 items.append(sorted(found.union(names or ())))
                 longest.append(max(size, most))
                 sizes.append(len(words))
-            own = ["_hits", "_items", "_longest", "_words"]
-            names = [n for n in batch.schema.names if n not in own]
-            more = [pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], *more], names=[*names, *own])
+            columns = [pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.StructArray.from_arrays(columns, names=FOUND.names)
+        trimmed()
 
-    return run
+    return F.arrow_udf(run, FOUND).asNondeterministic()  # else it may run once for each use
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with _hits (bits of hit words, null: none), _items, _longest and _words.
 
     Items are dealt by hash to as many automata as keep each under AUTOMATON_WORDS; the driver builds
-    one at a time, and documents pass through one after another.
+    one at a time, and documents pass through one after another: once for each 100,000 words of items, which
+    suits test sets of some million words, not a second corpus. Workers get texts and return findings only.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     words = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     parts = max(1, math.ceil(words / AUTOMATON_WORDS))
-    added = [("_hits", T.BinaryType()), ("_items", T.ArrayType(T.StringType())), ("_longest", T.LongType()), ("_words", T.LongType())]
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in added]])
     out = docs
     for k in range(parts):
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         automaton = SuffixAutomaton(sorted((r.item_id, words_of(r.text.encode())) for r in part.collect()), window)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(automaton), k == 0), schema)
+        given = [F.col("text").cast("string"), *([] if k == 0 else ["_hits", "_items", "_longest"])]
+        found = out.withColumn("_found", _pass(spark.sparkContext.broadcast(automaton))(*given))
+        out = found.select(*[F.col(f"`{n}`") for n in docs.columns], *[F.col(f"_found.{n}").alias(f"_{n}") for n in FOUND.names])
         if (k + 1) % PASSES == 0 and k + 1 < parts:
             out = written(out, "hits")
     return out
@@ -238,17 +243,17 @@ def _counted(found: DataFrame, coverage: int) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 20) -> DataFrame:
-    """docs without contaminated documents, and without the hit spans in the others' texts.
+    """docs without contaminated documents (see contamination()), and without the hit spans in the others' texts.
 
     A span is a run of hit words; it goes from its first word's first byte to its last word's last. Null
-    texts and texts without hits stay as they are.
+    texts and texts without hits stay as they are. Rows are handled one by one, repeated or not; all columns of docs
+    come back, whatever their names, with `text` as a string. An empty table of documents gives no rows, one of items leaves all as it is.
     """
-    names = docs.columns
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch["text"])
-            for k, had in enumerate(batch["_hits"].to_pylist()):
+    def cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for given, hits in batches:
+            texts = as_bytes(given)
+            for k, had in enumerate(hits.to_pylist()):
                 if had:
                     spans = [m.span() for m in _WORD.finditer(texts[k].translate(_TABLE))]
                     hit = np.unpackbits(np.frombuffer(had, np.uint8), count=len(spans))
@@ -258,12 +263,15 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
                         out.append(texts[k][at : spans[a][0]])
                         at = spans[b - 1][1]
                     texts[k] = b"".join([*out, texts[k][at:]])
-            text = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([text if n == "text" else batch[n] for n in names], names=names)
+            yield pa.array(texts, pa.binary()).cast(pa.string())
 
-    found = matches(docs, benchmark, window)
+    names = [f"`{n}`" for n in docs.columns]
+    whole = docs.select(F.col("text").cast("string").alias("text"), F.struct(*names).alias("_doc"))
+    found = matches(whole, benchmark, window)
     clean = _counted(found.withColumn("_bits", F.col("_hits")), coverage).where(~F.col("contaminated"))
-    return clean.withColumnRenamed("_bits", "_hits").select(*names, "_hits").mapInArrow(cut, docs.schema)
+    text = F.when(F.col("_bits").isNull(), F.col("text")).otherwise(F.col("_cut"))
+    clean = clean.withColumn("_cut", F.arrow_udf(cut, T.StringType())("text", "_bits")).withColumn("_text", text)
+    return clean.select(*[F.col("_text").alias("text") if n == "text" else F.col(f"_doc.`{n}`").alias(n) for n in docs.columns])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

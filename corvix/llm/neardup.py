@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import as_bytes, dropped, runs, spread_join, written
-from .components import UnionFind, connected_components
+from ._common import as_bytes, dropped, released, runs, spread_join, trimmed, written
+from .components import connected_components
 
 WIDTH = 5
 #: Bands at most, and the share of pairs at the threshold that may agree on none of them.
@@ -108,9 +108,10 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def _signed(width: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         words = _Words()
         for batch in batches:
             sizes, digests, keys = [], [], []
@@ -119,9 +120,10 @@ def _signed(width: int, bands: int, rows: int):
                 sizes.append(len(x))
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()))
                 keys.append(band_keys(superminhash(x, bands * rows), bands, rows) if len(x) else [])
-            yield pa.record_batch([batch["doc_id"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.record_batch([batch["doc_id"], batch["key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+        trimmed()
 
-    return run, "doc_id long, n_shingles long, digest binary, bands array<long>"
+    return run, "doc_id long, key long, n_shingles long, digest binary, bands array<long>"
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -136,13 +138,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _members(rows: list[dict], words: dict, width: int) -> tuple[list[int], list[np.ndarray]]:
-    """Ids and sets of a group's rows; the smallest text counts for an id that several rows have."""
-    texts: dict[int, bytes] = {}
-    for r in rows:
-        if r["rep"] not in texts or r["text"] < texts[r["rep"]]:
-            texts[r["rep"]] = r["text"]
-    ids = sorted(texts)
-    return ids, [shingles(texts[i], words, width) for i in ids]
+    """Numbers and sets of a group's classes."""
+    rows.sort(key=lambda r: r["rep"])
+    return [r["rep"] for r in rows], [shingles(r["text"], words, width) for r in rows]
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -155,7 +153,8 @@ def group_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     are left out. Of the others one after another is compared with all, by counting how often each set
     occurs among the holders of its shingles; first the one with the most common shingles, then sets
     that are not in the largest component of those not yet compared. When these are one component, no
-    pair is left that could change one.
+    pair is left that could change one. Sets that share much and yet have few links are all compared: at worst
+    every set with every other, of the 4096 that a group may have.
     """
     m, n = len(sets), np.array([len(x) for x in sets])
     _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
@@ -207,6 +206,7 @@ def _links_within(width: int, percent: int):
             links = group_links(sets, percent) if len(ids) > 1 else []
             if links:
                 yield pa.record_batch([pa.array([ids[x] for x, _ in links], pa.int64()), pa.array([ids[y] for _, y in links], pa.int64())], schema=EDGES)
+        trimmed()
 
     return run
 
@@ -226,11 +226,21 @@ def _links_to_pivot(width: int, percent: int):
     return run
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, text) of the documents with the ids in column `rep`."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(ids) if few else ids, "rep")
+def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
+    """(rep, text) of the classes whose numbers are in column `rep` of wanted: the text of the row that stands for a class.
+
+    Where the same row may be there many times (not `once`), equal ones are reduced to one before they meet.
+    """
+    rows = classes.join(wanted, "rep", "left_semi").select("rep", F.col("least").alias("doc_id"), "key")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = _given(docs).where("text is not null").join(F.broadcast(rows) if few else rows, ["doc_id", "key"])
+    texts = texts.select("rep", F.col("text").cast("binary").alias("text"))
+    return texts if once else texts.groupBy("rep").agg(F.min("text").alias("text"))
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    """doc_id, text and `key`, a hash that tells the texts of one doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text")).select("doc_id", "key", "text")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
@@ -249,38 +259,57 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     until what is left of it is connected. So no pair of a bucket is left out that could change a component.
 
     Null and empty texts, and those without words, have empty sets and are their own component. Rows
-    with a null doc_id have a null component_id and are kept. Of rows that share a
-    doc_id that with the smallest text is compared with others; each row is returned. An empty table gives
-    no rows. Other columns are ignored.
+    with a null doc_id have a null component_id and are kept. Rows that share a doc_id are each compared
+    with all others, and returned; as they are one document, those that are not empty are in one component. An
+    empty table gives no rows. Other columns are ignored.
     """
     bands, rows = banding(percent)
     run, kind = _signed(width, bands, rows)
-    signed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind), "signed")
-    real = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("n_shingles").alias("shingles"), F.any_value("bands").alias("bands")), "classes")
+    signed = written(_given(docs).mapInArrow(run, kind), "signed")
+    real, total = signed.where("n_shingles > 0 and doc_id is not null"), signed.count()
+    classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("n"), F.any_value("n_shingles").alias("shingles"), F.any_value("bands").alias("bands"))
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("first.doc_id").alias("least"), F.col("first.key").alias("key"), "n", "shingles", "bands")
+    classes = written(classes, "classes")
+    own = F.xxhash64("digest")
+    repeated = real.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(own).alias("lo"), F.max(own).alias("hi")).where("n > 1")
+    once = repeated.isEmpty()
     in_bands = classes.select("rep", F.explode("bands").alias("bucket"))
     members = _shared_buckets(in_bands, classes.count() * bands)
     small, large = _split(members, classes)
-    links = _within(_texts(docs, small.select("rep")).join(small, "rep"), width, percent)
+    links = _within(_texts(docs, classes, small.select("rep"), once).join(small, "rep"), width, percent)
     if not large.isEmpty():
-        texts = _texts(docs, large.select("rep")).groupBy("rep").agg(F.min("text").alias("text"))
-        texts = written(texts.join(large, "rep"), "texts")
+        texts = written(_texts(docs, classes, large.select("rep"), once).join(large, "rep"), "texts")
         left = _linkable(texts, width, percent)
         members = _shared_buckets(members.select("rep", "bucket").join(left, "rep", "left_semi"), members.count())
         small, large = _split(members, classes)
         links = links.union(_within(texts.drop("grp").join(small, "rep"), width, percent))
         if not large.isEmpty():
             links = links.union(_large_links(texts.drop("grp"), large.select("rep"), members, width, percent))
-    labels = connected_components(links)
-
-    nodes = classes.select("digest", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = nodes.select("digest", F.coalesce("label", "rep").alias("component_id"), "n")
-    linked = spread_join(real.select("doc_id", "n_shingles", "digest"), component, ["digest"], "n", ["doc_id"], signed.count())
+    if not once:
+        links = links.union(_same_document(real, repeated, classes, total))
+    labels = connected_components(links).withColumnRenamed("node", "rep")
+
+    linked = labels.join(classes.select("rep", "least"), "rep")
+    least = linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = spread_join(labels, least, ["label"], "n", ["rep"], total).select("rep", "component_id")
+    component = classes.select("rep", "digest", "least", "n").join(named, "rep", "left")
+    component = component.select("digest", F.coalesce("component_id", "least").alias("component_id"), "n")
+    found = spread_join(real.select("doc_id", "n_shingles", "digest"), component, ["digest"], "n", [], total)
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    out = found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _same_document(real: DataFrame, repeated: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """Links between the classes of rows that share a doc_id."""
+    rows = spread_join(real.select("doc_id", "digest"), repeated.where("lo != hi").select("doc_id", "n"), ["doc_id"], "n", [], total)
+    kinds = written(rows.distinct(), "kinds")
+    held = kinds.groupBy("digest").agg(F.count("*").alias("n")).join(classes.select("digest", "rep"), "digest")
+    of = written(spread_join(kinds, held, ["digest"], "n", [], total).select("doc_id", "rep"), "of")
+    first = of.groupBy("doc_id").agg(F.min("rep").alias("first"), F.count("*").alias("n"))
+    return spread_join(of, first, ["doc_id"], "n", [], total).where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+
+
 def _shared_buckets(in_bands: DataFrame, total: int) -> DataFrame:
     """(bucket, rep, size, first) of buckets with several members, from (rep, bucket)."""
     buckets = in_bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
@@ -290,7 +319,7 @@ def _shared_buckets(in_bands: DataFrame, total: int) -> DataFrame:
 def _split(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, grp) of small candidate components and of large ones; grp is the component."""
     candidates = connected_components(members.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
-    sized = written(candidates.withColumnRenamed("node", "rep").join(classes.groupBy("rep").agg(F.max("shingles").alias("shingles")), "rep"), "sized")
+    sized = written(candidates.withColumnRenamed("node", "rep").join(classes.select("rep", "shingles"), "rep"), "sized")
     small = (F.count("*") <= GROUP) & (F.sum("shingles") <= PART)
     sizes = sized.groupBy("label").agg(F.count("*").alias("n"), small.alias("small"))
     grouped = spread_join(sized, sizes, ["label"], "n", ["rep"], sized.count())

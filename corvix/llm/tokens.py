@@ -10,6 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from ._common import FORGET
+
 #: A space between two characters that are no white space. Byte-level BPE starts a piece at each.
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 _RUN = re.compile(r"\s\s")
@@ -155,3 +157,6 @@ class Encoder:
 def encoder(definition: str, kept: int | None = None) -> Encoder:
     """The worker's encoder, with what it keeps; tasks that follow each other share it."""
     return Encoder(definition, kept)
+
+
+FORGET.append(encoder.cache_clear)

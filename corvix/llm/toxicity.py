@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes
+from ._common import as_bytes, released, trimmed
 
 #: Labelled rows of each class that the model is fitted on at most, those with the smallest hashes.
 SAMPLE = 3000
@@ -360,22 +360,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Whole texts are scored; null and empty ones, and those of white space, have all features zero.
     Without labels of both classes the score is the share of toxic ones, 0 without any. Rows are scored
     one by one, repeated or not; an empty table gives no rows. Columns named score or predicted are replaced.
+    Workers get texts and return scores only; the other columns stay in the JVM.
     """
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        released()
         fitted = shared.value
         flags = _Flags(fitted.lexicon) if fitted.constant is None else None
-        for batch in batches:
+        for texts in batches:
             if flags is None:
-                found = np.full(batch.num_rows, fitted.constant)
+                found = np.full(len(texts), fitted.constant)
             else:
-                found = fitted.scores(np.array([features(t, flags) for t in as_bytes(batch["text"])]).reshape(-1, len(FEATURES)))
-            columns = [*batch.columns, pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score", "predicted"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+                found = fitted.scores(np.array([features(t, flags) for t in as_bytes(texts)]).reshape(-1, len(FEATURES)))
+            yield pa.array(found, pa.float64())
+        flags = None
+        trimmed()
+
+    scored = F.arrow_udf(run, T.DoubleType()).asNondeterministic()  # else it may run once for each use
+    out = docs.withColumn("score", scored(F.col("text").cast("string")))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

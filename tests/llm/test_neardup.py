@@ -70,6 +70,43 @@ def test_odd_rows(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def brute_rows(rows, percent):
+    """Components of documents: rows are linked by their sets, or by their doc_id if none is empty."""
+    u = UnionFind()
+    s = [(i, sets(t)) for i, t in rows]
+    for x, (_, a) in enumerate(s):
+        for y, (_, b) in enumerate(s[:x]):
+            if a and b and (s[x][0] == s[y][0] or 100 * len(a & b) >= percent * len(a | b)):
+                u.union(x, y)
+    least = {}
+    for x, (i, _) in enumerate(s):
+        least[u.find(x)] = min(least.get(u.find(x), i), i)
+    return sorted((i, len(a), least[u.find(x)] if a else i) for x, (i, a) in enumerate(s))
+
+
+@pytest.mark.parametrize("group, floor", [(4096, 200), (3, 3)])
+def test_repeated_ids(spark, monkeypatch, group, floor):
+    rng = random.Random(8)
+    monkeypatch.setattr(neardup, "GROUP", group)
+    monkeypatch.setattr(_common, "HOT_FLOOR", floor)
+    text = words(rng, 200)
+    rows = [(5, "a few words"), (5, " ".join(text)), (7, " ".join(text)), (8, " ".join(text[:-1])), (9, " ".join(words(rng, 60)))]
+    bases = [words(rng, 90) for _ in range(6)]
+    for _ in range(80):
+        rows.append((rng.randrange(20, 90), " ".join(edited(rng, rng.choice(bases), rng.choice([0, 0.005, 0.02, 0.3])))))
+    rows += [(95, rng.choice(["", None, "one two", "one two three"])) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t, "x", None) for i, t in rows], SCHEMA).repartition(5)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 80).collect())
+    assert got == brute_rows(rows, 80)
+
+
+def test_much_repeated_id(spark):
+    one = spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one two three four five six seven").alias("text"))
+    docs = one.union(spark.createDataFrame([(2, "one two three four five six seven eight"), (3, "other words")], "doc_id long, text string"))
+    got = neardup.near_duplicates(docs, 75).groupBy("doc_id", "n_shingles", "component_id").count().collect()
+    assert sorted(map(tuple, got)) == [(2, 4, 2, 1), (3, 1, 2, 1), (3, 3, 2, 100_000)]
+
+
 def test_superminhash():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 3000).astype(np.uint64)
