@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -10,14 +11,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ._common import trimmed, written
 from .tokens import encoder
 
 #: Context sizes, powers of two, longest first.
 TIERS = (2048, 1024, 512, 256)
 END = 1
-#: Ids that a task gathers before it packs them; the rest that fills no window goes on to the next ones.
-GATHERED = 1 << 20
+#: Ids that a task gathers before it packs them, and that it keeps for the next ones, to have pieces of all lengths.
+GATHERED, RESERVE = 1 << 20, 1 << 16
 #: Ids of a step's group of sequences: the same for every tier.
 STEP = 16 * TIERS[0]
 
@@ -26,98 +29,81 @@ Piece = tuple[int, int, int]
 
 
 class Packer:
-    """Packs pieces of documents into windows of the tiers' sizes.
+    """Packs documents into windows of the tiers' sizes.
 
-    A document goes to the longest tier that it can fill: whole windows of that size are cut off it, and what is
-    left goes to the tier it can fill next, down to a rest shorter than the shortest window. Rests fill
-    windows of the longest tier, larger ones first; the gap of a window that the next rest doesn't fit takes the
-    shorter rest that fits best, and at last a cut of one. So every window but those of finish() is full.
+    A document goes to the shortest tier that holds it; of one that none holds, windows of the longest tier are cut
+    off first. Each tier's windows, longest tier first, begin with its longest piece that is left. What a
+    window has left takes whole pieces, of its tier or shorter ones, the longest that fits first, and where
+    none fits the beginning of the shortest one that is longer. So every window is full; a piece that a
+    window holds is cut for a gap that nothing else fills, or where all that is left is less than its tier.
     """
 
     def __init__(self, tiers: tuple[int, ...] = TIERS) -> None:
         self.tiers = tiers
-        self.rests: list[deque[Piece]] = [deque() for _ in range(tiers[-1])]
+        self.pieces: list[deque[Piece]] = [deque() for _ in range(tiers[0] + 1)]
+        self.lengths = 0  # bit n: there are pieces of n ids
         self.held = 0
 
     def route(self, doc: int, n: int) -> Iterator[tuple[int, list[Piece]]]:
         """Windows that a document fills alone; its rest is kept."""
-        at = 0
-        for size in self.tiers:
-            while n - at >= size:
-                yield size, [(doc, at, size)]
-                at += size
+        most, at = self.tiers[0], 0
+        while n - at > most:
+            yield most, [(doc, at, most)]
+            at += most
         if n > at:
             self._keep((doc, at, n - at))
 
     def _keep(self, piece: Piece) -> None:
-        self.rests[piece[2]].append(piece)
+        self.pieces[piece[2]].append(piece)
+        self.lengths |= 1 << piece[2]
         self.held += piece[2]
 
+    def _pop(self, n: int) -> Piece:
+        own = self.pieces[n]
+        piece = own.popleft()
+        if not own:
+            self.lengths ^= 1 << n
+        self.held -= n
+        return piece
+
     def _take(self, most: int) -> Piece | None:
-        """The longest rest of at most so many ids, the oldest of these."""
-        for n in range(min(most, len(self.rests) - 1), 0, -1):
-            if self.rests[n]:
-                self.held -= n
-                return self.rests[n].popleft()
-        return None
-
-    def _cut(self, most: int) -> Piece | None:
-        """The first `most` ids of the shortest rest that is longer."""
-        for n in range(most + 1, len(self.rests)):
-            if self.rests[n]:
-                doc, at, n = self.rests[n].popleft()
-                self.held -= n
-                self._keep((doc, at + most, n - most))
-                return doc, at, most
-        return None
+        """The longest piece of at most so many ids, the oldest of these."""
+        n = (self.lengths & (2 << most) - 1).bit_length() - 1
+        return self._pop(n) if n > 0 else None
+
+    def _cut(self, most: int) -> Piece:
+        """The first `most` ids of the shortest piece that is longer."""
+        longer = self.lengths >> most + 1
+        doc, at, n = self._pop((longer & -longer).bit_length() + most)
+        self._keep((doc, at + most, n - most))
+        return doc, at, most
 
     def _fill(self, size: int) -> list[Piece]:
         window, room = [], size
         while room:
             piece = self._take(room) or self._cut(room)
-            if piece is None:
-                break
             window.append(piece)
             room -= piece[2]
         return window
 
-    def pack(self) -> Iterator[tuple[int, list[Piece]]]:
-        """Full windows of the longest tier, as long as the rests suffice."""
-        while self.held >= self.tiers[0]:
-            yield self.tiers[0], self._fill(self.tiers[0])
-
-    def finish(self, least: int | None = None) -> Iterator[tuple[int, list[Piece]]]:
-        """Windows for all that is left: full ones of shorter tiers, and one that isn't full.
-
-        Sizes go on halving from the shortest tier's down to `least`; with 1 every window is full.
-        """
-        yield from self.pack()
-        shorter = [self.tiers[-1] >> n for n in range(1, self.tiers[-1].bit_length())]
-        for size in [*self.tiers[1:], *(n for n in shorter if least and n >= least)]:
-            while self.held >= size:
+    def pack(self, reserve: int = RESERVE) -> Iterator[tuple[int, list[Piece]]]:
+        """Full windows, tier by tier, until no more than `reserve` ids are left, or less than a window."""
+        for size, shorter in zip(self.tiers, (*self.tiers[1:], 0)):
+            while self.held >= max(size, reserve) and (self.lengths & (2 << size) - 1) >> shorter + 1:
                 yield size, self._fill(size)
-        if self.held:
-            yield self.tiers[-1], self._fill(self.tiers[-1])
 
+    def finish(self) -> Iterator[tuple[int, list[Piece]]]:
+        """Full windows for all that is left, the last ones of half the shortest tier's size, a quarter, ... and 1."""
+        yield from self.pack(0)
+        for n in range(self.tiers[0].bit_length() - 1, -1, -1):
+            while self.held >= 1 << n:
+                yield 1 << n, self._fill(1 << n)
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long"
 
+PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, part int, sequence long, offset long, context int"
 
-def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: int = END, kept: int | None = None) -> DataFrame:
-    """Pieces of packed documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset, context, step_group.
 
-    A document's ids are those of its whole text by the tokenizer at path `tokenizer`, without special
-    tokens, and `end`; a null or empty text has `end` alone. Each id is in one piece; ids holds a
-    piece's as little-endian unsigned 32-bit integers, start counts its document's ids before it, offset its
-    sequence's. A sequence has `context` ids, a power of two: a tier's size or, for the last ids of a task, fewer than
-    the shortest tier's, one of 128 to 1. So there is no padding, however many tasks there are. step_group
-    deals the sequences of each context size into groups of 16 * 2048 ids, of one size; as groups are
-    numbered within a task, the last one of each task and size is shorter.
-
-    Rows are packed within their partition, about a million ids at a time, so there is no shuffle; what
-    fills no window stays for the next million. Rows with a null doc_id or a repeated one are documents of
-    their own. An empty table gives no rows; other columns are ignored.
-    """
+def _pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...], end: int, kept: int | None, with_ids: bool) -> DataFrame:
     with open(tokenizer) as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -127,28 +113,25 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
         held: dict[int, list] = {}  # place: doc_id, ids, ids not yet put out
         out: list[tuple] = []
         numbers: Counter[int] = Counter()
-        sequences = 0
         last = np.array([end], "<u4").tobytes()
 
         def put(windows: Iterator[tuple[int, list[Piece]]]) -> None:
-            nonlocal sequences
             for size, window in windows:
                 offset = 0
-                group = numbers[size] * size // STEP
-                numbers[size] += 1
                 for place, at, n in window:
                     doc = held[place]
-                    out.append((doc[0], at, n, doc[1][4 * at : 4 * (at + n)], len(doc[1]) // 4, (part << 33) + sequences, offset, size, (part << 33) + group))
+                    ids = doc[1][4 * at : 4 * (at + n)]
+                    out.append((doc[0], at, n, ids if with_ids else None, zlib.crc32(ids), len(doc[1]) // 4, part, numbers[size], offset, size))
                     offset += n
                     doc[2] -= n
                     if not doc[2]:
                         del held[place]
-                sequences += 1
+                numbers[size] += 1
 
         def flushed() -> Iterator[pa.RecordBatch]:
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[f.split()[0] for f in PIECES.split(", ")])
                 out.clear()
 
         place = gathered = 0
@@ -163,12 +146,40 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: i
                     put(packer.pack())
                     yield from flushed()
                     gathered = 0
-        put(packer.finish(1))
+        put(packer.finish())
         yield from flushed()
+        trimmed()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end: int = END, kept: int | None = None, with_ids: bool = True) -> DataFrame:
+    """Pieces of packed documents: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset, context, step_group.
+
+    A document's ids are those of its whole text by the tokenizer at path `tokenizer`, without special
+    tokens, and `end`; a null or empty text has `end` alone. Each id is in one piece; ids (null without with_ids) holds
+    a piece's as little-endian unsigned 32-bit integers, start counts its document's ids before it, offset its
+    sequence's. A sequence has `context` ids, a power of two: a tier's size or, for the last ids of a task, fewer than
+    a tier's, down to 1. So there is no padding, however many tasks there are. Sequences of each context size are numbered
+    over all tasks, and step_group deals them into groups of 16 * 2048 ids, of one size; only the last group of a
+    size has fewer. `kept` bounds the parts of texts whose ids a worker keeps.
+
+    Documents are packed within their partition, about a million ids at a time, so texts aren't shuffled; what
+    fills no window stays for the next million. Pieces are written as a table, from which the windows of each task
+    and size are counted. Rows with a null doc_id or a repeated one are documents of their own. A text's ids are held
+    by one task whole (four bytes each) until they are put out. An empty table gives no rows; other columns are ignored.
+    """
+    pieces = written(_pack(docs, tokenizer, tiers, end, kept, with_ids), "pieces")
+    counts = pieces.groupBy("context", "part").agg((F.max("sequence") + 1).alias("n"))
+    before = W.partitionBy("context").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    firsts = counts.select("context", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    number = F.col("first") + F.col("sequence")
+    out = pieces.join(firsts, ["context", "part"]).withColumn("step_group", F.floor(number * F.col("context") / STEP))
+    sizes = F.floor(F.log2(F.col("context"))).cast("long")
+    out = out.withColumn("sequence_id", number * 64 + sizes)
+    return out.select("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
 
 def digest(docs: DataFrame, tokenizer: str, kept: int | None = None) -> DataFrame:
-    """Pieces with a checksum in place of their ids; `kept` bounds the parts whose ids a worker keeps."""
-    return pack(docs, tokenizer, kept=kept).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
+    """Pieces with a checksum in place of their ids."""
+    return pack(docs, tokenizer, kept=kept, with_ids=False).drop("ids")

@@ -29,6 +29,7 @@ def planted(spark, tmp_path_factory):
     rows[2][1] = copy
     item = prose(30)
     rows[10][1] = f"{prose(20)} {item} {prose(20)}"
+    rows[11][1] = f"{prose(900)} {item} {prose(20)}"
     passage = prose(60)
     for i in (20, 21, 22, 23):
         rows[i][1] = f"{rows[i][1]}\n{passage}\n{prose(40)}"
@@ -38,11 +39,11 @@ def planted(spark, tmp_path_factory):
     docs.write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
-    return str(root), passage
+    return str(root), passage, item
 
 
 def test_stages(spark, planted):
-    root, passage = planted
+    root, passage, item = planted
     assert [n for n, _ in corpus_pipeline.STAGES] == STAGES and corpus_pipeline.ORACLE_SQL is None
     docs, kept = spark.read.parquet(f"{root}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -56,10 +57,24 @@ def test_stages(spark, planted):
     gone = set(kept["line_dedup"]) - set(kept["near_dedup"])
     assert gone == {1, 2}
     assert set(kept["near_dedup"]) - set(kept["decontamination"]) == {10}
+    assert item not in kept["decontamination"][11] and item in kept["near_dedup"][11]
+    assert kept["decontamination"][12] == kept["near_dedup"][12]
+    long = docs.where("doc_id = 11").first()
+    assert long.n_chars == len(long.text)
     changed = docs.where("doc_id = 22").first()
     assert changed.n_chars == len(changed.text)
 
 
+def test_odd_rows(spark, planted):
+    root = planted[0]
+    rows = [(1, "one line of some words here", "en"), (1, "one line of some words here", "en"), (1, "another text", None), (None, None, "fr"), (None, "", None)]
+    docs = spark.createDataFrame([(*r, "s", 3, "x", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, n_hit int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, root)
+        assert docs.columns == corpus_pipeline.COLUMNS and docs.count() == 5, name
+    assert corpus_pipeline.pack_sequences(spark, docs, root).select("doc_id").distinct().count() == 2
+
+
 def test_run(spark, planted):
     out = corpus_pipeline.run(spark, planted[0])
     assert out.where("doc_id = 4 OR doc_id = 2 OR doc_id = 10").count() == 0

@@ -66,32 +66,87 @@ def test_packing(spark, docs, encoder, monkeypatch):
         assert b"".join(bytes(p.ids) for p in parts) == ids
         assert [p.start for p in parts] == np.cumsum([0, *[p.length for p in parts]])[:-1].tolist()
         assert all(p.doc_tokens == len(ids) // 4 for p in parts)
-    padding = 0
     for parts in by_seq.values():
         parts.sort(key=lambda r: r.offset)
         n = sum(p.length for p in parts)
         assert [p.offset for p in parts] == np.cumsum([0, *[p.length for p in parts]])[:-1].tolist()
-        assert n <= parts[0].context <= 2048
-        padding += 0 if n & (n - 1) == 0 else 2048 - n
-    assert padding <= 2048 * df.rdd.getNumPartitions()
+        assert n == parts[0].context <= 2048 and n & (n - 1) == 0 and len({(p.context, p.step_group) for p in parts}) == 1
+    groups = collections.Counter((p[0].context, p[0].step_group) for p in by_seq.values())
+    for size in {k for k, _ in groups}:
+        counts = [n for (k, _), n in sorted(groups.items()) if k == size]
+        assert set(counts[:-1]) <= {packing.STEP // size} and counts[-1] <= packing.STEP // size
     assert packing.digest(df.limit(0), PATH).count() == 0
     assert packing.digest(df, PATH).agg(F.sum("length")).first()[0] == total
+    clashing = df.withColumns({"part": F.lit("x"), "context": F.lit("y"), "sequence": F.lit(0)})
+    assert packing.digest(clashing, PATH).agg(F.sum("length")).first()[0] == total
+
+
+def naive_windows(lengths, tiers):
+    """Packer's windows by lists: (size, [(document, first id, ids)])."""
+    pieces, out = [], []
+    for doc, n in enumerate(lengths):
+        at = 0
+        while n - at > tiers[0]:
+            out.append((tiers[0], [(doc, at, tiers[0])]))
+            at += tiers[0]
+        if n > at:
+            pieces.append((doc, at, n - at))
+
+    def window(size):
+        own, room = [], size
+        while room:
+            fits = [p for p in pieces if p[2] <= room]
+            if fits:
+                piece = next(p for p in fits if p[2] == max(q[2] for q in fits))
+                pieces.remove(piece)
+            else:
+                least = min(p[2] for p in pieces)
+                doc, at, n = next(p for p in pieces if p[2] == least)
+                pieces.remove((doc, at, n))
+                piece = (doc, at, room)
+                pieces.append((doc, at + room, n - room))
+            own.append(piece)
+            room -= piece[2]
+        return size, own
+
+    for size, less in zip(tiers, (*tiers[1:], 0)):
+        while sum(p[2] for p in pieces) >= size and any(less < p[2] <= size for p in pieces):
+            out.append(window(size))
+    size = tiers[0]
+    while pieces:
+        while sum(p[2] for p in pieces) >= size:
+            out.append(window(size))
+        size //= 2
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packer_by_lists(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([1, 3, 20, 60, 100, 127, 128, 130, 500]) for _ in range(rng.choice([1, 7, 300]))]
+    p, got = Packer((128, 64, 32)), []
+    for d, n in enumerate(lengths):
+        got += p.route(d, n)
+    assert [*got, *p.finish()] == naive_windows(lengths, (128, 64, 32))
 
 
 def test_packer_fills_windows():
     rng = random.Random(1)
-    p = Packer()
-    windows, given = [], 0
-    for d in range(2000):
-        n = rng.choice([1, 3, 100, 255, 256, 700, 1500, 2048, 5000])
-        given += n
-        windows += p.route(d, n)
-        if d % 100 == 0:
+    p, lengths = Packer(), []
+    windows = []
+    for d in range(4000):
+        lengths.append(rng.choice([1, 3, 100, 255, 256, 700, 1500, 2048, 5000, rng.randrange(1, 2000)]))
+        windows += p.route(d, lengths[-1])
+        if d % 500 == 0:
             windows += p.pack()
     windows += p.finish()
-    assert sum(n for _, w in windows for _, _, n in w) == given
-    assert sum(1 for size, w in windows if sum(n for _, _, n in w) < size) <= 1
-    assert {size for size, _ in windows} == {2048, 1024, 512, 256}
+    pieces = collections.Counter(d for _, w in windows for d, _, _ in w)
+    assert all(sum(n for _, _, n in w) == size for size, w in windows)
+    assert sum(n for _, w in windows for _, _, n in w) == sum(lengths)
+    short = [d for d, n in enumerate(lengths) if n <= 2048]
+    cut = [d for d in short if pieces[d] > 1]
+    assert len(cut) <= len(windows) and len(cut) < 0.15 * len(short)
+    assert {2048, 1024, 512, 256} <= {size for size, _ in windows}
 
 
 def test_packing_needs_no_padding(spark, docs):
@@ -103,8 +158,8 @@ def test_packing_needs_no_padding(spark, docs):
         ids[parts] = sum(r.n for r in out)
     assert ids[1] == ids[30]
     p = Packer()
-    windows = [*p.route(0, 255), *p.route(1, 300), *p.finish(1)]
-    assert [(size, sum(n for _, _, n in w)) for size, w in windows] == [(256, 256), (256, 256), (32, 32), (8, 8), (2, 2), (1, 1)]
+    windows = [*p.route(0, 255), *p.route(1, 300), *p.finish()]
+    assert [(size, sum(n for _, _, n in w)) for size, w in windows] == [(512, 512), (32, 32), (8, 8), (2, 2), (1, 1)]
 
 
 @pytest.mark.parametrize("block", [1 << 20, 50])
