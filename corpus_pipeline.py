@@ -1,7 +1,8 @@
 """A corpus pipeline: toxicity filter, line dedup, near-dedup, decontamination and packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return
-the columns of documents.
+the columns of documents. Rows that share a doc_id are parts of one document for the line and near-dedup stages and
+rows of their own for the others; null texts and empty tables pass; columns that documents doesn't have are left out.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from corvix.llm import decontaminate, linededup, neardup, packing, toxicity
 from corvix.llm._common import written
 
-#: Parts of texts whose ids a packing worker keeps: few, as other stages have filled the executors before.
+#: Parts of texts whose ids a packing worker keeps: fewer than it may alone, as executors hold what other stages left.
 KEPT = 300_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,13 +43,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words stands in passages of test items.
-
-    They stay as they are: passages under that limit, even a whole test item in a very long document, aren't
-    cut out. decontaminate.remove_spans() does that; no stage or query calls it.
-    """
+    """Documents of which less than a twentieth of the words stands in passages of test items, without these passages."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contamination(docs.select(*COLUMNS), benchmark).where(~F.col("contaminated")).select(*COLUMNS)
+    out = decontaminate.remove_spans(docs.select(*COLUMNS, F.col("text").alias("_before")), benchmark)
+    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
