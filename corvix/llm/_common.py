@@ -129,3 +129,19 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a text column."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def each_text(column: pa.Array | pa.ChunkedArray, rows: int = 256) -> Iterator[bytes | None]:
+    """as_bytes(), some rows at a time."""
+    for at in range(0, len(column), rows):
+        yield from as_bytes(column.slice(at, rows))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let workers of this session get rows in batches of 8 MB (Spark's default: 64) or one row; results are the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small table from the driver's memory. Made from Arrow, it needs no Python worker on the executors."""
+    return spark.createDataFrame(pa.table(columns))

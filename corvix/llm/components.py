@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         current = following
     dropped(current)
     if not steps:
-        return spark.createDataFrame([], "node long, label long")
+        return spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("label"))
     out = steps[0].select("node", F.col("to").alias("label"))
     for step in steps[1:]:
         out = written(out, "labels")

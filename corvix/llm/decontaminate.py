@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, released, trimmed, written
+from ._common import each_text, released, trimmed, written
 
 WINDOW = 13
 #: Words of test items in one automaton; more items make more automata, passed one after another.
@@ -161,38 +161,50 @@ class SuffixAutomaton:
         return hit, items, longest
 
 
-FOUND = T.StructType([T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()), T.StructField("words", T.LongType())])
+FOUND = T.StructType([T.StructField("hits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()), T.StructField("words", T.LongType()), T.StructField("rest", T.StringType())])
 
 
-def _pass(shared):
-    """What one automaton finds in texts, added to what others have: packed bits of hit words, items, the longest match."""
+def without(text: bytes, hits: np.ndarray) -> bytes:
+    """A text without its runs of hit words, each from its first word's first byte to its last word's last."""
+    spans = [m.span() for m in _WORD.finditer(text.translate(_TABLE))]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hits, [0]))))
+    out, at = [], 0
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        out.append(text[at : spans[a][0]])
+        at = spans[b - 1][1]
+    return b"".join([*out, text[at:]])
+
+
+def _pass(shared, cut: bool):
+    """What one automaton finds in texts, added to what others have: packed bits of hit words, items, the longest match.
+
+    `rest` is, with `cut`, the text without its hit words, for texts that have some.
+    """
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         released()
         automaton = shared.value
         for columns in batches:
             given, *others = columns if isinstance(columns, tuple) else [columns]
-            hits, items, longest, sizes = [], [], [], []
+            found: list[tuple] = []
             before = zip(*(a.to_pylist() for a in others)) if others else [(None, None, 0)] * len(given)
-            for text, (had, names, most) in zip(as_bytes(given), before):
+            for text, (had, names, most) in zip(each_text(given), before):
                 words = words_of(text)
-                hit, found, size = automaton.match(words)
+                hit, items, size = automaton.match(words)
                 if had:
                     old = np.unpackbits(np.frombuffer(had, np.uint8), count=len(words)).astype(bool)
                     hit = old if hit is None else hit | old
-                hits.append(None if hit is None else np.packbits(hit).tobytes())
-                items.append(sorted(found.union(names or ())))
-                longest.append(max(size, most))
-                sizes.append(len(words))
-            columns = [pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(sizes, pa.int64())]
-            yield pa.StructArray.from_arrays(columns, names=FOUND.names)
+                rest = without(text, hit).decode() if cut and hit is not None else None
+                found.append((None if hit is None else np.packbits(hit).tobytes(), sorted(items.union(names or ())), max(size, most), len(words), rest))
+            kinds = [pa.binary(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string()]
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [[]] * 5, kinds)], names=FOUND.names)
         trimmed()
 
     return F.arrow_udf(run, FOUND).asNondeterministic()  # else it may run once for each use
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _hits (bits of hit words, null: none), _items, _longest and _words.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cut: bool = False) -> DataFrame:
+    """docs with _hits (bits of hit words, null: none), _items, _longest, _words and, with `cut`, _rest (see _pass()).
 
     Items are dealt by hash to as many automata as keep each under AUTOMATON_WORDS; the driver builds
     one at a time, and documents pass through one after another: once for each 100,000 words of items, which
@@ -207,7 +219,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         part = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         automaton = SuffixAutomaton(sorted((r.item_id, words_of(r.text.encode())) for r in part.collect()), window)
         given = [F.col("text").cast("string"), *([] if k == 0 else ["_hits", "_items", "_longest"])]
-        found = out.withColumn("_found", _pass(spark.sparkContext.broadcast(automaton))(*given))
+        found = out.withColumn("_found", _pass(spark.sparkContext.broadcast(automaton), cut and k + 1 == parts)(*given))
         out = found.select(*[F.col(f"`{n}`") for n in docs.columns], *[F.col(f"_found.{n}").alias(f"_{n}") for n in FOUND.names])
         if (k + 1) % PASSES == 0 and k + 1 < parts:
             out = written(out, "hits")
@@ -226,8 +238,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     table of documents gives no rows, one of items no hits. Columns of docs with the names above, or
     with those of matches(), are replaced.
     """
-    taken = ["n_words", "n_hit", "items", "longest", "contaminated", "_hits", "_items", "_longest", "_words"]
-    return _counted(matches(docs.drop(*taken), benchmark, window), coverage)
+    taken = ["n_words", "n_hit", "items", "longest", "contaminated", *[f"_{n}" for n in FOUND.names]]
+    return _counted(matches(docs.drop(*taken), benchmark, window), coverage).drop("_rest")
 
 
 def _counted(found: DataFrame, coverage: int) -> DataFrame:
@@ -250,28 +262,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     come back, whatever their names, with `text` as a string. An empty table of documents gives no rows, one of items leaves all as it is.
     """
 
-    def cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for given, hits in batches:
-            texts = as_bytes(given)
-            for k, had in enumerate(hits.to_pylist()):
-                if had:
-                    spans = [m.span() for m in _WORD.finditer(texts[k].translate(_TABLE))]
-                    hit = np.unpackbits(np.frombuffer(had, np.uint8), count=len(spans))
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
-                    out, at = [], 0
-                    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                        out.append(texts[k][at : spans[a][0]])
-                        at = spans[b - 1][1]
-                    texts[k] = b"".join([*out, texts[k][at:]])
-            yield pa.array(texts, pa.binary()).cast(pa.string())
-
     names = [f"`{n}`" for n in docs.columns]
     whole = docs.select(F.col("text").cast("string").alias("text"), F.struct(*names).alias("_doc"))
-    found = matches(whole, benchmark, window)
-    clean = _counted(found.withColumn("_bits", F.col("_hits")), coverage).where(~F.col("contaminated"))
-    text = F.when(F.col("_bits").isNull(), F.col("text")).otherwise(F.col("_cut"))
-    clean = clean.withColumn("_cut", F.arrow_udf(cut, T.StringType())("text", "_bits")).withColumn("_text", text)
-    return clean.select(*[F.col("_text").alias("text") if n == "text" else F.col(f"_doc.`{n}`").alias(n) for n in docs.columns])
+    clean = _counted(matches(whole, benchmark, window, cut=True), coverage).where(~F.col("contaminated"))
+    text = F.coalesce("_rest", "text").alias("text")
+    return clean.select(*[text if n == "text" else F.col(f"_doc.`{n}`").alias(n) for n in docs.columns])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

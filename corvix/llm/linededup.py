@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import HOT_KEYS, hot_threshold, written
+from ._common import TASK_ROWS, hot_threshold, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,9 +36,9 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
 
     Bit i of word w stands for line 64 * w + i; a set bit is a line that goes, words without one are left
     out, so an absent document keeps all its lines. 16 bytes of hash stand for a line's key. Keys with
-    more than 1/512 of all lines, fewer than 512, are settled by a pre-aggregated count and broadcast. The
-    others are range-partitioned by hash and sorted by document, largest first, and position; the first
-    document of a key that streams by keeps its lines.
+    more lines than hot_threshold() (a 512th of all or a million; 2**20 keys at most) are settled by a pre-aggregated
+    count and broadcast. The others are range-partitioned by hash, a million lines or fewer a partition, and sorted by
+    document, largest first, and position; the first document of a key that streams by keeps its lines.
     """
     lines = docs.select("doc_id", _row().alias("row_hash"), F.posexplode(F.transform(_lines(), _key)).alias("pos", "key"))
     lines = lines.where(F.char_length("key") >= least_chars)
@@ -44,24 +46,21 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
 
     counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     total = lines.count()
-    hot = counts.where(F.col("n") > hot_threshold(total)).select("h1", "h2").collect()
-    assert len(hot) <= max(HOT_KEYS, total)
+    hot = written(counts.where(F.col("n") > hot_threshold(total)).select("h1", "h2"), "hot")
     rest, gone_hot = lines, None
-    if hot:
-        spark = docs.sparkSession
-        keys = F.broadcast(spark.createDataFrame(hot, "h1 long, h2 long"))
-        of_hot = lines.join(keys, ["h1", "h2"])
-        per_doc = of_hot.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        stats = per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")).collect()
-        stats = F.broadcast(spark.createDataFrame([(r.h1, r.h2, r.docs, r.last) for r in stats], "h1 long, h2 long, docs long, last long"))
-        later = (F.col("docs") >= least_docs) & ~F.col("doc_id").cast("long").eqNullSafe(F.col("last"))
-        gone_hot = lines.join(stats, ["h1", "h2"]).where(later).select("doc_id", "row_hash", "pos")
+    if not hot.isEmpty():
+        keys = F.broadcast(hot)
+        per_doc = lines.join(keys, ["h1", "h2"]).groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+        stats = written(per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")), "stats")
+        later = (F.col("docs") >= least_docs) & ~F.col("doc_id").eqNullSafe(F.col("last"))
+        gone_hot = lines.join(F.broadcast(stats), ["h1", "h2"]).where(later).select("doc_id", "row_hash", "pos")
         rest = lines.join(keys, ["h1", "h2"], "left_anti")
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rest.repartitionByRange(parts, "h1", "h2")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ROWS))
+    largest_first = F.desc_nulls_last("doc_id")
+    ranged = rest.repartitionByRange(parts, "h1", "h2").sortWithinPartitions("h1", "h2", largest_first, "pos")
     same = W.partitionBy("h1", "h2")
-    streamed = ranged.withColumn("nth", F.dense_rank().over(same.orderBy(F.desc_nulls_last("doc_id")))).withColumn("docs", F.max("nth").over(same))
+    streamed = ranged.withColumn("nth", F.dense_rank().over(same.orderBy(largest_first))).withColumn("docs", F.max("nth").over(same))
     gone = streamed.where((F.col("docs") >= least_docs) & (F.col("nth") > 1)).select("doc_id", "row_hash", "pos")
     if gone_hot is not None:
         gone = gone.unionByName(gone_hot)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import as_bytes, dropped, released, runs, spread_join, trimmed, written
+from ._common import dropped, each_text, released, runs, spread_join, trimmed, written
 from .components import connected_components
 
 WIDTH = 5
@@ -115,7 +115,7 @@ def _signed(width: int, bands: int, rows: int):
         words = _Words()
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in as_bytes(batch["text"]):
+            for text in each_text(batch["text"]):
                 x = shingles(text, words, width)
                 sizes.append(len(x))
                 digests.append(xxhash.xxh3_128_digest(x.tobytes()))
@@ -341,7 +341,7 @@ def _dealt_shingles(width: int):
         words = _Words()
         for batch in batches:
             rows = []
-            for grp, parts, rep, text in zip(batch["grp"].to_pylist(), batch["parts"].to_pylist(), batch["rep"].to_pylist(), as_bytes(batch["text"])):
+            for grp, parts, rep, text in zip(batch["grp"].to_pylist(), batch["parts"].to_pylist(), batch["rep"].to_pylist(), each_text(batch["text"])):
                 x = shingles(text, words, width)
                 of = (x % np.uint64(parts)).astype(np.int64)
                 x = x[np.argsort(of, kind="stable")]

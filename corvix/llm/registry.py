@@ -7,10 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, linededup, neardup, packing, ppm, sharding, toxicity, vafile, wavelet
+from . import _common, decontaminate, language, linededup, neardup, packing, ppm, sharding, toxicity, vafile, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _common.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

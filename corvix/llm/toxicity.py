@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, released, trimmed
+from ._common import each_text, local_table, released, trimmed
 
 #: Labelled rows of each class that the model is fitted on at most, those with the smallest hashes.
 SAMPLE = 3000
@@ -348,7 +348,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = known.withColumn("at", at).where(F.col("at") <= sample).select("doc_id", "label").collect()
     if not ids:
         return Model([])
-    chosen = F.broadcast(spark.createDataFrame([(r.doc_id, r.label) for r in ids], "doc_id long, label int"))
+    chosen = F.broadcast(local_table(spark, {"doc_id": pa.array([r.doc_id for r in ids], pa.int64()), "label": pa.array([r.label for r in ids], pa.int32())}))
     texts = read.join(chosen, "doc_id")
     one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     return Model([(r.text, r.label) for r in sorted(one.collect(), key=lambda r: r.doc_id)])
@@ -373,7 +373,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if flags is None:
                 found = np.full(len(texts), fitted.constant)
             else:
-                found = fitted.scores(np.array([features(t, flags) for t in as_bytes(texts)]).reshape(-1, len(FEATURES)))
+                found = fitted.scores(np.array([features(t, flags) for t in each_text(texts)]).reshape(-1, len(FEATURES)))
             yield pa.array(found, pa.float64())
         flags = None
         trimmed()

@@ -211,3 +211,13 @@ def test_remove_spans(spark):
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     out = {r.doc_id: r.text for r in decontaminate.remove_spans(d, b).collect()}
     assert out == {1: f"{filler}, ! {filler}", 3: "clean é", 4: None}
+
+
+def test_remove_spans_with_clashing_columns(spark):
+    item = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"{'a ' * 600}{item.upper()}, b", "x", 9), (2, None, "y", 8), (2, None, "y", 8), (3, item, "z", 7)], "doc_id long, text string, _hits string, n_hit int")
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.remove_spans(docs, tests).collect()), key=str)
+    assert got == [(1, f"{'a ' * 600}, b", "x", 9), (2, None, "y", 8), (2, None, "y", 8)]
+    assert decontaminate.remove_spans(docs, tests.limit(0)).count() == 4
+    assert decontaminate.remove_spans(docs.limit(0), tests).count() == 0
