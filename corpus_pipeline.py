@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvix.llm import decontaminate, linededup, neardup, packing, toxicity
-from corvix.llm._common import written
+from corvix.llm._common import bounded_batches, written
 
 #: Parts of texts whose ids a packing worker keeps: fewer than it may alone, as executors hold what other stages left.
 KEPT = 300_000
@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, doesn't predict to be toxic."""
+    bounded_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
@@ -37,6 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share a doc_id are one document; rows without one stay.
     """
+    bounded_batches(spark)
     found = neardup.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(found, "doc_id", "left_semi")
     return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null")).select(*COLUMNS)
@@ -44,6 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stands in passages of test items, without these passages."""
+    bounded_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     out = decontaminate.remove_spans(docs.select(*COLUMNS, F.col("text").alias("_before")), benchmark)
     changed = ~F.col("text").eqNullSafe(F.col("_before"))
@@ -52,6 +55,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, packed into sequences."""
+    bounded_batches(spark)
     return packing.digest(docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT)
 
 
