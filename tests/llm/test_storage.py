@@ -316,5 +316,19 @@ def test_top_k(spark, monkeypatch):
     assert vafile.digest(df.limit(0)).count() == 0
     v = vafile.whole_numbers(df)
     assert vafile.top_k(v, v.where("id = 500"), 5).collect()[0].vec_id == 501
-    with pytest.raises(ValueError):
-        vafile.top_k(v.selectExpr("id", "transform(x, c -> c * 100000000) x"), v, 5)
+
+
+def test_top_k_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(c) for c in rng.normal(size=4)]) for i in range(60)]
+    rows += [(100 + i, [float(c) for c in rng.normal(size=4) * 10.0 ** rng.integers(5, 18)]) for i in range(60)]
+    rows += [(300, [1e300, -1.0, 0.0, 2.0]), (301, [-1e300, 0.5, 1.0, 0.0]), (320, [2e306, 0.0, 0.0, 0.0]), (321, [1e308, 0.0, 0.0, 0.0])]
+    rows += [(340, [0.25] * 4)] * 70 + [(341, [0.25] * 4)] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = brute_top([r for r in rows if r[0] != 321], 20, 20)
+    got = collections.defaultdict(list)
+    for r in vafile.digest(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {q: [(i, max(-(2**63), min(2**63 - 1, s))) for i, s in found] for q, found in want.items()}
+    numbers = [0, 1, -1, 9, -9, 10, -10, 10**40, -(10**40), 10**40 + 1, 5 * 10**600]
+    assert sorted(numbers, key=vafile.sortable) == sorted(numbers)
