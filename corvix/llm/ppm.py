@@ -12,20 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, written
+from ._common import as_bytes, released, trimmed, written
 
 #: Bytes of the longest context.
 ORDER = 5
-#: Longest contexts with their symbols in one trie; a larger model is passed in parts, by the two latest bytes.
-GRAMS = 2_000_000
-#: Parts of the model that the workers of an executor hold at once.
-PASSES = 2
-#: Distinct contexts that a counting task gathers before it puts them out.
+#: Contexts with their symbols that are worked out together, if no context of CLASS bytes has more.
+GRAMS = 500_000
+#: Bytes that all contexts of a class share: a class has at most 256 ** (ORDER - CLASS + 1) contexts with their symbols.
+CLASS = 3
+#: Distinct contexts of a block that are gathered before equal ones are summed up.
 GATHERED = 1_000_000
 #: Bytes of texts worked on at once, if no text is longer.
 SLICE = 1 << 19
-#: Bytes of texts in a block of documents, for the word counts.
-BLOCK_BYTES = 32 << 20
+#: Bytes of texts in a block of documents.
+BLOCK_BYTES = 64 << 20
 #: Tasks over the blocks at most; each takes its blocks one after another.
 TASKS = 20_000
 #: What stands before a text and ends it; neither byte occurs in UTF-8.
@@ -80,39 +80,6 @@ def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return g[first], np.add.reduceat(c, first) if len(g) else c
 
 
-def _count(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-
-        def put() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(grams[0].view(np.int64)), pa.array(counts[0])], names=["gram", "n"])
-
-        for batch in batches:
-            for texts in sliced(as_bytes(batch["text"])):
-                g, c = np.unique(windows(texts, order)[0], return_counts=True)
-                grams.append(g)
-                counts.append(c.astype(np.int64))
-                if sum(map(len, grams)) > GATHERED:
-                    g, c = _summed(grams, counts)
-                    grams, counts = [g], [c]
-                    if len(g) > GATHERED // 2:
-                        yield put()
-                        grams, counts = [], []
-        if grams:
-            g, c = _summed(grams, counts)
-            grams, counts = [g], [c]
-            yield put()
-
-    return run
-
-
-def count_contexts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n): how often each symbol follows each context of `order` bytes, in all of docs' texts."""
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count(order), "gram long, n long")
-    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 class Trie:
     """Contexts of 0 to `order` bytes and their symbols' counts, with PPM code lengths worked out.
 
@@ -123,8 +90,11 @@ class Trie:
     extension alone: `past` has its logarithm, `passed` that of a further escape.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> None:
-        """grams, counts: sorted longest contexts with symbols; short: those of two bytes, of the whole model."""
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> None:
+        """grams, counts: sorted longest contexts with symbols, of whole classes; low: the shorter ones, of less than CLASS bytes.
+
+        Of low the last need not have more than the contexts that the classes end with.
+        """
         self.order = order
         self.grams: list[np.ndarray] = [np.zeros(0, np.uint64)] * (order + 1)
         self.contexts: list[np.ndarray] = [np.zeros(0, np.uint64)] * (order + 1)
@@ -132,10 +102,10 @@ class Trie:
         for k in range(order, -1, -1):
             if k == order:
                 self.grams[k], seen[k] = grams, counts
-            elif k > 2:
+            elif k >= len(low):
                 self.grams[k], seen[k] = _summed([self.grams[k + 1] & _mask(k + 1)], [seen[k + 1]])
             else:
-                self.grams[k], seen[k] = _summed([short[0] & _mask(k + 1)], [short[1]])
+                self.grams[k], seen[k] = low[k]
         self.log_seen = [np.log10(c).astype(np.float32) if len(c) else np.zeros(0, np.float32) for c in seen]
         self.whole, self.escape, self.past, self.passed = [], [], [], []
         total: list[np.ndarray] = []
@@ -163,53 +133,6 @@ class Trie:
                 self.past.append(np.zeros(0, np.float32))
                 self.passed.append(np.zeros(0, np.float32))
         self.alike = np.float32(-math.log10(max(1, SYMBOLS - (int(distinct[0][0]) if len(distinct[0]) else 0))))
-        self.keys: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("keys", "values")} | {"keys": None}
-
-    def _place(self, grams: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def _table(self) -> None:
-        """An open-addressing table of the longest contexts' symbols and their log10 probabilities."""
-        grams = self.grams[self.order]
-        own = np.searchsorted(self.contexts[self.order], grams >> np.uint64(8))
-        logs = self.log_seen[self.order] - self.whole[self.order][own] if len(grams) else np.zeros(0, np.float32)
-        self.bits = max(4, int(2 * len(grams)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, 2**64 - 1, np.uint64), np.zeros(1 << self.bits, np.float32)
-        left, at = np.arange(len(grams)), self._place(grams)
-        while len(left):
-            free = self.keys[at] == np.uint64(2**64 - 1)
-            places, first = np.unique(at[free], return_index=True)
-            chosen = np.flatnonzero(free)[first]
-            self.keys[places], self.values[places] = grams[left[chosen]], logs[left[chosen]]
-            rest = np.ones(len(left), bool)
-            rest[chosen] = False
-            left, at = left[rest], at[rest] + 1 & (1 << self.bits) - 1
-
-    def logs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after its context."""
-        if self.keys is None:
-            self._table()
-        out = np.zeros(len(grams), np.float32)
-        at = self._place(grams)
-        left = np.arange(len(grams))
-        missed = []
-        while len(left):
-            key = self.keys[at]
-            hit = key == grams[left]
-            out[left[hit]] = self.values[at[hit]]
-            none = key == np.uint64(2**64 - 1)
-            missed.append(left[none])
-            more = ~(hit | none)
-            left, at = left[more], at[more] + 1 & (1 << self.bits) - 1
-        missed = np.concatenate(missed) if missed else left
-        if len(missed):
-            different, back = np.unique(grams[missed], return_inverse=True)
-            out[missed] = self._shorter(different)[back]
-        return out
 
     def _find(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Places of keys in a sorted table, -1 where absent."""
@@ -218,8 +141,8 @@ class Trie:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return np.where(table[at] == keys, at, -1)
 
-    def _shorter(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probabilities of symbols, some of which the longest context has not seen."""
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol after its context."""
         out = np.zeros(len(grams), np.float32)
         left = np.arange(len(grams))
         above = np.full(len(grams), -1)  # place of the context escaped from
@@ -243,146 +166,192 @@ class Trie:
         return out
 
 
-def _scored(shared, classes: tuple[int, int], first: bool, order: int):
-    """Adds the log10 probabilities of the symbols whose two latest bytes are in a range."""
+LISTED = "block int, gram boolean, key long, n long"
+
+
+def _listed(order: int):
+    """Distinct words (as hashes) and contexts with symbols of each block, and how often its training documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = shared.value
+        released()
+        words: dict[bytes, int] = {}
+        grams: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        block = None
+
+        def rows(gram: bool, keys: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 100_000):
+                n = len(keys[at : at + 100_000])
+                yield pa.record_batch([pa.array([block] * n, pa.int32()), pa.array([gram] * n), pa.array(keys[at : at + n].view(np.int64)), pa.array(numbers[at : at + n])], names=["block", "gram", "key", "n"])
+
+        def put() -> Iterator[pa.RecordBatch]:
+            yield from rows(False, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), np.fromiter(words.values(), np.int64, len(words)))
+            if grams:
+                yield from rows(True, *_summed(grams, counts))
+
         for batch in batches:
-            sums = []
-            for texts in sliced(as_bytes(batch["text"])):
-                grams, begins = windows(texts, order)
-                if classes == (0, 1 << 16):
-                    logs = trie.logs(grams)
-                else:
-                    latest = (grams >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
-                    own = np.flatnonzero((latest >= classes[0]) & (latest < classes[1]))
-                    logs = np.zeros(len(grams), np.float32)
-                    logs[own] = trie.logs(grams[own])
-                sums.append(np.add.reduceat(logs, begins, dtype=np.float64))
-            found = np.concatenate(sums) if sums else np.zeros(0)
-            if not first:
-                found = found + batch["score"].to_numpy()
-            names = [n for n in batch.schema.names if n != "score"]
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(found, pa.float64())], names=[*names, "score"])
+            of, trains = batch["block"].to_numpy(), batch["trains"].to_numpy(zero_copy_only=False)
+            for a, b in _stretches(of):
+                if of[a] != block:
+                    if block is not None:
+                        yield from put()
+                    words, grams, counts, block = {}, [], [], int(of[a])
+                texts, own = as_bytes(batch["text"].slice(a, b - a)), trains[a:b].tolist()
+                get = words.get
+                for text, learns in zip(texts, own):
+                    for w in words_of(text):
+                        words[w] = get(w, 0) + learns
+                for learns in (True, False):
+                    for some in sliced([t for t, x in zip(texts, own) if x == learns]):
+                        g, c = np.unique(windows(some, order)[0], return_counts=True)
+                        grams.append(g)
+                        counts.append(c.astype(np.int64) if learns else np.zeros(len(g), np.int64))
+                        if len(grams) > 1 and sum(map(len, grams[1:])) > GATHERED:
+                            g, c = _summed(grams, counts)
+                            grams, counts = [g], [c]
+        if block is not None:
+            yield from put()
+        words, grams, counts = {}, [], []
+        trimmed()
 
     return run
 
 
-def score(docs: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
-    """docs with `score`, the log10 probability of each whole text under PPM trained on all of `training`.
+def _priced(shared, order: int):
+    """log10 probability of each context with symbol, from classes that are whole: their rows follow each other.
 
-    The symbols of a text are the bytes of its words, A-Z lower-cased, single spaces between them and
-    an end; null and empty texts are an end alone. Contexts have up to `order` bytes. The model is a trie; where
-    it is larger than GRAMS entries, it is made and broadcast in parts that share no context of two bytes or
-    more, and documents pass through one after another. Without training texts all symbols are alike.
-    Rows are scored one by one, repeated or not; an empty table gives no rows. A column named score is
-    replaced.
+    A class begins with the symbols that its last CLASS - 1 bytes had before them, and how often.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("score")
-    counted = written(count_contexts(training, order), "grams")
-    latest = F.expr("int(shiftrightunsigned(gram, 8) & 65535)")
-    sizes = np.zeros(1 << 16, np.int64)
-    for r in counted.groupBy(latest.alias("c")).count().collect():  # at most 65,536 rows
-        sizes[r[0]] = r[1]
-    short = counted.groupBy(F.expr("gram & 16777215").alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 2**24 rows
-    short = _summed([short["gram"].to_numpy().view(np.uint64)], [short["n"].to_numpy()])
-    cuts, held = [0], 0
-    for c, n in enumerate(sizes.tolist()):
-        if held and held + n > GRAMS:
-            cuts.append(c)
-            held = 0
-        held += n
-    cuts.append(1 << 16)
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    out = docs
-    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        part = counted if len(cuts) == 2 else counted.where((latest >= a) & (latest < b))
-        part = part.toArrow()
-        trie = Trie(*_summed([part["gram"].to_numpy().view(np.uint64)], [part["n"].to_numpy()]), short, order)
-        out = out.mapInArrow(_scored(spark.sparkContext.broadcast(trie), (a, b), k == 0, order), schema)
-        if (k + 1) % PASSES == 0 and k + 2 < len(cuts):
-            out = written(out, "scored")
-    return out
-
-
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each block of documents, as hashes, and how often its training documents have them."""
-    counts: dict[bytes, int] = {}
-    block, known = None, set()
-
-    def put() -> Iterator[pa.RecordBatch]:
-        names = list(counts)
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)).view(np.int64)
-        numbers = np.fromiter(counts.values(), np.int64, len(names))
-        for at in range(0, len(names), 100_000):
-            n = len(names[at : at + 100_000])
-            yield pa.record_batch([pa.array([block] * n, pa.int32()), pa.array(hashes[at : at + n]), pa.array(numbers[at : at + n])], names=["block", "word", "n"])
-
-    for batch in batches:
-        for own, text, trains in zip(batch["block"].to_pylist(), as_bytes(batch["text"]), batch["trains"].to_pylist()):
-            if own != block:
-                if counts:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
+        low = shared.value
+        held: list[pa.RecordBatch] = []
+
+        def put() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            first = rows.filter(rows["key"].is_null())
+            rest = rows.filter(rows["key"].is_valid())
+            ends = first["class"].to_numpy().astype(np.uint64) & _mask(CLASS - 1)
+            ends, one = np.unique(ends, return_index=True)
+            lists = first["low"].combine_chunks().take(pa.array(one))
+            sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+            pairs = lists.flatten()
+            shorter = np.repeat(ends, sizes) << np.uint64(8) | pairs.field("s").to_numpy().astype(np.uint64)
+            longest = _summed([shorter], [pairs.field("n").to_numpy()])
+            keys, n = rest["key"].to_numpy().view(np.uint64), rest["n"].to_numpy()
+            at = np.argsort(keys, kind="stable")
+            keys, n = keys[at], n[at]
+            trie = Trie(keys[n > 0], n[n > 0], [*low, longest], order)
+            for at in range(0, len(keys), 100_000):
+                some = keys[at : at + 100_000]
+                yield pa.record_batch([pa.array(some.view(np.int64)), pa.array(trie.logs(some), pa.float32())], names=["key", "log"])
+
+        size = 0
+        for batch in batches:
+            of = batch["class"].to_numpy()
+            for a, b in _stretches(of):
+                if size >= GRAMS and of[a] != held[-1]["class"][-1].as_py():
                     yield from put()
-                counts, block = {}, own
-            get = counts.get
-            if trains:
-                for w in words_of(text):
-                    counts[w] = get(w, 0) + 1
-            else:
-                for w in words_of(text):
-                    counts.setdefault(w, 0)
-    if counts:
-        yield from put()
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size += b - a
+        if held:
+            yield from put()
+            held = []
+        trimmed()
+
+    return run
+
+
+def _prices(grams: DataFrame, order: int) -> DataFrame:
+    """(key, log): the log10 probability of every context with symbol in grams (key, n), by the n of all of them.
+
+    Contexts are dealt by their latest three bytes, which is all that a context of three bytes or more can share with
+    others; so a class has at most 2 ** 24 rows, however large the corpus is. With each go the counts after its latest two
+    bytes, at most 256. Those after one byte, at most 65,536, and after none are broadcast.
+    """
+    spark = grams.sparkSession
+
+    def low(k: int) -> DataFrame:
+        return grams.where("n > 0").groupBy(F.expr(f"key & {(1 << 8 * (k + 1)) - 1}").alias("key")).agg(F.sum("n").alias("n"))
+
+    two = written(low(CLASS - 1), "low")
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in range(CLASS - 1):  # at most 256 and 65,536 rows
+        rows = two.groupBy(F.expr(f"key & {(1 << 8 * (k + 1)) - 1}").alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        found.append(_summed([rows["key"].to_numpy().view(np.uint64)], [rows["n"].to_numpy()]))
+    end = F.expr(f"class & {(1 << 8 * (CLASS - 1)) - 1}")
+    listed = two.groupBy(F.expr("shiftright(key, 8)").alias("end")).agg(F.collect_list(F.struct(F.expr("key & 255").alias("s"), "n")).alias("low"))  # at most 256 each
+    classed = grams.withColumn("class", F.expr(f"shiftrightunsigned(key, 8) & {(1 << 8 * CLASS) - 1}"))
+    classes = classed.select("class").distinct().withColumn("end", end).join(listed, "end", "left")
+    nothing = F.array().cast("array<struct<s: bigint, n: bigint>>")
+    heads = classes.select("class", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), F.coalesce("low", nothing).alias("low"))
+    rows = classed.select("class", "key", "n", F.lit(None).cast("array<struct<s: bigint, n: bigint>>").alias("low"))
+    dealt = heads.unionByName(rows).repartition("class").sortWithinPartitions("class")
+    return dealt.mapInArrow(_priced(spark.sparkContext.broadcast(found), order), "key long, log float")
 
 
 BASED = "doc_id long, n_tokens long, n_known long, base_sum double, score double"
 
 
-def _base(ends: int):
-    """Sums over each document's tokens, from its block's words, which come before the documents."""
+def _based(ends: int, order: int):
+    """Sums over each document's tokens and symbols, from what its block lists, which comes before the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
-        block = hashes = numbers = None
-        known: dict[bytes, int] = {}
+        released()
+        lists: dict[int, tuple[list, list]] = {}
+        block = hashes = None
 
         class Places(dict):
             def __missing__(self, word: bytes) -> int:
                 self[word] = at = int(np.searchsorted(hashes, np.uint64(xxhash.xxh3_64_intdigest(word))))
                 return at
 
+        def sorted_list(kind: int, values: type) -> tuple[np.ndarray, np.ndarray]:
+            keys, found = lists.pop(kind)
+            keys, found = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, values), *found])
+            at = np.argsort(keys)
+            return keys[at], found[at]
+
         end_log = math.log10(ends + 0.5)
         for batch in batches:
-            of = batch["block"].to_numpy()
+            of = batch["block"].to_numpy().astype(np.int64) << 2 | batch["kind"].to_numpy()
             for a, b in _stretches(of):
-                part = batch.slice(a, b - a)
-                if int(of[a]) != block:
-                    block, words, counts, hashes = int(of[a]), [], [], None
-                listed = part.filter(part["word"].is_valid())
-                if listed.num_rows:
-                    words.append(listed["word"].to_numpy().view(np.uint64))
-                    counts.append(listed["n"].to_numpy())
-                docs = part.filter(part["word"].is_null())
-                if not docs.num_rows:
+                part, kind = batch.slice(a, b - a), int(of[a]) & 3
+                if int(of[a]) >> 2 != block:
+                    block, lists, hashes = int(of[a]) >> 2, {WORD: ([], []), GRAM: ([], [])}, None
+                if kind != DOC:
+                    keys, found = lists[kind]
+                    keys.append(part["key"].to_numpy().view(np.uint64))
+                    found.append(part["n" if kind == WORD else "log"].to_numpy())
                     continue
                 if hashes is None:
-                    hashes, numbers = _summed(words or [np.zeros(0, np.uint64)], counts or [np.zeros(0, np.int64)])
+                    hashes, numbers = sorted_list(WORD, np.int64)
+                    grams, prices = sorted_list(GRAM, np.float32)
                     logs, known = np.log10(numbers + 0.5), Places()
-                    words, counts = [], []
-                rows = []
-                for text in as_bytes(docs["text"]):
+                texts, rows = as_bytes(part["text"]), []
+                for text in texts:
                     found = words_of(text)
                     at = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
                     rows.append((len(found) + 1, int(np.count_nonzero(numbers[at])) + (ends > 0), float(logs[at].sum()) + end_log))
-                columns = [docs["doc_id"], *[pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], docs["score"]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_sum", "score"])
+                scores = []
+                for some in sliced(texts):
+                    symbols, begins = windows(some, order)
+                    different, back = np.unique(symbols, return_inverse=True)
+                    scores.append(np.add.reduceat(prices[np.searchsorted(grams, different)][back], begins, dtype=np.float64))
+                columns = [part["doc_id"], *[pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], pa.array(np.concatenate(scores))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in BASED.split(", ")])
+        lists = hashes = numbers = grams = prices = logs = known = None
+        trimmed()
 
     return run
 
 
+#: Kinds of a block's rows, in the order in which they come.
+WORD, GRAM, DOC = 0, 1, 2
+
+
 def _stretches(of: np.ndarray) -> Iterator[tuple[int, int]]:
     edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
     return ((a, b) for a, b in zip(edges, edges[1:]) if a < b)
@@ -393,34 +362,52 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
 
 
-def digest(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Scores of every document, and the baseline from word counts of all training documents.
+def score(docs: DataFrame, trains: Column, order: int = ORDER) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text, ...).
+
+    The model learns from the rows for which `trains` holds. score is the log10 probability of a whole text by prediction
+    by partial matching: its symbols are the bytes of its words, A-Z lower-cased, single spaces between them and an end;
+    contexts have up to `order` (over 3) bytes. base_score sums log10((c + 0.5) / (N + 0.5 * (V + 1))) over its words and one
+    end: c is a token's count, N that of all, V of distinct ones, in training rows. n_known counts tokens with c > 0.
 
-    Words are counted without joining each document's words: documents are dealt to blocks of about 32 MB by
-    hash, each block lists its distinct words once, their counts over all blocks go back to the blocks,
-    and there to the documents. 64-bit hashes stand for words. A null doc_id is a training document.
+    Documents are dealt to blocks of about 64 MB by hash. Each block lists its distinct words and contexts with symbols
+    once, with its training documents' counts. From the sums over all blocks the probabilities are worked
+    out once (_prices()); they and the word counts go back to the blocks, and there to the documents. So the model is never
+    in one place, and a block holds what its own texts need. 64-bit hashes stand for words.
+
+    Null and empty texts are an end alone. Without training rows all symbols are alike. Rows are scored one by one,
+    repeated or not; an empty table gives no rows. Other columns of docs are ignored.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = score(given, given.where(~held_out()), order)
-    total, ends = given.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.sum((~held_out()).cast("long"))).first()
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
+    total, ends = given.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.sum(F.col("trains").cast("long"))).first()
     blocks, ends = max(1, math.ceil((total or 0) / BLOCK_BYTES)), ends or 0
     block = F.pmod(F.xxhash64(F.lit("block"), "doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))), F.lit(blocks)).cast("int")
     tasks = min(blocks, TASKS)
     task = F.floor(F.col("block").cast("long") * tasks / blocks).cast("int")
-    one = given.select(block.alias("block"), "text", (~held_out()).alias("trains")).repartitionById(tasks, task)
-    one = one.sortWithinPartitions("block")
-    words = written(one.mapInArrow(_block_words, "block int, word long, n long"), "words")
-    counts = words.groupBy("word").agg(F.sum("n").alias("n"))
-    counts = written(counts, "counts")
+    dealt = given.select(block.alias("block"), "text", "trains").repartitionById(tasks, task).sortWithinPartitions("block")
+    listed = written(dealt.mapInArrow(_listed(order), LISTED), "listed")
+    sums = listed.groupBy("gram", "key").agg(F.sum("n").alias("n"))
+    sums = written(sums, "sums")
+    counts, grams = sums.where("not gram").select("key", "n"), sums.where("gram").select("key", "n")
     size = counts.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
     tokens, distinct = (size[0] or 0) + ends, (size[1] or 0) + (ends > 0)
 
-    back = words.select("block", "word").join(counts, "word")
-    empty = {"doc_id": "long", "text": "string", "score": "double"}
-    listed = back.select("block", "word", "n", *[F.lit(None).cast(k).alias(c) for c, k in empty.items()])
-    wanted = scored.select(block.alias("block"), F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("n"), *empty)
-    both = listed.unionByName(wanted).repartitionById(tasks, task).sortWithinPartitions("block", F.asc_nulls_last("word"))
-    out = both.mapInArrow(_base(ends), BASED)
+    # a key has at most as many rows as there are blocks, so none is hot
+    empty = {"key": "long", "n": "long", "log": "float", "doc_id": "long", "text": "string"}
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        return df.select("block", F.lit(kind).alias("kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in empty.items()])
+
+    words = listed.where("not gram").select("block", "key").join(counts, "key")
+    symbols = listed.where("gram").select("block", "key").join(_prices(grams, order), "key")
+    every = rows(words, WORD).unionByName(rows(symbols, GRAM)).unionByName(rows(given.select(block.alias("block"), "doc_id", "text"), DOC))
+    out = every.repartitionById(tasks, task).sortWithinPartitions("block", "kind").mapInArrow(_based(ends, order), BASED)
     less = math.log10(tokens + 0.5 * (distinct + 1))
     base = F.col("base_sum") - F.col("n_tokens") * F.lit(less)
-    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+
+
+def digest(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """score() of every document, learned from those that aren't held out; a null doc_id is a training document."""
+    out = score(docs, ~held_out(), order)
+    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

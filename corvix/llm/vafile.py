@@ -15,7 +15,7 @@ from ._common import dropped, written
 
 SCALE = 64
 #: Bits of a cell's number, for each component.
-BITS = 5
+BITS = 6
 #: Vectors in a block of the file, and queries that a job takes along.
 BLOCK, QUERIES = 16_384, 32_768
 #: Queries whose bounds are worked out together.

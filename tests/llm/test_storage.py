@@ -266,18 +266,19 @@ def test_ppm(spark, docs, monkeypatch, grams, block):
 def test_ppm_edges(spark, docs):
     _, df = docs
     assert ppm.digest(df.limit(0)).count() == 0
-    alike = ppm.score(df.where("doc_id = 500").select("doc_id", "text"), df.limit(0)).first()
+    alike = ppm.score(df.where("doc_id = 500").select("doc_id", "text"), F.lit(False)).first()
     assert alike.score == pytest.approx(-math.log10(ppm.SYMBOLS), rel=1e-6)
     one = df.where("doc_id is null").select("doc_id", "text")
     r = ppm.digest(one).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (False, 3, 3, 3)
+    again = one.withColumns({c: F.lit(5) for c in ("score", "block", "kind", "trains")})
+    assert [r.n_known for r in ppm.score(again.union(again), F.lit(True)).collect()] == [3, 3]
 
 
 def test_ppm_sums_to_one():
     texts = [b"the cat sat", b"the mat", b"a cat"]
     grams, counts = np.unique(ppm.windows(texts)[0], return_counts=True)
-    short = ppm._summed([grams & ppm._mask(3)], [counts])
-    trie = ppm.Trie(grams, counts, short)
+    trie = ppm.Trie(grams, counts, [ppm._summed([grams & ppm._mask(k)], [counts]) for k in (1, 2, 3)])
     for context in (b"", b"the ", b"zz", b"a c", b"mat"):
         before = (bytes([ppm.START]) * ppm.ORDER + context)[-ppm.ORDER :]
         each = np.array([int.from_bytes(before, "big") << 8 | s for s in range(256) if s != ppm.START], np.uint64)
