@@ -137,6 +137,12 @@ def each_text(column: pa.Array | pa.ChunkedArray, rows: int = 256) -> Iterator[b
         yield from as_bytes(column.slice(at, rows))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes of a table by Spark's own estimate, that of its files for one that is read from files; 0 if there is none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let workers of this session get rows in batches of 8 MB (Spark's default: 64) or one row; results are the same."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, dropped, written
+from ._common import as_bytes, dropped, local_table, written
 from .toxicity import held_out
 
 #: Labelled documents that the model is fitted on at most: in all, and of each language.
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE)
     dropped(first)
     if not ids:
         return Model([])
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, lang string"))
+    chosen = F.broadcast(local_table(docs.sparkSession, {"doc_id": pa.array([i for i, _ in ids], pa.int64()), "lang": pa.array([x for _, x in ids], pa.string())}))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     texts = texts.where(F.col("text").rlike(r"\p{L}")).join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sorted(texts.collect(), key=lambda r: (r.doc_id, r.lang))

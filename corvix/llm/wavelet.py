@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,41 +12,80 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import new_path
+from ._common import estimated_bytes, new_path, trimmed
 from .tokens import encoder
 
 END = 2
 #: Ids in a block at most; only documents with more are cut.
 BLOCK = 1 << 20
-#: Bits between two entries of a rank directory.
-STRIDE = 1 << 12
+#: Bits between two entries of a rank directory, and of a plane that are compressed together; one divides the other.
+STRIDE, CHUNK = 1 << 12, 1 << 16
+#: Bytes of documents' files for a shard, if there would be fewer than spark.sql.shuffle.partitions otherwise.
+SHARD_BYTES = 256 << 20
+
+
+class Plane:
+    """Bits in chunks that are decompressed when they are read, and the ones before every STRIDE-th place, and in all."""
+
+    def __init__(self, n: int, ranks: np.ndarray, chunks: list[bytes]) -> None:
+        self.n, self.ranks, self.chunks = n, ranks, chunks
+        self.zeros = n - int(ranks[-1])
+        self.read: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        n = len(bits)
+        ones = np.add.reduceat(bits, np.arange(0, n, STRIDE), dtype=np.int64) if n else np.zeros(0, np.int64)
+        packed, compress = np.packbits(bits).tobytes(), zstandard.ZstdCompressor(level=1).compress
+        chunks = [compress(packed[at : at + CHUNK // 8]) for at in range(0, len(packed), CHUNK // 8)]
+        return cls(n, np.concatenate(([0], np.cumsum(ones))).astype("<u4"), chunks)
+
+    def bits(self, start: int, stop: int) -> np.ndarray:
+        """Bits of places within one chunk, as zeros and ones; start is a multiple of eight."""
+        k = start // CHUNK
+        if k not in self.read:
+            self.read[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.chunks[k]), np.uint8)
+        at = start - k * CHUNK
+        return np.unpackbits(self.read[k][at // 8 : (stop - k * CHUNK + 7) // 8], count=stop - start)
+
+    def whole(self) -> np.ndarray:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return np.unpackbits(np.frombuffer(b"".join(map(unpack, self.chunks)), np.uint8), count=self.n)
+
+    def bit(self, at: int) -> int:
+        first = at // 8 * 8
+        return int(self.bits(first, at + 1)[at - first])
+
+    def rank(self, at: int) -> int:
+        """Ones before a place."""
+        k = at // STRIDE
+        return int(self.ranks[k]) + (int(self.bits(k * STRIDE, at).sum(dtype=np.int64)) if at > k * STRIDE else 0)
+
+    def select(self, nth: np.ndarray, bit: int) -> np.ndarray:
+        """Places of the nth (from 0) ones or zeros, ascending."""
+        counts = self.ranks.astype(np.int64)
+        if not bit:
+            counts = np.minimum(np.arange(len(counts)) * STRIDE, self.n) - counts
+        if len(nth) > len(counts):
+            return np.flatnonzero(self.whole() == bit)[nth]
+        of, out = np.searchsorted(counts, nth, "right") - 1, np.empty(len(nth), np.int64)
+        for k in np.unique(of).tolist():
+            start = k * STRIDE
+            own = np.flatnonzero(self.bits(start, min(start + STRIDE, self.n)) == bit)
+            out[of == k] = start + own[nth[of == k] - counts[k]]
+        return out
 
 
 class WaveletMatrix:
     """Bit planes of a sequence of unsigned ids, highest bit first.
 
-    Each plane orders the sequence of the plane before stably by its bit, zeros first. rank counts ones up to a
-    place by a directory of every STRIDE-th count and the bits after it; access, count and positions
-    walk the planes, so each reads one bit and one rank a plane.
+    Each plane orders the sequence of the plane before stably by its bit, zeros first. access, count and positions
+    walk the planes by rank and select, so each reads a chunk or two of a plane; decoded() reads all.
     """
 
-    def __init__(self, planes: list[np.ndarray], n: int) -> None:
+    def __init__(self, planes: list[Plane], n: int) -> None:
         self.planes, self.n = planes, n
 
-    @cached_property
-    def ranks(self) -> list[np.ndarray]:
-        """Ones of each plane before every STRIDE-th place, and in all."""
-        out = []
-        for plane in self.planes:
-            bits = np.unpackbits(plane, count=self.n)
-            ones = np.add.reduceat(bits, np.arange(0, self.n, STRIDE), dtype=np.int64) if self.n else np.zeros(0, np.int64)
-            out.append(np.concatenate(([0], np.cumsum(ones))))
-        return out
-
-    @cached_property
-    def zeros(self) -> list[int]:
-        return [self.n - int(r[-1]) for r in self.ranks]
-
     @classmethod
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         n, most = len(ids), int(ids.max(initial=0))
@@ -54,41 +93,29 @@ class WaveletMatrix:
         planes = []
         for shift in range(max(1, most.bit_length()) - 1, -1, -1):
             bits = (x >> shift & 1).astype(bool)
-            planes.append(np.packbits(bits))
+            planes.append(Plane.of(bits))
             x = np.concatenate((x.take(np.flatnonzero(~bits)), x.take(np.flatnonzero(bits))))
         return cls(planes, n)
 
-    def bit(self, plane: int, at: int) -> int:
-        return int(self.planes[plane][at >> 3]) >> (7 - (at & 7)) & 1
-
-    def rank(self, plane: int, at: int) -> int:
-        """Ones before a place of a plane."""
-        k = at // STRIDE
-        bits = np.unpackbits(self.planes[plane][k * STRIDE // 8 : (at + 7) // 8], count=at - k * STRIDE) if at > k * STRIDE else ()
-        return int(self.ranks[plane][k]) + int(np.sum(bits, dtype=np.int64))
-
-    def select(self, plane: int, nth: int, bit: int) -> int:
-        """Place of the nth (from 0) one or zero of a plane."""
-        counts = self.ranks[plane] if bit else np.minimum(np.arange(len(self.ranks[plane])) * STRIDE, self.n) - self.ranks[plane]
-        k = int(np.searchsorted(counts, nth, "right")) - 1
-        bits = np.unpackbits(self.planes[plane][k * STRIDE // 8 :], count=min(STRIDE, self.n - k * STRIDE))
-        return k * STRIDE + int(np.flatnonzero(bits == bit)[nth - int(counts[k])])
-
     def access(self, at: int) -> int:
         out = 0
-        for p in range(len(self.planes)):
-            bit = self.bit(p, at)
-            ones = self.rank(p, at)
-            at = self.zeros[p] + ones if bit else at - ones
+        for plane in self.planes:
+            bit, ones = plane.bit(at), plane.rank(at)
+            at = plane.zeros + ones if bit else at - ones
             out = out << 1 | bit
         return out
 
+    def _digits(self, token: int) -> list[int]:
+        return [token >> shift & 1 for shift in range(len(self.planes) - 1, -1, -1)]
+
     def _range(self, token: int, start: int, stop: int) -> tuple[int, int]:
-        if token >> len(self.planes):
+        if token < 0 or token >> len(self.planes):
             return 0, 0
-        for p in range(len(self.planes)):
-            a, b = self.rank(p, start), self.rank(p, stop)
-            start, stop = (self.zeros[p] + a, self.zeros[p] + b) if token >> (len(self.planes) - 1 - p) & 1 else (start - a, stop - b)
+        for plane, bit in zip(self.planes, self._digits(token)):
+            if start >= stop:
+                return 0, 0
+            a, b = plane.rank(start), plane.rank(stop)
+            start, stop = (plane.zeros + a, plane.zeros + b) if bit else (start - a, stop - b)
         return start, stop
 
     def count(self, token: int, start: int = 0, stop: int | None = None) -> int:
@@ -96,22 +123,20 @@ class WaveletMatrix:
         a, b = self._range(token, start, self.n if stop is None else stop)
         return b - a
 
-    def positions(self, token: int) -> list[int]:
+    def positions(self, token: int) -> np.ndarray:
         """Places of a token, ascending."""
         a, b = self._range(token, 0, self.n)
-        out = []
-        for at in range(a, b):
-            for p in range(len(self.planes) - 1, -1, -1):
-                bit = token >> (len(self.planes) - 1 - p) & 1
-                at = self.select(p, at - self.zeros[p] if bit else at, bit)
-            out.append(at)
-        return sorted(out)
+        at = np.arange(a, b)
+        if a < b:
+            for plane, bit in zip(reversed(self.planes), reversed(self._digits(token))):
+                at = plane.select(at - plane.zeros if bit else at, bit)
+        return at
 
     def decoded(self) -> np.ndarray:
         """The whole sequence: planes are undone from the last to the first."""
         x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for shift, plane in enumerate(reversed(self.planes)):
-            bits = np.unpackbits(plane, count=self.n).view(bool)
+            bits = plane.whole().view(bool)
             ones = np.flatnonzero(bits)
             before = np.empty_like(x)
             before[np.flatnonzero(~bits)], before[ones] = x[: self.n - len(ones)], x[self.n - len(ones) :] | 1 << shift
@@ -119,14 +144,20 @@ class WaveletMatrix:
         return x
 
     def to_bytes(self) -> bytes:
-        """Number of ids and planes (32 bits each, little-endian), then the planes, compressed by Zstandard."""
-        return np.array([self.n, len(self.planes)], "<u4").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in self.planes))
+        """Numbers of ids and planes; each plane's rank directory and its chunks' sizes (32 bits each, little-endian); the chunks, by Zstandard."""
+        head = [np.array([self.n, len(self.planes)], "<u4").tobytes()]
+        for p in self.planes:
+            head += [p.ranks.tobytes(), np.array([len(c) for c in p.chunks], "<u4").tobytes()]
+        return b"".join([*head, *(c for p in self.planes for c in p.chunks)])
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         n, planes = np.frombuffer(data, "<u4", 2).tolist()
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8)
-        return cls(list(raw.reshape(planes, -1)), n)
+        strides, chunks = -(-n // STRIDE) + 1, -(-n // CHUNK)
+        heads = np.frombuffer(data, "<u4", planes * (strides + chunks), 8).reshape(planes, -1)
+        ends = (8 + heads.nbytes + np.cumsum(heads[:, strides:].ravel(), dtype=np.int64)).tolist()
+        parts = [data[a:b] for a, b in zip([8 + heads.nbytes, *ends], ends)]
+        return cls([Plane(n, h[:strides], parts[k * chunks : (k + 1) * chunks]) for k, h in enumerate(heads)], n)
 
 
 BLOCKS = "shard int, block int, first long, n_tokens long, doc_ids binary, no_id binary, lengths binary, before long, closes boolean, matrix binary"
@@ -152,13 +183,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
     Documents are range-partitioned by doc_id; each partition is a shard and writes one file. A file is
     a Parquet container of blocks of at most a million ids: how many ids of the shard come before, the
     documents' ids and the lengths of their parts in the block, how many ids of the first are in earlier blocks, whether the last one ends, and
-    the compressed wavelet matrix. Null texts are empty; every document ends with `end`. Null doc_ids come
+    the wavelet matrix with its rank directories, in compressed chunks. access(), count() and positions() read the files
+    without decoding them. Null texts are empty; every document ends with `end`. Null doc_ids come
     first; rows that share one are ordered by a hash of the text and follow each other. An empty table
     gives no block.
     """
     with open(tokenizer) as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(estimated_bytes(docs) / SHARD_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, last = encoder(shared.value).encode, np.array([end], "<u4").tobytes()
@@ -184,6 +216,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
                         before = at if at < n else 0
         if listed:
             yield _block(shard, number, first, listed, before, True, parts)
+        trimmed()
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.asc("at")]
@@ -194,17 +227,78 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
 PARTS = "doc_id long, start long, at long, n_tokens long, ids binary, ids_crc32 long, whole boolean"
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """The documents in token files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32.
-
-    start counts the ids of all documents before. A document of several blocks is put together from its
-    parts. Without with_ids, ids of other documents are left null. Rows come in no set order.
-    """
+def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, int]]:
+    """Blocks of token files, and how many ids there are before each shard."""
     blocks = spark.read.schema(BLOCKS).parquet(path)
     starts, total = {}, 0
     for shard, n in sorted(map(tuple, blocks.groupBy("shard").agg(F.sum("n_tokens")).collect())):  # a number for each shard
         starts[shard] = total
         total += n
+    return blocks, starts
+
+
+def _looked_up(blocks: DataFrame, schema: str, found) -> DataFrame:
+    """Rows of `found` (first place in all files' order, matrix) for each block."""
+    names = _names(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                columns = found(row["shard"], row["first"], WaveletMatrix.from_bytes(row["matrix"]))
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return blocks.select("shard", "first", "matrix").mapInArrow(run, schema)
+
+
+def access(spark: SparkSession, path: str, places: list[int]) -> DataFrame:
+    """(place, token): the ids at some places of all documents' ids, as start in read_tokens() counts them.
+
+    Only the shards that have them are read; places that don't exist have no row.
+    """
+    blocks, starts = _opened(spark, path)
+    shards, firsts = list(starts), list(starts.values())
+    wanted: dict[int, list[int]] = {}
+    for place in sorted({p for p in places if p >= 0}):
+        at = int(np.searchsorted(firsts, place, "right")) - 1
+        if at >= 0:
+            wanted.setdefault(shards[at], []).append(place - firsts[at])
+
+    def found(shard: int, first: int, matrix: WaveletMatrix) -> tuple[list[int], list[int]]:
+        own = [p for p in wanted[shard] if first <= p < first + matrix.n]
+        return [starts[shard] + p for p in own], [matrix.access(p - first) for p in own]
+
+    return _looked_up(blocks.where(F.col("shard").isin(list(wanted))), "place long, token long", found)
+
+
+def count(spark: SparkSession, path: str, token: int, start: int = 0, stop: int | None = None) -> int:
+    """Occurrences of a token from place `start` to before `stop`."""
+    blocks, starts = _opened(spark, path)
+
+    def found(shard: int, first: int, matrix: WaveletMatrix) -> tuple[list[int]]:
+        before = starts[shard] + first
+        a, b = max(0, start - before), matrix.n if stop is None else min(matrix.n, stop - before)
+        return ([matrix.count(token, a, b) if a < b else 0],)
+
+    return _looked_up(blocks, "n long", found).agg(F.sum("n")).first()[0] or 0
+
+
+def positions(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(place): all places of a token, in no set order."""
+    blocks, starts = _opened(spark, path)
+
+    def found(shard: int, first: int, matrix: WaveletMatrix) -> tuple[np.ndarray]:
+        return (starts[shard] + first + matrix.positions(token),)
+
+    return _looked_up(blocks, "place long", found)
+
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """The documents in token files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32.
+
+    start counts the ids of all documents before. A document of several blocks is put together from its
+    parts in one row, so it can have 500 million ids at most (two GB); tokens of longer ones are read by access(). Without with_ids, ids of other documents are left null. Rows come in no set order.
+    """
+    blocks, starts = _opened(spark, path)
     shared = spark.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

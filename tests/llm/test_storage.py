@@ -174,12 +174,24 @@ def test_token_files(spark, docs, encoder, tmp_path, monkeypatch, block):
         ids = whole(encoder, want[1], 2)
         assert (got.doc_id, got.start, got.n_tokens, bytes(got.ids), got.ids_crc32) == (want[0], start, len(ids) // 4, ids, zlib.crc32(ids))
         start += len(ids) // 4
+    path = str(tmp_path / "t")
+    every = np.concatenate([np.frombuffer(whole(encoder, t, 2), "<u4") for _, t, _ in order]).astype(int)
+    places = [0, 1, 17, 49, 50, 51, len(every) // 2, len(every) - 1]
+    assert sorted(map(tuple, wavelet.access(spark, path, [*places, -1, len(every), 10**12]).collect())) == [(p, every[p]) for p in sorted(set(places))]
+    common = collections.Counter(every.tolist()).most_common()
+    for token in (2, common[1][0], common[-1][0], 49_999, 70_000):
+        at = np.flatnonzero(every == token)
+        assert wavelet.count(spark, path, token) == len(at)
+        assert wavelet.count(spark, path, token, 40, len(every) - 333) == np.count_nonzero((at >= 40) & (at < len(every) - 333))
+        assert sorted(r.place for r in wavelet.positions(spark, path, token).collect()) == at.tolist()
     assert wavelet.digest(df.limit(0), PATH).count() == 0
+    wavelet.write_tokens(df.limit(0), PATH, str(tmp_path / "none"))
+    assert wavelet.count(spark, str(tmp_path / "none"), 2) == 0 and wavelet.access(spark, str(tmp_path / "none"), [0]).count() == 0
 
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(2)
-    for x in (rng.zipf(1.3, 9000) % 60000, np.zeros(5, int), np.array([70000, 1, 70000]), np.zeros(0, int)):
+    for x in (rng.zipf(1.3, 9000) % 60000, rng.zipf(1.1, 150_000) % 50_000, np.zeros(5, int), np.array([70000, 1, 70000]), np.zeros(0, int)):
         w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.of(x.astype(np.uint32)).to_bytes())
         assert w.decoded().tolist() == x.tolist()
         for i in range(0, len(x), 997):
@@ -187,8 +199,7 @@ def test_wavelet_matrix():
         for t in {0, 1, 2, 70000, 99999}:
             assert w.count(t) == int((x == t).sum())
             assert w.count(t, len(x) // 3, len(x) // 2) == int((x[len(x) // 3 : len(x) // 2] == t).sum())
-            if (x == t).sum() < 300:
-                assert w.positions(t) == np.flatnonzero(x == t).tolist()
+            assert w.positions(t).tolist() == np.flatnonzero(x == t).tolist()
 
 
 @pytest.mark.parametrize("size", [16 << 20, 3000])
@@ -205,6 +216,26 @@ def test_sharding(spark, docs, size):
     assert {(r.doc_id, r.shard) for r in sharding.shuffle_to_shards(df, 7, seed=1, bucket_bytes=size).collect()} != {(r.doc_id, r.shard) for r in out}
 
 
+def test_sharding_by_lists(spark, docs):
+    rows, df = docs
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    hashed = df.select("doc_id", "text", F.xxhash64(F.lit(sharding.SEED), "doc_id", crc).alias("at"), crc.alias("crc")).collect()
+    buckets = math.ceil(sum(len((t or "").encode()) + 1 for _, t, _ in rows) / 3000)
+    want, place = [], 0
+    for number in range(buckets):
+        own = sorted((r for r in hashed if r["at"] % buckets == number), key=lambda r: (r["at"], r.doc_id is not None, r.doc_id or 0, r.crc))
+        picks = np.random.default_rng((sharding.SEED, number)).random(len(own))
+        for i in range(len(own) - 1, 0, -1):
+            k = int(picks[i] * (i + 1))
+            own[i], own[k] = own[k], own[i]
+        for r in own:
+            shard = max(s for s in range(8) if place >= -(-len(rows) * s // 8))
+            want.append((r.doc_id, r.text, shard, place - -(-len(rows) * shard // 8)))
+            place += 1
+    out = sharding.shuffle_to_shards(df, bucket_bytes=3000).collect()
+    assert sorted(((r.doc_id, r.text, r.shard, r.slot) for r in out), key=str) == sorted(want, key=str)
+
+
 def test_sharding_edges(spark, docs):
     _, df = docs
     assert sharding.digest(df.limit(0)).count() == 0

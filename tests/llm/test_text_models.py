@@ -221,3 +221,88 @@ def test_remove_spans_with_clashing_columns(spark):
     assert got == [(1, f"{'a ' * 600}, b", "x", 9), (2, None, "y", 8), (2, None, "y", 8)]
     assert decontaminate.remove_spans(docs, tests.limit(0)).count() == 4
     assert decontaminate.remove_spans(docs.limit(0), tests).count() == 0
+
+
+def naive_language(model, data):
+    """A text's language and score by the fitted weights, one trigram and one vote at a time."""
+    if not data or not any(c.isalpha() for c in data.decode()):
+        return "und", 0.0
+    plain = b" " + b" ".join(bytes(b for b in data.decode().lower().encode() if b not in language._NO_LETTERS).split()) + b" "
+    n = max(1, len(plain) - 2)
+    sure = {}
+    for j, name in enumerate(model.machines):
+        margin = model.bias[j] + sum(model.bytes[j][b] for b in plain) / n
+        for i in range(len(plain) - 2):
+            place = ((plain[i] << 16 | plain[i + 1] << 8 | plain[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 19
+            margin += model.grams[j][place] / n
+        sure[name] = 1 / (1 + np.exp(-max(-30, min(30, model.slopes[j] * margin))))
+    shares = [sure["family", k] for k in range(len(model.families))]
+    best = shares.index(max(shares))
+    those = model.families[best][1]
+    votes, sums = [0] * len(those), [0.0] * len(those)
+    for a in range(len(those)):
+        for b in range(a + 1, len(those)):
+            q = sure["pair", best, a, b]
+            votes[a if q >= 0.5 else b] += 1
+            sums[a] += q
+            sums[b] += 1 - q
+    top = max(range(len(those)), key=lambda i: (votes[i], sums[i], i))
+    return those[top], shares[best] / sum(shares) * (sums[top] / sum(sums) if len(those) > 1 else 1)
+
+
+def test_language_by_votes(spark):
+    rng = random.Random(9)
+    rows = [(i, text(rng, lang, rng.randrange(3, 30)), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 12)]
+    docs = spark.createDataFrame([*rows, (90, "12", None), (91, None, None), (92, "Señor 3x DER die, haus!", None)] + rows[:2], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    for r in language.identify(docs, model).collect():
+        lang, sure = naive_language(model, (r.text or "").encode())
+        assert r.lang_pred == lang and r.score == pytest.approx(sure, abs=1e-5)
+
+
+def naive_toxicity(model, data):
+    """A text's score by the fitted lexicon, trees and calibration, word by word, tree by tree."""
+    words = (data or "").split()
+    x = [0.0] * len(toxicity.FEATURES)
+    if words:
+        plain = [w.strip(toxicity.EDGES).lower() for w in words]
+
+        def kind(w):
+            if w in model.lexicon.entries:
+                return "exact"
+            return "stem" if any(len(w) > n and f"{w[:n]}*" in model.lexicon.entries for n in toxicity.STEMS) else ""
+
+        shown = [w if w.isalpha() or not any(c.isalpha() for c in w) else w.translate(toxicity.HIDDEN) for w in plain]
+        kinds = [{kind(w), kind(s)} - {""} for w, s in zip(plain, shown)]
+        readers = [i for i, (w, s) in enumerate(zip(plain, shown)) if {w, s} & toxicity.SECOND_PERSON]
+        exact, stem = sum("exact" in k for k in kinds), sum("stem" in k for k in kinds)
+        hits = [i for i, k in enumerate(kinds) if k]
+        near = sum(any(abs(i - r) <= toxicity.NEAR for r in readers) for i in hits) / len(hits) if hits else 0.0
+        raw = data.encode()
+        letters = sum(b in toxicity.ALPHA for b in raw) or 1
+        n = len(words)
+        capitals = sum(len(w) > 2 and o.strip(toxicity.EDGES).isupper() for o, w in zip(words, plain))
+        x = [np.log1p(n), exact / n, stem / n, np.log1p(exact), np.log1p(stem), near, len(readers) / n, sum(65 <= b <= 90 for b in raw) / letters, capitals / n]
+        x += [data.count("!") / n, data.count("?") / n, sum(data.count(c) for c in ".,;:!?") / n, sum(s != w for s, w in zip(shown, plain)) / n, len({plain[i] for i in hits})]
+    margin = model.trees.base
+    for feature, cut, value in model.trees.trees:
+        node = 0
+        for _ in range(toxicity.DEPTH):
+            k = feature[node]
+            node = 2 * node + 1 + int(sum(c < x[k] for c in model.trees.cuts[k]) > cut[node])
+        margin += value[node - (2**toxicity.DEPTH - 1)]
+    xs, ys = model.points
+    if margin <= xs[0]:
+        return ys[0]
+    for (a, p), (b, q) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
+        if a < margin <= b:
+            return p + (q - p) * (margin - a) / (b - a)
+    return ys[-1]
+
+
+def test_toxicity_by_words(spark, toxic):
+    docs, labels = toxic
+    model = toxicity.fit(docs, labels)
+    some = docs.where("doc_id is null or doc_id % 7 = 0 or doc_id in (2000, 2001, 2002, 2004)")
+    for r in toxicity.score(some.union(some.limit(5)), model).collect():
+        assert r.score == pytest.approx(min(1, max(0, naive_toxicity(model, r.text))), abs=1e-9)
