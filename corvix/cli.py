@@ -16,6 +16,7 @@ from .plans import build as building
 from .plans import distributed, validation
 from .plans.build import BuildParams
 from .plans.config import AnnFamily, DistanceMetric, HybridRankingPolicy, PqParams
+from .plans.http import server
 from .plans.pipeline import Searcher
 from .plans.service import QueryRequest, Service
 from .sources import generate, ingest
@@ -43,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     command("build-index", *index, ("--workers", number(None)))
     command("build-index-worker", *index, ("--mode", {"choices": ["plan", "execute", "merge"], "required": True}), ("--workers", number(2)), ("--worker", number(0)))
     command("publish", ("--alias", {"default": "latest"}), ("--index", need))
-    command("serve", ("--alias", {"default": "latest"}), ("--lexical", {"action": "store_true"}))
+    command("serve", ("--alias", {"default": "latest"}), ("--lexical", {"action": "store_true"}), ("--stdin", {"action": "store_true"}), ("--host", {"default": "127.0.0.1"}), ("--port", number(8080)), ("--cache-shards", number(None)), ("--debug-routes", {"action": "store_true"}))
     command("benchmark", *asked, ("--workload", {"default": "mixed"}))
     command("eval-ann", *asked)
     command("compare-ann", ("--aliases", {"nargs": "+", "required": True}), *asked[1:])
@@ -107,8 +108,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "publish":
             publish(store, a.alias, a.index)
         elif a.command == "serve":
-            s = searcher(a.alias)
-            serve(Service(s, building.load_lexical(store, s.manifest.index_version) if a.lexical else None))
+            s = Searcher(store, resolve(store, a.alias), capacity=a.cache_shards)
+            service = Service(s, building.load_lexical(store, s.manifest.index_version) if a.lexical else None, debug=a.debug_routes)
+            serve(service) if a.stdin else server(service, a.host, a.port).serve_forever()
         elif a.command in ("benchmark", "eval-ann"):
             show(asdict(harness.eval_ann(searcher(a.alias), a.max_queries, a.k, a.nprobe, getattr(a, "workload", "mixed"))))
         elif a.command == "compare-ann":

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..errors import ConfigError
 from ..plans.config import FanOutPolicy
-from .scan import Exact, knn, matrix, ranked, scan
+from .scan import PAIRS, Exact, knn, matrix, ranked, scan
 
 #: Centroids that one pass compares vectors with.
 CENTROID_BLOCK = 16_384
@@ -32,21 +32,36 @@ def seeds(vectors: DataFrame, k: int, seed: int) -> DataFrame:
     return vectors.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), "id").limit(k)
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the nearest centroid of each row and the squared distance; at most PAIRS distances are held at once."""
+    at, best, own = np.zeros(len(x), np.int64), np.zeros(len(x)), (c * c).sum(1)
+    step = max(1, PAIRS // max(1, len(c)))
+    for a in range(0, len(x), step):
+        some = x[a : a + step]
+        near = (some * some).sum(1)[:, None] - 2 * (some @ c.T) + own
+        at[a : a + step] = near.argmin(1)
+        best[a : a + step] = near[np.arange(len(some)), at[a : a + step]]
+    return at, best
+
+
 def _nearest(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, c = shared.value
         for batch in batches:
-            x = matrix(batch["data"])
-            near = (x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1) if len(x) else np.zeros((0, len(c)))
-            at = near.argmin(1) if len(x) else np.zeros(0, int)
-            out = [*batch.columns, pa.array(near[np.arange(len(x)), at]), pa.array(names[at], pa.int32())]
+            given = batch["data"]
+            there = given.is_valid().to_numpy(zero_copy_only=False)
+            d, number = np.full(len(there), np.nan), np.zeros(len(there), np.int32)
+            if there.any():
+                at, d[there] = nearest(matrix(given.drop_null()), c)
+                number[there] = names[at]
+            out = [*batch.columns, pa.array(d, mask=~there), pa.array(number, pa.int32(), mask=~there)]
             yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, "_d", "_c"])
 
     return run
 
 
 def assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vectors (id, data, ...) with shard_id, that of the nearest centroid by squared L2; ties go to the lowest."""
+    """vectors (id, data, ...) with shard_id, that of the nearest centroid by squared L2; ties go to the lowest. Null vectors have none."""
     from pyspark.sql import types as T
 
     spark = vectors.sparkSession
@@ -74,9 +89,9 @@ def _sums(shared):
         names, c = shared.value
         total, n = np.zeros_like(c), np.zeros(len(c), np.int64)
         for batch in batches:
-            x = matrix(batch["data"])
+            x = matrix(batch["data"].drop_null())
             if len(x):
-                at = ((x * x).sum(1)[:, None] - 2 * (x @ c.T) + (c * c).sum(1)).argmin(1)
+                at, _ = nearest(x, c)
                 np.add.at(total, at, x)
                 n += np.bincount(at, minlength=len(c))
         used = np.flatnonzero(n)
@@ -102,11 +117,13 @@ def lloyd_step(vectors: DataFrame, centroids: list[tuple[int, list[float]]]) ->
 def kmeans(vectors: DataFrame, k: int, iterations: int, seed: int, sample: int | None = None) -> DataFrame:
     """(shard_id, centroid) of Lloyd's algorithm; stops when no centroid moves.
 
-    Seeds are k rows by seeds(); fewer rows give fewer centroids. With `sample`, that many rows train.
+    Seeds are k rows by seeds(); fewer rows give fewer centroids. With `sample`, that many rows train. Null vectors
+    teach nothing.
     """
     if k < 1:
         raise ConfigError("k must be at least 1")
     spark = vectors.sparkSession
+    vectors = vectors.where("data is not null")
     train = vectors.select("id", "data") if sample is None else seeds(vectors.select("id", "data"), sample, seed + 1)
     first = seeds(train, k, seed).select("data").collect()
     centroids = [(i, [float(x) for x in r.data]) for i, r in enumerate(first)]

@@ -188,4 +188,8 @@ UNION ALL SELECT 'shard_dimension_mismatch', format('shard-{{:04d}}', sid), '64'
     "q_artifact_keys": "SELECT kind, replace(path, '{version}', lower(r_name)) AS path FROM region, (VALUES ('dataset_vectors', 'datasets/{version}/vectors'), ('index_manifest', 'indexes/{version}/manifest.json'), ('index_centroids', 'indexes/{version}/centroids'), ('alias', 'aliases/{version}.json')) t(kind, path)",
     "q_canonical_family": "SELECT * FROM (VALUES ('ivf-flat', false, '', 'ivf_flat'), ('kmeans-flat', false, '', 'ivf_flat'), ('ivf-flat', true, 'pq8', 'ivf_pq'), ('kmeans-flat', true, 'pq8', 'ivf_pq'), ('hnsw', false, '', 'hnsw'), ('disk-ann', false, '', 'disk_ann'), ('ivf-flat', true, 'other', 'ivf_flat')) t(algorithm, compressed, codec, family)",
     "q_fingerprint": "SELECT doc_id AS id, format('{:016x}', list_reduce(list_prepend(14695981039346656037::UBIGINT, list_transform(range(1, length(source) + 1), lambda i: ascii(substr(source, i, 1))::UBIGINT)), lambda h, b: ((xor(h, b)::HUGEINT * 1099511628211) % 18446744073709551616)::UBIGINT)) AS fingerprint FROM documents",
+    "q_generate": """WITH b AS (SELECT i AS id, ('0x' || substr(md5('3735928559:cluster:' || i), 1, 13))::BIGINT % 10 AS cluster FROM range(1, 1001) r(i))
+SELECT id, '{"cluster":' || cluster || '}' AS metadata, j::INTEGER AS i, ((('0x' || substr(md5('3735928559:center:' || cluster || ':' || j), 1, 13))::BIGINT::DOUBLE / 2251799813685248 - 1)
+  + (('0x' || substr(md5('3735928559:vector:' || id || ':' || j), 1, 13))::BIGINT::DOUBLE / 2251799813685248 - 1) * 0.1::DOUBLE)::FLOAT::DOUBLE AS x
+FROM b, range(0, 128) c(j)""",
 }

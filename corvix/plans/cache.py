@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -52,6 +53,46 @@ class ShardCache:
         return hit
 
 
+class LoadedShards:
+    """Rows of the `capacity` shards used last, kept in the executors' memory; others are loaded when they are asked for.
+
+    sizes: bytes of each shard as stored.
+    """
+
+    def __init__(self, rows: DataFrame, sizes: dict[int, int], capacity: int) -> None:
+        self.rows, self.sizes = rows, sizes
+        self.cache, self.tables = ShardCache(capacity), {}
+
+    @property
+    def metrics(self) -> CacheMetrics:
+        return self.cache.metrics
+
+    def retained_bytes(self) -> int:
+        return sum(self.sizes.get(s, 0) for s in self.cache.held)
+
+    def load(self, shard: int) -> DataFrame:
+        if not self.cache.access(shard):
+            began = time.perf_counter_ns()
+            table = self.rows.where(self.rows["shard_id"] == shard).persist()
+            table.count()
+            self.metrics.load_ns += time.perf_counter_ns() - began
+            self.tables[shard] = table
+            for gone in [s for s in self.tables if s not in self.cache.held]:
+                self.tables.pop(gone).unpersist()
+        return self.tables[shard]
+
+    def routed(self, shards: Iterable[int]) -> DataFrame:
+        """Rows of some shards; read from storage, past the cache, if they are more than it holds."""
+        wanted = sorted(set(shards))
+        if len(wanted) > self.cache.capacity:
+            return self.rows.where(self.rows["shard_id"].isin(wanted))
+        out = self.rows.limit(0)
+        for n, shard in enumerate(wanted):
+            table = self.load(shard)
+            out = table if n == 0 else out.unionByName(table)
+        return out
+
+
 def replay(trace: DataFrame, capacity: int, by: str = "worker") -> DataFrame:
     """(by, hits, misses, hit_rate) of caches fed by trace (by, at, shard_id) in order of `at`, one for each value of by.
 

@@ -33,8 +33,10 @@ def assignments(shards: DataFrame, workers: int) -> DataFrame:
 
 
 def plan(store: HadoopStore, dataset: DatasetManifest, params: BuildParams, workers: int) -> WorkerPlan:
-    """Train and compact centroids, and share shards out; no more workers than shards."""
+    """Train and compact centroids, and share shards out; no more workers than shards. Product codes aren't made this way."""
     building.check(dataset, params)
+    if params.pq:
+        raise ConfigError("builds by workers take no product quantisation")
     if workers < 1:
         raise ConfigError("there must be a worker")
     vectors = read_dataset(store, dataset)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -18,7 +19,8 @@ from ..sources.ingest import read_dataset, read_metadata
 from ..sources.layout import key
 from ..sources.manifest import DatasetManifest, IndexManifest
 from ..sources.store import HadoopStore
-from .config import AnnFamily, DistanceMetric, QueryConfig
+from .cache import LoadedShards
+from .config import AnnFamily, DistanceMetric, PrefetchPolicy, QueryConfig
 
 Embed = Callable[[DataFrame], DataFrame]
 Rerank = Callable[[DataFrame, DataFrame, str, int], DataFrame]
@@ -85,9 +87,13 @@ def plan(tables: IndexTables, backend: Backend, queries: DataFrame, config: Quer
 
 
 class Searcher:
-    """Searches one published index; tables are read lazily and only routed shards are scanned."""
+    """Searches one published index; tables are read lazily and only routed shards are scanned.
 
-    def __init__(self, store: HadoopStore, manifest: IndexManifest, cached: bool = False) -> None:
+    With a capacity, that many of the shards used last stay in memory: for a server's queries, a few at a time, as
+    their routes come to the driver. With a prefetch policy, shards that were routed to often are loaded ahead.
+    """
+
+    def __init__(self, store: HadoopStore, manifest: IndexManifest, cached: bool = False, capacity: int | None = None, prefetch: PrefetchPolicy | None = None) -> None:
         self.store, self.manifest = store, manifest
         spark = store.spark
         shards = spark.read.parquet(store.path(key("index_shards", manifest.index_version)))
@@ -100,6 +106,21 @@ class Searcher:
             rows = reconstruct(rows, codebook)
         self.tables = IndexTables(rows, spark.read.parquet(store.path(manifest.centroids_key)), codebook)
         self.metric = DistanceMetric(manifest.metric)
+        self.loaded = LoadedShards(rows, {s.shard_id: s.bytes for s in manifest.shards}, capacity) if capacity else None
+        self.prefetch, self.probes = prefetch or PrefetchPolicy(), Counter()
+
+    def _routed(self, queries: DataFrame, config: QueryConfig) -> IndexTables:
+        """The tables, with the routed shards from the cache, if there is one."""
+        if self.loaded is None:
+            return self.tables
+        shards = [r.shard_id for r in ivf.route(queries, self.tables.centroids, config.fan_out).select("qid", "shard_id").collect()]
+        self.probes.update(shards)
+        if self.prefetch.enabled:
+            often = [s for s, n in self.probes.most_common(self.loaded.cache.capacity) if n >= self.prefetch.min_query_count]
+            for shard in often:
+                if shard not in self.loaded.cache.held:
+                    self.loaded.load(shard)
+        return IndexTables(self.loaded.routed(shards), self.tables.centroids, self.tables.codebook)
 
     def _dataset(self) -> DatasetManifest:
         return DatasetManifest.load(self.store, self.manifest.dataset_version)
@@ -116,7 +137,7 @@ class Searcher:
         metric = config.distance_metric or self.metric
         if self.manifest.codec and metric != self.metric:
             raise ConfigError("a compressed index has one metric")
-        found = self.backend.search(self.tables, queries, metric, config.top_k, config.fan_out)
+        found = self.backend.search(self._routed(queries, config), queries, metric, config.top_k, config.fan_out)
         return with_metadata(found, self.metadata())
 
     def rerank(self, results: DataFrame, queries: DataFrame, metric: DistanceMetric | None = None) -> DataFrame:

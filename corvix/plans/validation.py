@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from enum import StrEnum
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import PySparkException
 
 from ..errors import CorvixError
 from ..operators.pq import bad_codes
@@ -53,6 +54,11 @@ def _one(store: HadoopStore, kind: Fault, name: str, expected: str, actual: str)
     return store.spark.createDataFrame([(kind.value, name, expected, actual)], FAULT)
 
 
+def _found(faults: DataFrame) -> DataFrame:
+    """Faults worked out now, so that files that can't be read show; there are some for each shard at most."""
+    return faults.sparkSession.createDataFrame(faults.collect(), FAULT)
+
+
 def validate_index(store: HadoopStore, version: str) -> DataFrame:
     """(kind, key, expected, actual) of all faults of an index; no row if it is whole."""
     spark = store.spark
@@ -74,19 +80,20 @@ def validate_index(store: HadoopStore, version: str) -> DataFrame:
         try:
             rows = spark.read.parquet(store.path(wanted[0]))
             size = manifest.params["pq_num_subspaces"] if manifest.codec else manifest.dims
-            out = out.unionByName(shard_faults(rows.withColumnRenamed(payload, "data"), expected, size))
+            found = shard_faults(rows.withColumnRenamed(payload, "data"), expected, size)
             prints = expected.alias("e").join(fingerprints(rows, payload).alias("a"), "shard_id").where("e.fingerprint != a.fingerprint")
             name = F.format_string("shard-%04d", "shard_id")
-            out = out.unionByName(prints.select(F.lit(Fault.FINGERPRINT_MISMATCH.value).alias("kind"), name.alias("key"), F.col("e.fingerprint").alias("expected"), F.col("a.fingerprint").alias("actual")))
+            found = found.unionByName(prints.select(F.lit(Fault.FINGERPRINT_MISMATCH.value).alias("kind"), name.alias("key"), F.col("e.fingerprint").alias("expected"), F.col("a.fingerprint").alias("actual")))
             if manifest.codec:
                 wrong = bad_codes(rows, manifest.params["pq_codebook_size"]).groupBy("shard_id").count()
-                out = out.unionByName(wrong.select(F.lit(Fault.SHARD_PARSE_ERROR.value).alias("kind"), name.alias("key"), F.lit("0").alias("expected"), F.col("count").cast("string").alias("actual")))
-        except AnalysisException as e:
+                found = found.unionByName(wrong.select(F.lit(Fault.SHARD_PARSE_ERROR.value).alias("kind"), name.alias("key"), F.lit("0").alias("expected"), F.col("count").cast("string").alias("actual")))
+            out = out.unionByName(_found(found))
+        except (PySparkException, Py4JJavaError) as e:
             out = out.unionByName(_one(store, Fault.SHARD_PARSE_ERROR, wanted[0], "readable", str(e)[:200]))
     if manifest.centroids_key and store.exists(manifest.centroids_key):
         try:
-            out = out.unionByName(centroid_faults(expected, spark.read.parquet(store.path(manifest.centroids_key))))
-        except AnalysisException as e:
+            out = out.unionByName(_found(centroid_faults(expected, spark.read.parquet(store.path(manifest.centroids_key)))))
+        except (PySparkException, Py4JJavaError) as e:
             out = out.unionByName(_one(store, Fault.CENTROIDS_INVALID, manifest.centroids_key, "readable", str(e)[:200]))
     return out
 

@@ -481,7 +481,7 @@ def q_shard_fingerprints(spark, sf):
 
 
 def q_generate(spark, sf):
-    return generate.clustered(spark).select("id", F.size("data").alias("dims"), "metadata")
+    return generate.clustered(spark).select("id", "metadata", F.posexplode("data").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
 
 
 QUERIES = {

@@ -9,15 +9,20 @@ from ..errors import ConfigError
 
 
 def _uniform(*parts: Column) -> Column:
-    """A number in [-1, 1) from a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / (1 << 51) - 1
+    """A number in [-1, 1) from the first 52 bits of an MD5 hash of the parts, joined by colons."""
+    return _bits(*parts).cast("double") / (1 << 51) - 1
+
+
+def _bits(*parts: Column) -> Column:
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
 def clustered(spark: SparkSession, num_vectors: int = 1000, dims: int = 128, num_clusters: int = 10, seed: int = 0xDEADBEEF, spread: float = 0.1) -> DataFrame:
     """(id, data, metadata): random centroids in [-1, 1], vectors within `spread` of theirs; ids from 1."""
     if min(num_vectors, dims, num_clusters) < 1 or spread < 0:
         raise ConfigError("sizes must be at least 1 and spread not negative")
-    rows = spark.range(1, num_vectors + 1).withColumn("cluster", F.pmod(F.xxhash64(F.lit(seed), F.lit("cluster"), "id"), F.lit(num_clusters)))
+    rows = spark.range(1, num_vectors + 1).withColumn("cluster", F.pmod(_bits(F.lit(seed), F.lit("cluster"), F.col("id")), F.lit(num_clusters)))
 
     def component(i: Column) -> Column:
         center = _uniform(F.lit(seed), F.lit("center"), F.col("cluster"), i)

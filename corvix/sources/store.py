@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ArtifactMissing, BackendUnsupported
@@ -35,15 +36,26 @@ class HadoopStore:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def put(self, key: str, data: bytes) -> None:
-        """Written beside its place first, then renamed, so readers see all of it or nothing."""
+        """Written beside its place first, then renamed over it, so readers see the old object or the new one.
+
+        File systems without an overwriting rename lack the old one for a moment.
+        """
         fs, target = self._at(self.path(key))
         part = self.jvm.org.apache.hadoop.fs.Path(f"{self.path(key)}.part")
         stream = fs.create(part, True)
         stream.write(bytearray(data))
         stream.close()
-        fs.delete(target, False)
-        if not fs.rename(part, target):
-            raise OSError(f"can't rename to {key}")
+        hadoop = self.jvm.org.apache.hadoop.fs
+        try:
+            options = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+            options[0] = hadoop.Options.Rename.OVERWRITE
+            hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(part, target, options)
+        except Py4JJavaError as e:
+            if "UnsupportedFileSystem" not in str(e.java_exception):
+                raise OSError(f"can't rename to {key}") from e
+            fs.delete(target, False)
+            if not fs.rename(part, target):
+                raise OSError(f"can't rename to {key}") from e
 
     def get(self, key: str) -> bytes:
         if not self.exists(key):

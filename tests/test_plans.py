@@ -1,6 +1,7 @@
 """Ingest, builds, searches, services and validation end to end on generated data."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,17 +179,89 @@ def test_service(built, spark):
     service = Service(Searcher(store, flat), building.build_lexical(store, docs, "flat"))
     v = [float(x) for x in asked(store, dataset, 1).first().q]
     assert service.query(QueryRequest(vector=v, k=3)).results[0]["id"] == 1
-    assert [r["id"] for r in service.query(QueryRequest(text="alpha", mode="lexical", k=5)).results] == [1, 3]
-    assert service.query(QueryRequest(vector=v, text="beta", mode="hybrid", k=2, rerank=True, rerank_limit=5)).results[0]["id"] in (1, 2)
+    assert [r["id"] for r in service.query(QueryRequest(query_text="alpha", query_mode="lexical", k=5, vector=v, rerank=True)).results] == [1, 3]
+    assert service.query(QueryRequest(vector=v, query_text="beta", query_mode="hybrid", k=2, rerank=True, rerank_limit=5)).results[0]["id"] in (1, 2)
     assert service.resolve(QueryRequest(vector=v, nprobe=3, candidate_centroids=4)).fan_out.candidate_centroids == 4
     assert service.query_plan(QueryRequest(vector=v, nprobe=2)).shards.count() == 2
-    bad = [QueryRequest(), QueryRequest(vector=v, k=0), QueryRequest(vector=v, mode="x"), QueryRequest(mode="lexical", text="!!"), QueryRequest(mode="lexical", text="a", vector=v), QueryRequest(vector=v, text="a"), QueryRequest(vector=v, rerank_limit=2), QueryRequest(vector=v, nprobe=0), QueryRequest(vector=v, distance_metric="l7")]
+    assert service.resolve(QueryRequest(vector=v, query_text="a", rerank_limit=2, rerank=None)).mode == "vector"
+    bad = [QueryRequest(), QueryRequest(vector=v, k=0), QueryRequest(vector=v, query_mode="x"), QueryRequest(query_mode="lexical", query_text="!!"), QueryRequest(query_mode="hybrid", query_text="a"), QueryRequest(vector=v, rerank=True, rerank_limit=0), QueryRequest(vector=v, nprobe=0), QueryRequest(vector=v, distance_metric="l7")]
     for request in bad:
         with pytest.raises(ConfigError):
             service.query(request)
-    assert service.metrics() == {"requests": 3 + len(bad), "errors": len(bad)}
+    assert service.metrics() | {"results": 0} == {"requests": 3 + len(bad), "errors": len(bad), "results": 0}
     assert service.health()["status"] == "ok"
-    assert "corvix_query_seconds_count 3" in service.prometheus() and 'le="+Inf"} 3' in service.prometheus()
+    assert "corvix_query_duration_seconds_count 3" in service.prometheus() and 'le="+Inf"} 3' in service.prometheus()
+
+
+def test_http_and_cache(built, spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from corvix.plans.http import server
+
+    store, dataset, flat = built
+    service = Service(Searcher(store, flat, capacity=2, prefetch=PrefetchPolicy(True, 2)), debug=True)
+    http = server(service, port=0)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    v = [float(x) for x in asked(store, dataset, 1).first().q]
+
+    def call(path, body=None):
+        data = None if body is None else json.dumps(body).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{http.server_address[1]}{path}", data)) as r:
+                return r.status, r.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    try:
+        assert json.loads(call("/health")[1]) == {"status": "ok", "index_version": flat.index_version}
+        asking = {"vector": v, "k": 3, "query_mode": "vector", "query_text": None, "rerank": None, "nprobe": 2}
+        answers = [json.loads(call("/query", asking)[1]) for _ in range(3)]
+        plain = Service(Searcher(store, flat)).query(QueryRequest(vector=v, k=3, nprobe=2)).results
+        assert [a["results"] for a in answers] == [plain] * 3
+        assert call("/query", asking | {"nprobe": 5})[0] == 200  # more shards than the cache holds
+        m = service.searcher.loaded.metrics
+        assert (m.misses, m.hits) == (2, 4) and len(service.searcher.loaded.tables) <= 2 and m.load_ns > 0
+        assert len(json.loads(call("/debug/query-plan", asking)[1])["plan"]["shards"]) == 2
+        assert call("/query", {"vector": v, "k": 0})[0] == call("/query", {"other": 1})[0] == 400
+        assert call("/query", {"vector": v[:1], "k": 1})[0] == 400
+        assert call("/none")[0] == call("/none", {})[0] == 404
+        text = call("/metrics")[1]
+        want = ["query_duration_seconds_count 4", "queries_total 4", "query_results_total 12", "shard_cache_hits_total 4", "shard_cache_misses_total 2", "shard_load_count_total 2", 'query_duration_seconds_bucket{le="10.0"} 4']
+        assert all(f"corvix_{x}\n" in text for x in want) and "corvix_shard_load_latency_ns_total" in text
+        assert f"corvix_shard_cache_retained_bytes {sum(s.bytes for s in flat.shards if s.shard_id in service.searcher.loaded.cache.held)}\n" in text
+        service.debug = False
+        assert call("/debug/query-plan", asking)[0] == 404
+    finally:
+        http.shutdown()
+
+
+def test_mended_edges(built, spark, tmp_path):
+    import glob
+
+    from corvix.operators import ivf
+
+    store, dataset, flat = built
+    with pytest.raises(ConfigError):
+        distributed.plan(store, dataset, BuildParams("w9", num_shards=2, metric=DistanceMetric.EUCLIDEAN, pq=PqParams(1, 2)), 2)
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [5.0, 1.0])], "id long, data array<double>")
+    centers = ivf.kmeans(rows, 3, 4, 7)
+    assert sorted(list(r.centroid) for r in centers.collect()) == [[0.0, 1.0], [5.0, 1.0]]
+    got = {r.id: r.shard_id for r in ivf.assign(rows, centers).collect()}
+    assert got[2] is None and {got[1], got[3]} == {0, 1}
+    own = HadoopStore(spark, str(tmp_path))
+    for data in (b"one", b"two"):
+        own.put("a/b.json", data)
+        assert own.get("a/b.json") == data
+    assert own.list("a") == ["a/b.json"]
+    copy = HadoopStore(spark, str(tmp_path / "copy"))
+    shutil.copytree(store.root, copy.root)
+    for name in glob.glob(f"{copy.root}/indexes/{flat.index_version}/shards/**/*.parquet", recursive=True)[:1]:
+        with open(name, "wb") as f:
+            f.write(b"not a table")
+    kinds = {r.kind for r in validation.validate_index(copy, flat.index_version).collect()}
+    assert "shard_parse_error" in kinds
 
 
 def test_harness(built, spark):
