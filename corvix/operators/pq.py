@@ -6,28 +6,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError
 from ..functions.vectors import shown
 from ..plans.config import PqParams
-from .ivf import kmeans
-from .scan import matrix, ranked, scan
+from .ivf import DIGITS, nearest, seeds
+from .scan import PAIRS, matrix, ranked, scan
+
+
+def _sums(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = shared.value
+        width = book.shape[2]
+        total, n = np.zeros(book.shape), np.zeros(book.shape[:2], np.int64)
+        for batch in batches:
+            x = matrix(batch["data"].drop_null())
+            for m, own in enumerate(book if len(x) else ()):
+                part = x[:, m * width : (m + 1) * width]
+                at, _ = nearest(part, own)
+                np.add.at(total[m], at, part)
+                n[m] += np.bincount(at, minlength=len(own))
+        m, code = np.nonzero(n)
+        yield pa.record_batch([pa.array(m, pa.int32()), pa.array(code, pa.int32()), pa.array(n[m, code]), pa.array(list(total[m, code]), pa.list_(pa.float64()))], names=["m", "code", "n", "total"])
+
+    return run
+
+
+def lloyd_step(vectors: DataFrame, book: np.ndarray) -> np.ndarray:
+    """One step of k-means in all sub-spaces of book [m, code, i] at once; a code without any vector stays.
+
+    The vectors are read once; each task sums them up, so a codebook of it is shuffled and one collected.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(book)
+    parts = vectors.select("data").mapInArrow(_sums(shared), "m int, code int, n long, total array<double>")
+    sums = parts.select("m", "code", "n", F.posexplode("total").alias("i", "x")).groupBy("m", "code", "i").agg(F.round(F.sum("x") / F.sum("n"), DIGITS).alias("x"))
+    out = book.copy()
+    for r in sums.collect():
+        out[r.m, r.code, r.i] = r.x
+    return out
 
 
 def train(vectors: DataFrame, params: PqParams, iterations: int, seed: int, sample: int | None = None) -> DataFrame:
-    """codebook (m, code, centroid): k-means of each sub-space, seeded by seed + m."""
-    dims = len(vectors.select("data").first().data)
+    """codebook (m, code, centroid): k-means of each sub-space from rows drawn by seed + m; null vectors teach nothing.
+
+    With `sample`, that many rows train, the same ones in all sub-spaces.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.where("data is not null").select("id", "data")
+    dims = len(rows.select("data").first().data)
     params.check(dims)
     width = dims // params.num_subspaces
-    out = None
-    for m in range(params.num_subspaces):
-        part = vectors.select("id", F.slice("data", m * width + 1, width).alias("data"))
-        own = kmeans(part, params.codebook_size, iterations, seed + m, sample).select(F.lit(m).alias("m"), F.col("shard_id").alias("code"), "centroid")
-        out = own if out is None else out.unionByName(own)
-    return out
+    if sample is not None:
+        rows = seeds(rows, sample, seed + 1)
+    drawn = [[r.id for r in seeds(rows.select("id"), params.codebook_size, seed + m).collect()] for m in range(params.num_subspaces)]
+    wanted = spark.createDataFrame([(i,) for i in sorted({i for own in drawn for i in own})], "id long")
+    data = {r.id: np.array(r.data, np.float64) for r in rows.join(F.broadcast(wanted), "id", "left_semi").collect()}
+    book = np.array([[data[i][m * width : (m + 1) * width] for i in own] for m, own in enumerate(drawn)])
+    for _ in range(iterations):
+        moved = lloyd_step(rows, book)
+        if (moved == book).all():
+            break
+        book = moved
+    return table(spark, book)
+
+
+def table(spark: SparkSession, book: np.ndarray) -> DataFrame:
+    """book [m, code, i] as a codebook."""
+    return spark.createDataFrame([(m, code, x.tolist()) for m, own in enumerate(book) for code, x in enumerate(own)], "m int, code int, centroid array<double>")
 
 
 def loaded(codebook: DataFrame) -> np.ndarray:
@@ -51,12 +99,14 @@ def encode(vectors: DataFrame, codebook: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         width = book.shape[2]
+        step = max(1, PAIRS // book[0].size)
         for batch in batches:
             x = matrix(batch["data"])
             codes = np.zeros((len(x), len(book)), np.int16)
-            for m, own in enumerate(book):
-                gap = x[:, None, m * width : (m + 1) * width] - own[None]
-                codes[:, m] = np.round((gap * gap).sum(2), 12).argmin(1) if len(x) else 0
+            for a in range(0, len(x), step):
+                for m, own in enumerate(book):
+                    gap = x[a : a + step, None, m * width : (m + 1) * width] - own[None]
+                    codes[a : a + step, m] = np.round((gap * gap).sum(2), 12).argmin(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.int16()))], names=[*batch.schema.names, "codes"])
 
     given = vectors.drop("codes")
@@ -87,7 +137,8 @@ def distance_table(queries: DataFrame, codebook: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         m, k, width = book.shape
-        for batch in batches:
+        step = max(1, PAIRS // book.size)
+        for batch in (whole.slice(a, step) for whole in batches for a in range(0, whole.num_rows, step)):
             q = matrix(batch["q"])
             gap = q.reshape(len(q), m, 1, width) - book[None]
             d = (gap * gap).sum(3).ravel()

@@ -127,10 +127,10 @@ def recall_estimate(vectors: DataFrame, tables: IndexTables, params: BuildParams
 
 
 def build_lexical(store: HadoopStore, docs: DataFrame, version: str, params: BM25Params | None = None) -> bm25.Bm25Index:
-    """Write the inverted index of docs (id, text) beside an index, and read it back."""
+    """Write the inverted index of docs (id, text) beside an index, and read it back; frequent terms are several files."""
     made = bm25.build(docs, params)
     root = store.path(key("index_lexical", version))
-    made.postings.repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{root}/postings")
+    made.postings.hint("rebalance", F.col("term")).sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{root}/postings")
     made.doc_lengths.write.mode("overwrite").parquet(f"{root}/doc_lengths")
     made.stats.write.mode("overwrite").parquet(f"{root}/stats")
     return load_lexical(store, version, made.params)

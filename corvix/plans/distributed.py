@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,15 @@ def assignments(shards: DataFrame, workers: int) -> DataFrame:
     return shards.select("shard_id", F.pmod("shard_id", F.lit(workers)).cast("int").alias("worker_id"))
 
 
+def _assigned(version: str) -> str:
+    return f"indexes/{version}/workers/assigned"
+
+
 def plan(store: HadoopStore, dataset: DatasetManifest, params: BuildParams, workers: int) -> WorkerPlan:
-    """Train and compact centroids, and share shards out; no more workers than shards. Product codes aren't made this way."""
+    """Train and compact centroids, and share shards out; no more workers than shards. Product codes aren't made this way.
+
+    Vectors are assigned here, once; they are stored by shard, so that a worker reads its own only.
+    """
     building.check(dataset, params)
     if params.pq:
         raise ConfigError("builds by workers take no product quantisation")
@@ -41,7 +49,8 @@ def plan(store: HadoopStore, dataset: DatasetManifest, params: BuildParams, work
         raise ConfigError("there must be a worker")
     vectors = read_dataset(store, dataset)
     trained = ivf.kmeans(vectors, params.num_shards, params.kmeans_iters, params.kmeans_seed, params.kmeans_sample_size)
-    _, centroids = ivf.compact(ivf.assign(vectors, trained), trained)
+    assigned, centroids = ivf.compact(ivf.assign(vectors, trained), trained)
+    assigned.hint("rebalance", F.col("shard_id")).write.mode("overwrite").partitionBy("shard_id").parquet(store.path(_assigned(params.index_version)))
     rows = [list(r.centroid) for r in centroids.orderBy("shard_id").collect()]
     out = WorkerPlan(params.index_version, min(workers, len(rows)), len(rows), rows)
     store.put_json(key("worker_plan", params.index_version), asdict(out))
@@ -57,7 +66,7 @@ def execute(store: HadoopStore, dataset: DatasetManifest, plan: WorkerPlan, work
     if not 0 <= worker < plan.num_workers:
         raise ConfigError(f"there is no worker {worker}")
     own = [s for s in range(plan.num_shards) if s % plan.num_workers == worker]
-    assigned = ivf.assign(read_dataset(store, dataset), centroid_table(store, plan)).where(F.col("shard_id").isin(own))
+    assigned = store.spark.read.parquet(store.path(_assigned(plan.index_version))).where(F.col("shard_id").isin(own))
     path = f"{store.root}/indexes/{plan.index_version}/workers/{worker:04d}/shards"
     ivf.positioned(assigned).write.mode("overwrite").partitionBy("shard_id").parquet(path)
     counts = store.spark.read.parquet(path).groupBy("shard_id").count().orderBy("shard_id").collect()
@@ -79,7 +88,7 @@ def faults(expected: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def merge(store: HadoopStore, dataset: DatasetManifest, plan: WorkerPlan, params: BuildParams, outputs: list[dict]) -> IndexManifest:
-    """Check the workers' outputs and make one index of them."""
+    """Check the workers' outputs and make one index of them, by one job; the plan's assigned vectors go then."""
     import time
 
     started = time.time()
@@ -101,10 +110,11 @@ def merge(store: HadoopStore, dataset: DatasetManifest, plan: WorkerPlan, params
     centroids = centroid_table(store, plan)
     centroids.write.mode("overwrite").parquet(store.path(key("index_centroids", plan.index_version)))
     path = store.path(key("index_shards", plan.index_version))
-    for n, o in enumerate(sorted(outputs, key=lambda o: o["worker_id"])):
-        spark.read.parquet(o["path"]).write.mode("overwrite" if n == 0 else "append").partitionBy("shard_id").parquet(path)
+    every = reduce(DataFrame.unionByName, [spark.read.parquet(o["path"]) for o in sorted(outputs, key=lambda o: o["worker_id"])])
+    every.hint("rebalance", F.col("shard_id")).sortWithinPartitions("shard_id", "shard_pos").write.mode("overwrite").partitionBy("shard_id").parquet(path)
     manifest = building.describe(dataset, params, spark.read.parquet(path), centroids, started)
     manifest.save(store)
+    store.delete(_assigned(plan.index_version))
     return manifest
 
 

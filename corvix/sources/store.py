@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from typing import Protocol
 
 from py4j.protocol import Py4JJavaError
@@ -94,6 +96,16 @@ class HadoopStore:
         return json.loads(self.get(key))
 
 
+def scratch(spark: SparkSession) -> HadoopStore:
+    """A store in a new folder below spark.checkpoint.dir; where that is unset, a temporary one, on a single machine only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="corvix-")
+    return HadoopStore(spark, f"{shared.rstrip('/')}/corvix-stored/{uuid.uuid4().hex}")
+
+
 class UnsupportedStore:
     """Stands for a backend that isn't configured: every operation is an error. s3a:// roots work with HadoopStore."""
 
