@@ -76,21 +76,42 @@ def quality(name: str, found: str, truth: str | None = None) -> str:
     return f"SELECT '{name}' AS name, count(*) AS queries, round(avg(CASE WHEN nt = 0 THEN 1.0 ELSE hits::DOUBLE / nt END), 6) AS recall, round(avg(CASE WHEN nf = 0 THEN 0.0 ELSE hits::DOUBLE / nf END), 6) AS \"precision\" FROM ({hits(truth or knn('euclidean'), found)})"
 
 
-def lloyd(iterations: int, k: int = 4) -> str:
+def lloyd_parts(iterations: int, k: int = 4, source: str = "emb") -> str:
     """Unrolled steps; drawn rows are the first by md5."""
-    out = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS cid, v AS cv FROM emb QUALIFY cid < {k})"]
+    out = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS cid, v AS cv FROM {source} QUALIFY cid < {k})"]
     for n in range(iterations):
-        out.append(f"n{n} AS MATERIALIZED (SELECT e.id, e.v, c.cid FROM emb e, c{n} c QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY round(list_distance(e.v, c.cv) ** 2, 9), c.cid) = 1)")
+        out.append(f"n{n} AS MATERIALIZED (SELECT e.id, e.v, c.cid FROM {source} e, c{n} c QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY round(list_distance(e.v, c.cv) ** 2, 9), c.cid) = 1)")
         out.append(f"m{n} AS MATERIALIZED (SELECT cid, i, round(avg(v[i]), 9) AS x FROM n{n}, range(1, 65) r(i) GROUP BY cid, i)")
         out.append(f"u{n} AS MATERIALIZED (SELECT cid, list(x ORDER BY i) AS cv FROM m{n} GROUP BY cid)")
         out.append(f"c{n + 1} AS MATERIALIZED (SELECT c.cid, coalesce(u.cv, c.cv) AS cv FROM c{n} c LEFT JOIN u{n} u USING (cid))")
-    return f"WITH {EMB}, {', '.join(out)} SELECT cid::INTEGER AS shard_id, (i - 1)::INTEGER AS i, round(cv[i], 4) + 0.0 AS x FROM c{iterations}, range(1, 65) r(i)"
+    return ", ".join(out)
+
+
+def lloyd(iterations: int, k: int = 4, source: str = "emb", more: str = "") -> str:
+    return f"WITH {EMB}, {more}{lloyd_parts(iterations, k, source)} SELECT cid::INTEGER AS shard_id, (i - 1)::INTEGER AS i, round(cv[i], 4) + 0.0 AS x FROM c{iterations}, range(1, 65) r(i)"
+
+
+# The partitions of the index that stored.py builds; shards without a vector are left out.
+BUILT = f"{EMB}, {lloyd_parts(2)}, c AS MATERIALIZED (SELECT cid AS sid, cv FROM c2), {ASSIGN}, sizes AS (SELECT (row_number() OVER (ORDER BY sid) - 1)::INTEGER AS shard_id, count(*) AS n FROM a GROUP BY sid)"
+META = "CASE WHEN label <> 0 THEN '{\"label\":' || label || '}' END"
 
 
 CODEBOOK = """book AS MATERIALIZED (SELECT (m)::INTEGER AS m, code::INTEGER AS code, v[m * 8 + 1 : m * 8 + 8] AS cv
   FROM (SELECT row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS code, v FROM emb QUALIFY code < 16), range(0, 8) r(m)),
 coded AS MATERIALIZED (SELECT id, m, code, cv FROM (SELECT e.id, b.m, b.code, b.cv,
   row_number() OVER (PARTITION BY e.id, b.m ORDER BY round(list_distance(e.v[b.m * 8 + 1 : b.m * 8 + 8], b.cv) ** 2, 12), b.code) AS n FROM emb e, book b) WHERE n = 1)"""
+
+
+def trained(iterations: int) -> str:
+    """k-means of each sub-space, unrolled."""
+    out = ["d0 AS MATERIALIZED (SELECT m, row_number() OVER (PARTITION BY m ORDER BY md5((42 + m) || ':' || id), id) - 1 AS code, v[m * 8 + 1 : m * 8 + 8] AS cv FROM emb, range(0, 8) r(m) QUALIFY code < 16)"]
+    for n in range(iterations):
+        out.append(f"n{n} AS MATERIALIZED (SELECT e.v[d.m * 8 + 1 : d.m * 8 + 8] AS v, d.m, d.code FROM emb e, d{n} d QUALIFY row_number() OVER (PARTITION BY e.id, d.m ORDER BY round(list_distance(e.v[d.m * 8 + 1 : d.m * 8 + 8], d.cv) ** 2, 12), d.code) = 1)")
+        out.append(f"u{n} AS MATERIALIZED (SELECT m, code, list(x ORDER BY i) AS cv FROM (SELECT m, code, i, round(avg(v[i]), 9) AS x FROM n{n}, range(1, 9) r(i) GROUP BY m, code, i) GROUP BY m, code)")
+        out.append(f"d{n + 1} AS MATERIALIZED (SELECT d.m, d.code, coalesce(u.cv, d.cv) AS cv FROM d{n} d LEFT JOIN u{n} u USING (m, code))")
+    return f"WITH {EMB}, {', '.join(out)} SELECT m::INTEGER AS m, code::INTEGER AS code, (i - 1)::INTEGER AS i, round(cv[i], 4) + 0.0 AS x FROM d{iterations}, range(1, 9) r(i)"
+
+
 TABLE = "SELECT qid, m, code, list_distance(qv[m * 8 + 1 : m * 8 + 8], cv) ** 2 AS d FROM q, book"
 ADC = f"SELECT qid, id, sum(d) AS score FROM coded JOIN ({TABLE}) USING (m, code) GROUP BY qid, id"
 ADC_ROUTED = f"SELECT x.qid, x.id, x.score FROM ({ADC}) x JOIN p ON p.id = x.id JOIN {routes(2)} r ON r.qid = x.qid AND r.sid = p.sid"
@@ -170,7 +191,6 @@ SELECT event_type, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS m
     "q_shard_encoded_len": f"WITH {ALL} SELECT sid AS shard_id, 32 + 64 * 4 + n * (8 + 4 * 64) AS raw_bytes, 40 + 64 * 4 + n * (8 + 8) AS pq_bytes FROM ({SIZES})",
     "q_cost_metrics": f"WITH {ALL} SELECT sum(32 + 64 * 4 + n * (8 + 4 * 64))::BIGINT AS disk_raw, sum(40 + 64 * 4 + n * (8 + 8))::BIGINT AS disk_pq, (sum(n) * 64 * 4)::BIGINT AS memory_raw, (sum(n) * 8 + 8 * 16 * 8 * 4)::BIGINT AS memory_pq, 32.0::DOUBLE AS ratio_pq FROM ({SIZES})",
     "q_worker_plan": f"WITH {EMB}, {CENTROIDS} {WORKERS}",
-    "q_worker_merge": f"WITH {ALL} SELECT (sid % 3)::INTEGER AS worker_id, count(*) AS num_shards, sum(n)::BIGINT AS vector_count, min(sid) AS first_shard FROM ({SIZES}) GROUP BY 1",
     "q_worker_coverage": f"""WITH {EMB}, {CENTROIDS}, plan AS ({WORKERS}),
 got AS (SELECT shard_id, CASE WHEN shard_id = 2 THEN 7 ELSE worker_id END AS worker_id FROM plan WHERE shard_id <> 4 UNION ALL SELECT shard_id, worker_id FROM plan WHERE shard_id = 1 UNION ALL SELECT 99, 0)
 SELECT 'missing_shard' AS kind, worker_id, shard_id FROM plan WHERE shard_id NOT IN (SELECT shard_id FROM got)
@@ -192,4 +212,26 @@ UNION ALL SELECT 'shard_dimension_mismatch', format('shard-{{:04d}}', sid), '64'
 SELECT id, '{"cluster":' || cluster || '}' AS metadata, j::INTEGER AS i, ((('0x' || substr(md5('3735928559:center:' || cluster || ':' || j), 1, 13))::BIGINT::DOUBLE / 2251799813685248 - 1)
   + (('0x' || substr(md5('3735928559:vector:' || id || ':' || j), 1, 13))::BIGINT::DOUBLE / 2251799813685248 - 1) * 0.1::DOUBLE)::FLOAT::DOUBLE AS x
 FROM b, range(0, 128) c(j)""",
+    "q_pq_train": trained(2),
+    "q_kmeans_sampled": lloyd(1, source="drawn", more="drawn AS MATERIALIZED (SELECT id, v FROM emb ORDER BY md5('43:' || id), id LIMIT 100), "),
+    "q_ingest_jsonl": f"WITH {EMB} SELECT id, coalesce({META}, 'null') AS metadata, (i - 1)::INTEGER AS i, v[i]::FLOAT::DOUBLE AS x FROM emb, range(1, 65) r(i)",
+    "q_ingest_bad_lines": "SELECT lang IS NULL OR lang NOT IN ('fr', 'de') AS ok, count(*) AS lines FROM documents GROUP BY 1",
+    "q_index_shards": f"WITH {BUILT} SELECT shard_id, n AS vector_count, 32 + 64 * 4 + n * (8 + 4 * 64) AS bytes FROM sizes",
+    "q_index_manifest": f"WITH {BUILT} SELECT 'latest' AS alias, 'i1' AS index_version, 'd1' AS dataset_version, 64 AS dims, 'euclidean' AS metric, 'ivf-flat' AS algorithm, sum(n)::BIGINT AS vector_count, count(*) AS num_shards FROM sizes",
+    "q_index_recall_estimate": f"WITH {BUILT} SELECT round(avg(hits::DOUBLE / nt), 6) AS recall, 10 AS k, 2 AS nprobe, count(*) AS sample_size FROM ({hits(knn('euclidean'), search('euclidean'))})".replace("FROM emb WHERE id % 100 = 0", "FROM emb ORDER BY md5('44:' || id), id LIMIT 20"),
+    "q_index_search": f"WITH {BUILT} SELECT s.*, {META} AS metadata FROM ({search('euclidean')}) s JOIN emb USING (id)",
+    "q_worker_merge": f"WITH {BUILT} SELECT (shard_id % 3)::INTEGER AS worker_id, count(*) AS num_shards, sum(n)::BIGINT AS vector_count, min(shard_id) AS first_shard FROM sizes GROUP BY 1",
+    "q_index_validate": "SELECT 'shard_centroid_mismatch' AS kind, 'shard-0001' AS key, 'present' AS expected, 'present' AS actual UNION ALL SELECT 'artifact_missing', 'datasets/d1/metadata', 'present', 'absent'",
+    "q_store_objects": "SELECT 'regions/' || lower(r_name) || '.json' AS key, r_regionkey::BIGINT AS value FROM region WHERE r_name <> 'ASIA'",
+    "q_lexical_index": f"WITH {POSTINGS} {bm25(10).replace(' WHERE item_id * 100 IN (SELECT qid FROM q)', '', 1)}",
+    "q_pipeline_stages": f"WITH {ALL} {search('euclidean')}".replace("v AS qv FROM emb", "list_transform(v, lambda x: -x) AS qv FROM emb"),
+    "q_service_modes": f"""WITH {BUILT}, {POSTINGS} SELECT 'vector' AS mode, rank, id, score FROM ({search('euclidean')}) WHERE qid = 0
+UNION ALL SELECT 'lexical', rank, id, score FROM ({bm25(10)}) WHERE qid = 0
+UNION ALL SELECT 'hybrid', rank, id, score FROM ({blend(search('euclidean'), bm25(10), 0.5, 0.5)}) WHERE qid = 0""",
+    "q_eval_report": f"WITH {BUILT} SELECT *, (SELECT sum(n)::BIGINT * 64 * 4 FROM sizes) AS memory_bytes, 1.0::DOUBLE AS compression_ratio FROM ({quality('ivf_flat', search('euclidean'))})".replace("FROM emb WHERE id % 100 = 0", "FROM emb ORDER BY id LIMIT 3"),
+    "q_config_defaults": """SELECT * FROM (VALUES ('storage_root', '"./data"'), ('num_shards', '4'), ('kmeans_iters', '20'), ('kmeans_seed', '3735928559'), ('kmeans_sample_size', 'null'), ('recall_sample_size', 'null'),
+('recall_k', '10'), ('nprobe', '2'), ('candidate_shards', '0'), ('max_vectors_per_shard', '0'), ('pq_enabled', 'false'), ('pq_num_subspaces', '8'), ('pq_codebook_size', '256'), ('shard_cache_capacity', '128'),
+('prefetch.enabled', 'false'), ('prefetch.min_query_count', '3')) t(name, value)""",
+    "q_generate_gaussian": """WITH b AS (SELECT id, j, ('0x' || substr(md5('42:u:' || id || ':' || j), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u, ('0x' || substr(md5('42:v:' || id || ':' || j), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS w FROM range(0, 1000) r(id), range(0, 16) c(j))
+SELECT id, '{"idx":' || id || '}' AS metadata, j::INTEGER AS i, round((sqrt(ln(1.0 - u) * -2) * cos(w * 6.283185307179586))::FLOAT::DOUBLE, 4) + 0.0 AS x FROM b""",
 }

@@ -20,7 +20,7 @@ from .operators.scan import knn
 from .plans import distributed, validation
 from .plans.build import fingerprints
 from .plans.cache import replay
-from .plans.config import FanOutPolicy, HybridRankingPolicy
+from .plans.config import FanOutPolicy, HybridRankingPolicy, PqParams
 from .sources import generate, ingest
 from .sources.layout import PATHS, key
 
@@ -200,15 +200,22 @@ def codebook(spark: SparkSession, v: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "m int, code int, centroid array<double>")
 
 
+def _book(book: DataFrame) -> DataFrame:
+    return book.select("m", "code", F.posexplode("centroid").alias("i", "x")).select("m", "code", "i", (F.round("x", 4) + F.lit(0.0)).alias("x"))
+
+
 def q_pq_train_step(spark, sf):
     v = vectors(spark, sf)
-    width = DIMS // PQ_M
-    out = []
-    for m in range(PQ_M):
-        part = v.select("id", F.slice("data", m * width + 1, width).alias("data"))
-        first = [(r.code, list(r.centroid)) for r in codebook(spark, v).where(F.col("m") == m).orderBy("code").collect()]
-        out += [(m, code, i, round(x, 4) + 0.0) for code, c in ivf.lloyd_step(part, first) for i, x in enumerate(c)]
-    return spark.createDataFrame(out, "m int, code int, i int, x double")
+    return _book(pq.table(spark, pq.lloyd_step(v, pq.loaded(codebook(spark, v)))))
+
+
+def q_pq_train(spark, sf):
+    return _book(pq.train(vectors(spark, sf), PqParams(PQ_M, PQ_K), 2, SEED))
+
+
+def q_kmeans_sampled(spark, sf):
+    """One step over a sample of 100 vectors."""
+    return _long(ivf.kmeans(vectors(spark, sf), 4, 1, SEED, 100), 4)
 
 
 def q_pq_encode(spark, sf):
@@ -415,14 +422,6 @@ def q_worker_plan(spark, sf):
     return distributed.assignments(centroids(vectors(spark, sf)), 3)
 
 
-def q_worker_merge(spark, sf):
-    """What the workers' outputs come to: as many rows as vectors, each shard once."""
-    v = vectors(spark, sf)
-    c = centroids(v)
-    out = ivf.summary(ivf.assign(v, c)).join(distributed.assignments(c, 3), "shard_id")
-    return out.groupBy("worker_id").agg(F.count("*").alias("num_shards"), F.sum("vector_count").alias("vector_count"), F.min("shard_id").alias("first_shard"))
-
-
 def q_worker_coverage(spark, sf):
     """Outputs that lost shard 4, moved shard 2 to worker 7, repeat shard 1 and have one too many."""
     plan = distributed.assignments(centroids(vectors(spark, sf)), 3)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from . import queries as over_tables
+from . import stored
 from .oracles import SQL
-from .queries import QUERIES
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return over_tables.QUERIES | stored.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
