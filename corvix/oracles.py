@@ -217,8 +217,8 @@ FROM b, range(0, 128) c(j)""",
     "q_ingest_jsonl": f"WITH {EMB} SELECT id, coalesce({META}, 'null') AS metadata, (i - 1)::INTEGER AS i, v[i]::FLOAT::DOUBLE AS x FROM emb, range(1, 65) r(i)",
     "q_ingest_bad_lines": "SELECT lang IS NULL OR lang NOT IN ('fr', 'de') AS ok, count(*) AS lines FROM documents GROUP BY 1",
     "q_index_shards": f"WITH {BUILT} SELECT shard_id, n AS vector_count, 32 + 64 * 4 + n * (8 + 4 * 64) AS bytes FROM sizes",
-    "q_index_manifest": f"WITH {BUILT} SELECT 'latest' AS alias, 'i1' AS index_version, 'd1' AS dataset_version, 64 AS dims, 'euclidean' AS metric, 'ivf-flat' AS algorithm, sum(n)::BIGINT AS vector_count, count(*) AS num_shards FROM sizes",
-    "q_index_recall_estimate": f"WITH {BUILT} SELECT round(avg(hits::DOUBLE / nt), 6) AS recall, 10 AS k, 2 AS nprobe, count(*) AS sample_size FROM ({hits(knn('euclidean'), search('euclidean'))})".replace("FROM emb WHERE id % 100 = 0", "FROM emb ORDER BY md5('44:' || id), id LIMIT 20"),
+    "q_index_manifest": f"WITH {BUILT} SELECT 'latest' AS alias, 'i1' AS index_version, 'd1' AS dataset_version, 64::BIGINT AS dims, 'euclidean' AS metric, 'ivf-flat' AS algorithm, sum(n)::BIGINT AS vector_count, count(*) AS num_shards FROM sizes",
+    "q_index_recall_estimate": f"WITH {BUILT} SELECT round(avg(hits::DOUBLE / nt), 6) AS recall, 10::BIGINT AS k, 2::BIGINT AS nprobe, count(*) AS sample_size FROM ({hits(knn('euclidean'), search('euclidean'))})".replace("FROM emb WHERE id % 100 = 0", "FROM emb ORDER BY md5('44:' || id), id LIMIT 20"),
     "q_index_search": f"WITH {BUILT} SELECT s.*, {META} AS metadata FROM ({search('euclidean')}) s JOIN emb USING (id)",
     "q_worker_merge": f"WITH {BUILT} SELECT (shard_id % 3)::INTEGER AS worker_id, count(*) AS num_shards, sum(n)::BIGINT AS vector_count, min(shard_id) AS first_shard FROM sizes GROUP BY 1",
     "q_index_validate": "SELECT 'shard_centroid_mismatch' AS kind, 'shard-0001' AS key, 'present' AS expected, 'present' AS actual UNION ALL SELECT 'artifact_missing', 'datasets/d1/metadata', 'present', 'absent'",
