@@ -59,25 +59,53 @@ def entries(word: str) -> set[str]:
     return out
 
 
-def _words(texts: list[str]) -> set[str]:
-    return {plain(w) for t in texts for w in t.split()}
+def _code(entry: str) -> int:
+    return xxhash.xxh3_64_intdigest(entry)
+
+
+class _Coded(dict):
+    """What words as they stand in texts may be listed by, and 64-bit hashes of that, each word worked out once."""
+
+    def __missing__(self, raw: str) -> tuple[list[str], list[int]]:
+        if len(self) >= MEMO:
+            self.clear()
+        word = plain(raw)
+        found = sorted(entries(word)) if len(word) >= 3 and any(c.isalpha() for c in word) else []
+        self[raw] = out = (found, [_code(e) for e in found])
+        return out
 
 
-def _entries(words: set[str]) -> set[str]:
-    found: set[str] = set()
-    for word in words:
-        if len(word) >= 3 and any(c.isalpha() for c in word):
-            found |= entries(word)
-    return found
+class Reading:
+    """What lexicons need to know of a fit's texts. Its lexicons share texts, so each is read once."""
 
+    def __init__(self) -> None:
+        self.words = _Coded()
+        self._codes: dict[str, np.ndarray] = {}
+        self._signed: dict[str, np.ndarray] = {}
 
-def _code(entry: str) -> int:
-    return xxhash.xxh3_64_intdigest(entry)
+    def codes(self, text: str) -> np.ndarray:
+        """Hashes of what a text's words may be listed by, sorted, each once."""
+        if text not in self._codes:
+            found: set[int] = set()
+            for raw in set(text.split()):
+                found.update(self.words[raw][1])
+            out = np.fromiter(found, np.uint64, len(found))
+            out.sort()
+            self._codes[text] = out
+        return self._codes[text]
 
+    def listed(self, texts: list[str], fits: set[int]) -> list[str]:
+        """What the texts' words may be listed by, of those whose hashes are in `fits`."""
+        out: set[str] = set()
+        for raw in {w for t in texts for w in t.split()}:
+            names, codes = self.words[raw]
+            out.update(e for e, c in zip(names, codes) if c in fits)
+        return sorted(out)
 
-def _codes(words: set[str]) -> np.ndarray:
-    """64-bit hashes of what words may be listed by, each once."""
-    return np.unique(np.fromiter(map(_code, _entries(words)), np.uint64))
+    def signature(self, text: str) -> np.ndarray:
+        if text not in self._signed:
+            self._signed[text] = _signature([plain(w) for w in text.split()])
+        return self._signed[text]
 
 
 _TIMES = np.random.default_rng(1).integers(1, 2**63, (2, HASHES), np.uint64) | np.uint64(1)
@@ -94,9 +122,9 @@ def _signature(words: list[str], size: int = 4096) -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def copies(texts: list[str]) -> list[int]:
+def copies(texts: list[str], read: Reading | None = None) -> list[int]:
     """The group of each text: those linked by three eighths of their runs of three words or more, by signature, are one."""
-    parent = list(range(len(texts)))
+    read, parent = read or Reading(), list(range(len(texts)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -105,7 +133,7 @@ def copies(texts: list[str]) -> list[int]:
         return i
 
     long = [i for i, t in enumerate(texts) if len(t.split()) >= COPIED]
-    signed = np.array([_signature([plain(w) for w in texts[i].split()]) for i in long], np.uint32).reshape(-1, HASHES)
+    signed = np.array([read.signature(texts[i]) for i in long], np.uint32).reshape(-1, HASHES)
     for k, i in enumerate(long):
         for other in np.flatnonzero(np.count_nonzero(signed[k + 1 :] == signed[k], 1) >= SHARED).tolist():
             parent[root(long[k + 1 + other])] = root(i)
@@ -122,29 +150,35 @@ class Lexicon:
     while those that always stand in the same phrase are.
     """
 
-    def __init__(self, texts: list[str], labels: np.ndarray, covers: int = 3, least: int = 3, most: int = 400) -> None:
+    def __init__(self, texts: list[str], labels: np.ndarray, read: Reading | None = None, covers: int = 3, least: int = 3, most: int = 400) -> None:
         self.entries: set[str] = set()
+        read = read or Reading()
         bad = list(dict.fromkeys(t for t, label in zip(texts, labels) if label))
         if not bad:
             return
         groups: list[list[str]] = []
-        for text, group in zip(bad, copies(bad)):
+        for text, group in zip(bad, copies(bad, read)):
             if group == len(groups):
                 groups.append([])
             groups[group].append(text)
-        held = [_codes(_words(group)) for group in groups]
+        held = [np.unique(np.concatenate([read.codes(t) for t in group])) for group in groups]
         least = max(least, len(groups) // RARE)
         codes, n_bad = np.unique(np.concatenate(held), return_counts=True)
         codes, n_bad = codes[n_bad >= least], n_bad[n_bad >= least]
+        if not len(codes):
+            return
         n_good = np.zeros(len(codes), np.int64)
         for text in dict.fromkeys(t for t, label in zip(texts, labels) if not label):
-            n_good[np.isin(codes, _codes(_words([text])), assume_unique=True)] += 1
+            own = read.codes(text)
+            own = own[own <= codes[-1]]
+            at = np.searchsorted(codes, own)
+            n_good[at[codes[at] == own]] += 1
         all_good = max(1, sum(1 for label in labels if not label))
         fits = set(codes[n_bad / len(groups) >= 50 * n_good / all_good].tolist())
         where: dict[str, list[int]] = {}
         of: list[list[str]] = []
         for i, group in enumerate(groups):
-            of.append([] if fits.isdisjoint(held[i].tolist()) else sorted(e for e in _entries(_words(group)) if _code(e) in fits))
+            of.append([] if fits.isdisjoint(held[i].tolist()) else read.listed(group, fits))
             for e in of[i]:
                 where.setdefault(e, []).append(i)
         cover = [0] * len(groups)
@@ -312,10 +346,10 @@ class Model:
             for i, (t, b) in enumerate(rows):
                 if b == label:
                     fold[i] = names[t]
-        x = np.zeros((len(y), len(FEATURES)))
+        x, read = np.zeros((len(y), len(FEATURES))), Reading()
         for k in range(FOLDS):
             rest = np.flatnonzero(fold != k)
-            flags = _Flags(Lexicon([texts[i] for i in rest], y[rest]))
+            flags = _Flags(Lexicon([texts[i] for i in rest], y[rest], read))
             for i in np.flatnonzero(fold == k):
                 x[i] = features(texts[i].encode(), flags)
         margins = np.zeros(len(y))
@@ -323,7 +357,7 @@ class Model:
             margins[fold == k] = Boosted(x[fold != k], y[fold != k]).margins(x[fold == k])
         self.points = isotonic(margins, y)
         self.trees = Boosted(x, y)
-        self.lexicon = Lexicon(texts, y)
+        self.lexicon = Lexicon(texts, y, read)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.trees.margins(x), *self.points), 0.0, 1.0)
