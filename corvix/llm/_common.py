@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than this share of the rows, or more rows than a task should have.
@@ -92,6 +92,24 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], n: str, salt_
     return big.join(small, [*keys, "_salt"], how).drop("_salt")
 
 
+def least_hashed(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """The `most` rows of each group (not null) whose doc_ids have the smallest hashes, and `at`, their place from 1 on.
+
+    rows is a table, read three times, with each (group, doc_id) once. A count of the groups tells the share of the
+    hashes below which twice as many rows and 64 more are expected, and only these are ranked; that fewer than `most`
+    are there has a chance of less than 1e-20. So the task that ranks a group gets as many of its rows at any size.
+    Groups of less than a 65,536th of the rows are ranked as they are, as the counts are broadcast.
+    """
+    enough = 2 * most + 64
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    large = F.broadcast(sizes.where(F.col("_n") > max(enough, rows.count() >> 16)))
+    order = F.xxhash64(F.lit("sample"), "doc_id")
+    low = (order / 2.0**64 + 0.5) * F.col("_n") < enough
+    few = rows.join(large, group, "left").where(F.col("_n").isNull() | low).drop("_n")
+    at = F.row_number().over(Window.partitionBy(group).orderBy(order, "doc_id"))
+    return few.withColumn("at", at).where(F.col("at") <= most)
+
+
 #: What makes a worker forget things that it keeps for its next tasks.
 FORGET: list[Callable[[], None]] = []
 

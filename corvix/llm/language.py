@@ -9,11 +9,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import as_bytes, dropped, local_table, written
+from ._common import as_bytes, dropped, least_hashed, local_table, written
 from .toxicity import held_out
 
 #: Labelled documents that the model is fitted on at most: in all, and of each language.
@@ -178,12 +178,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE, per_language: int = PER_LANGUAGE)
     """
     known = docs.where("doc_id is not null and lang is not null").where(~held_out())
     known = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    able = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id").distinct()
-    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id"))
-    first = written(able.withColumn("at", at).where(F.col("at") <= per_language), "languages")
+    able = written(known.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id").distinct(), "able")
+    first = written(least_hashed(able, "lang", per_language), "languages")
     each = max(2, sample // max(1, first.select("lang").distinct().count()))
     ids = [(r.doc_id, r.lang) for r in first.where(F.col("at") <= each).collect()]
-    dropped(first)
+    dropped(able, first)
     if not ids:
         return Model([])
     chosen = F.broadcast(local_table(docs.sparkSession, {"doc_id": pa.array([i for i, _ in ids], pa.int64()), "lang": pa.array([x for _, x in ids], pa.string())}))

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import each_text, local_table, released, trimmed
+from ._common import dropped, each_text, least_hashed, local_table, released, trimmed, written
 
 #: Labelled rows of each class that the model is fitted on at most, those with the smallest hashes.
 SAMPLE = 3000
@@ -377,9 +377,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     read = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = known.where("label in (0, 1)").join(read.select("doc_id"), "doc_id", "left_semi")
-    at = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id"))
-    ids = known.withColumn("at", at).where(F.col("at") <= sample).select("doc_id", "label").collect()
+    known = written(known.where("label in (0, 1)").join(read.select("doc_id"), "doc_id", "left_semi"), "known")
+    ids = least_hashed(known, "label", sample).select("doc_id", "label").collect()
+    dropped(known)
     if not ids:
         return Model([])
     chosen = F.broadcast(local_table(spark, {"doc_id": pa.array([r.doc_id for r in ids], pa.int64()), "label": pa.array([r.label for r in ids], pa.int32())}))

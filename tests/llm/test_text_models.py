@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvix.llm import decontaminate, language, toxicity
+from corvix.llm import _common, decontaminate, language, toxicity
 
 VOCABULARY = {
     "en": "the of and to in that with which would through thing house water weather should think".split(),
@@ -306,3 +306,17 @@ def test_toxicity_by_words(spark, toxic):
     some = docs.where("doc_id is null or doc_id % 7 = 0 or doc_id in (2000, 2001, 2002, 2004)")
     for r in toxicity.score(some.union(some.limit(5)), model).collect():
         assert r.score == pytest.approx(min(1, max(0, naive_toxicity(model, r.text))), abs=1e-9)
+
+
+def test_least_hashed(spark, tmp_path):
+    spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "few").when(F.col("id") % 3 == 0, "some").otherwise("most").alias("g")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    hashed = rows.select("g", "doc_id", F.xxhash64(F.lit("sample"), "doc_id").alias("h")).collect()
+    for most in (1, 50, 700):
+        wanted = set()
+        for g in ("few", "some", "most"):
+            best = sorted((r.h, r.doc_id) for r in hashed if r.g == g)[:most]
+            wanted |= {(g, i, n) for n, (_, i) in enumerate(best, 1)}
+        found = _common.least_hashed(rows, "g", most)
+        assert {(r.g, r.doc_id, r.at) for r in found.collect()} == wanted
+    assert _common.least_hashed(rows.limit(0), "g", 5).count() == 0
