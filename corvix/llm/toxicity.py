@@ -19,6 +19,8 @@ SAMPLE = 3000
 FOLDS = 3
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 MEMO = 300_000
+#: Words whose hashes the driver keeps during a fit.
+WORDS_KEPT = 50_000
 #: Toxic documents, each group of near copies as one, for one that an entry adds at least.
 RARE = 150
 #: Hashes of a signature, and how many of them two near copies share at least: edits cost three runs of words each.
@@ -63,15 +65,19 @@ def _code(entry: str) -> int:
     return xxhash.xxh3_64_intdigest(entry)
 
 
+def _listed(raw: str) -> set[str]:
+    """What a word as it stands in texts may be listed by."""
+    word = plain(raw)
+    return entries(word) if len(word) >= 3 and any(c.isalpha() for c in word) else set()
+
+
 class _Coded(dict):
-    """What words as they stand in texts may be listed by, and 64-bit hashes of that, each word worked out once."""
+    """64-bit hashes of what words may be listed by, kept while there are few words."""
 
-    def __missing__(self, raw: str) -> tuple[list[str], list[int]]:
-        if len(self) >= MEMO:
+    def __missing__(self, raw: str) -> tuple[int, ...]:
+        if len(self) >= WORDS_KEPT:
             self.clear()
-        word = plain(raw)
-        found = sorted(entries(word)) if len(word) >= 3 and any(c.isalpha() for c in word) else []
-        self[raw] = out = (found, [_code(e) for e in found])
+        self[raw] = out = tuple(map(_code, _listed(raw)))
         return out
 
 
@@ -88,7 +94,7 @@ class Reading:
         if text not in self._codes:
             found: set[int] = set()
             for raw in set(text.split()):
-                found.update(self.words[raw][1])
+                found.update(self.words[raw])
             out = np.fromiter(found, np.uint64, len(found))
             out.sort()
             self._codes[text] = out
@@ -98,8 +104,8 @@ class Reading:
         """What the texts' words may be listed by, of those whose hashes are in `fits`."""
         out: set[str] = set()
         for raw in {w for t in texts for w in t.split()}:
-            names, codes = self.words[raw]
-            out.update(e for e, c in zip(names, codes) if c in fits)
+            if not fits.isdisjoint(self.words[raw]):
+                out.update(e for e in _listed(raw) if _code(e) in fits)
         return sorted(out)
 
     def signature(self, text: str) -> np.ndarray:
