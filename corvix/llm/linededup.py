@@ -46,12 +46,13 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: in
 
     counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     total = lines.count()
-    hot = written(counts.where(F.col("n") > hot_threshold(total)).select("h1", "h2"), "hot")
+    # What is broadcast is one file: Hadoop starts up to three processes (chmod) for each file that a task writes locally.
+    hot = written(counts.where(F.col("n") > hot_threshold(total)).select("h1", "h2").repartition(1), "hot")
     rest, gone_hot = lines, None
     if not hot.isEmpty():
         keys = F.broadcast(hot)
         per_doc = lines.join(keys, ["h1", "h2"]).groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        stats = written(per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")), "stats")
+        stats = written(per_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")).repartition(1), "stats")
         later = (F.col("docs") >= least_docs) & ~F.col("doc_id").eqNullSafe(F.col("last"))
         gone_hot = lines.join(F.broadcast(stats), ["h1", "h2"]).where(later).select("doc_id", "row_hash", "pos")
         rest = lines.join(keys, ["h1", "h2"], "left_anti")

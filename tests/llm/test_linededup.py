@@ -56,6 +56,25 @@ def test_lines(spark, rows, monkeypatch, floor):
     assert hashed == {(i, hashlib.sha256(t.encode()).hexdigest()) for i, _, _, t in brute(rows)}
 
 
+def test_broadcast_tables_are_one_file(spark, rows, monkeypatch):
+    monkeypatch.setattr(_common, "HOT_FLOOR", 5)
+    made = {}
+
+    def kept(df, name):
+        made[name] = _common.written(df, name)
+        return made[name]
+
+    monkeypatch.setattr(linededup, "written", kept)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], SCHEMA).repartition(4)
+        out = linededup.dedup_lines(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out), key=str) == brute(rows)
+    assert {name: (made[name].count() > 4, len(made[name].inputFiles())) for name in ("hot", "stats")} == {"hot": (True, 1), "stats": (True, 1)}
+
+
 def test_equal_rows_and_empty_table(spark):
     line = "a line of more than twenty characters"
     docs = spark.createDataFrame([(1, line), (1, line), (2, line), (3, line), (3, line)], "doc_id long, text string")
