@@ -136,7 +136,7 @@ def _pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...], end: int, kep
 
         place = gathered = 0
         for batch in batches:
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), ids_of(batch["text"])):
                 ids += last
                 held[place] = [doc_id, ids, len(ids) // 4]
                 put(packer.route(place, len(ids) // 4))

@@ -3,45 +3,62 @@
 from __future__ import annotations
 
 import os
-import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ._common import FORGET
 
-#: A space between two characters that are no white space. Byte-level BPE starts a piece at each.
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
-_RUN = re.compile(r"\s\s")
-#: Marks that are a piece of their own, all together, where they follow a letter and end a part.
-_MARKS = string.punctuation
-#: Parts whose ids a worker keeps (about 200 bytes each); when there are more, those of over SHORT characters go.
+#: What a byte is: white space, a letter, a mark or none of these, for ASCII.
+_WHITE, _LETTER, _MARK = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(9, 14), *range(28, 33)]] = _WHITE
+_KIND[list(string.ascii_letters.encode())] = _LETTER
+_KIND[list(string.punctuation.encode())] = _MARK
+#: First bytes of other letters (U+00C0 to U+017F, but for two signs) and of other white space.
+_LETTER_LEADS, _WHITE_LEADS = (0xC3, 0xC5), (0xC2, 0xE1, 0xE2, 0xE3)
+_SIGNS = "\u00d7\u00f7"
+_WHITES = [c.encode() for c in "\u0085\u00a0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+#: Parts whose ids a worker keeps (about 200 bytes each); when there are more, those of over SHORT bytes go.
 KEPT, SHORT = 1_100_000, 7
-#: Characters of texts worked on at once, if no text is longer, and new parts encoded as one text.
-SLICE, TOGETHER = 1 << 20, 500
-
-
-class _Known(dict):
-    """Ids by part. A part that is new gets an empty array, to be filled before anything is read."""
-
-    def __init__(self, given: object = ()) -> None:
-        super().__init__(given)
-        self.new: dict[str, bytearray] = {}
-
-    def __missing__(self, part: str) -> bytearray:
-        self[part] = self.new[part] = out = bytearray()
-        return out
+#: Bytes of texts worked on at once, if no text is longer, and new parts encoded as one text.
+SLICE, TOGETHER = 8 << 20, 100
+
+
+def _cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places where parts begin in texts that follow each other, each after a line feed; begins has these line feeds' places."""
+    kind = _KIND[data]
+    if data.max(initial=0) >= 0x80:
+        lead = np.flatnonzero((data >= _LETTER_LEADS[0]) & (data <= _LETTER_LEADS[1]))
+        kind[lead + 1] = _LETTER
+        for sign in _SIGNS.encode().split(b"\xc3")[1:]:
+            kind[lead[(data[lead] == 0xC3) & (data[lead + 1] == sign[0])] + 1] = 0
+        lead = np.flatnonzero(np.isin(data, _WHITE_LEADS))
+        first, second, third = (data.take(lead + k, mode="clip") for k in range(3))
+        for white in _WHITES:
+            own = lead[(first == white[0]) & (second == white[1]) & (len(white) == 2 or third == white[-1])]
+            for k in range(len(white)):
+                kind[own + k] = _WHITE
+    cut = np.zeros(len(data), bool)
+    white = kind == _WHITE
+    cut[1:-1] = ((data[1:-1] == 32) | (data[1:-1] == 10)) & ~white[:-2] & ~white[2:]
+    cut[1:] |= (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+    cut[begins] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids, without special tokens.
 
     Byte-level BPE cuts a text by a pattern into pieces and encodes these one by one. A single white-space
-    character between two others always ends a piece; a space then belongs to the next one, a line
-    feed is a piece of its own. So the parts between them have the same ids alone as within the text, and
-    those of a part are kept for its next occurrence; so have marks that follow a letter at a part's end.
+    character between two others always begins a piece; a space then belongs to the next one, a line
+    feed is a piece of its own. A mark after a letter begins one, too. So the parts between such places have the same
+    ids alone as within the text, and those of a part are kept for its next occurrence. Many texts are cut at once, each
+    after a line feed, which their ids then leave out, and each part that occurs in them is looked up once.
     New parts are encoded some hundreds at a time as one text, where what separates them is found again: the
     only token of a part after a space that starts with one is its first. Texts with an added token's
     name in them are encoded whole.
@@ -60,14 +77,13 @@ class Encoder:
         self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._ids("\n")
-        self.known, self.heads, self.marks = _Known(), _Known(), _Known()
+        self.known: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _together(self, parts: list[str], spaced: bool) -> dict[str, bytes]:
-        """Ids of parts, each after a space or at the start of a line."""
-        found: dict[str, bytes] = {}
+    def _together(self, parts: list[str], spaced: bool) -> Iterator[bytes]:
+        """Ids of parts without white space, each after a space or at the start of a line."""
         groups = [parts[at : at + TOGETHER] for at in range(0, len(parts), TOGETHER)]
         texts = [f" {' '.join(g)}" if spaced else "\n".join(g) for g in groups]
         feed = np.frombuffer(self.feed, "<u4")[0]
@@ -78,78 +94,66 @@ class Encoder:
             if len(begins) != len(group):
                 raise ValueError("parts can't be told apart")
             data = ids.tobytes()
-            for part, a, b in zip(group, (4 * begins).tolist(), (4 * ends).tolist()):
-                found[part] = data[a:b]
-        return found
+            for a, b in zip((4 * begins).tolist(), (4 * ends).tolist()):
+                yield data[a:b]
 
-    def _learn(self, known: _Known, spaced: bool) -> _Known:
-        """Ids of the parts that were met first since the last call, put where they were asked for."""
-        new, known.new = known.new, {}
-        marked, plain = [], set()
+    def _learned(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of parts; those that begin with a line feed have its id first."""
+        found: dict[bytes, bytes] = {}
+        spaced, fed = {}, {}
         for part in new:
-            start = part.rstrip(_MARKS)
-            if len(start) < len(part) and start[-1:].isalpha():
-                marked.append((part, start, part[len(start) :]))
-                if start in new or start not in known:
-                    plain.add(start)
+            text = part.decode()
+            tail = text[1:]
+            if text[0] in " \n" and tail.split() == [tail]:
+                (spaced if text[0] == " " else fed)[part] = tail
+            elif text[0] == "\n":
+                found[part] = self.feed + self._ids(tail)
             else:
-                plain.add(part)
-        found = self._together(list(plain), spaced)
-        for part, start, marks in marked:
-            tail = self.marks.get(marks)
-            if tail is None:
-                tail = self.marks[marks] = self._ids(marks)
-            found[part] = (found.get(start) or known[start]) + tail
-        for part, asked in new.items():
-            asked.extend(found[part])
-        most = self.kept or KEPT
-        if len(known) > most:
-            short = {k: v for k, v in known.items() if len(k) <= SHORT and k not in new}
-            known = _Known(short if len(short) <= most // 2 else ())
-        if len(self.marks) > KEPT:
-            self.marks = _Known()
-        known.update(found)
-        return known
-
-    def _several(self, texts: list[str]) -> Iterator[bytes]:
-        get, head = self.known.__getitem__, self.heads.__getitem__
-        work = []
-        for text in texts:
-            if any(token in text for token in self.added):
-                work.append([self._ids(text)])
-                continue
-            if _RUN.search(text) or text[0].isspace() or text[-1].isspace():
-                first, *parts = _BREAK.split(text)
-                if any(" " in p for p in parts) or not first:  # such texts are rare
-                    work.append([self._ids(text)])
-                else:
-                    work.append([self._ids(first), *map(get, parts)])
-                continue
-            ids: list[bytes] = []
-            for line in text.split("\n"):
-                parts = line.split(" ")
-                ids.append(head(parts[0]))
-                ids.extend(map(get, parts[1:]))
-                ids.append(self.feed)
-            ids.pop()
-            work.append(ids)
-        if self.known.new:
-            self.known = self._learn(self.known, True)
-        if self.heads.new:
-            self.heads = self._learn(self.heads, False)
-        return map(b"".join, work)
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+                found[part] = self._ids(text)
+        found.update(zip(spaced, self._together(list(spaced.values()), True)))
+        found.update(zip(fed, map(self.feed.__add__, self._together(list(fed.values()), False))))
+        return found
+
+    def _looked_up(self, parts: list[bytes]) -> list[bytes]:
+        ids = list(map(self.known.get, parts))
+        new = [part for part, own in zip(parts, ids) if own is None]
+        if new:
+            found = self._learned(new)
+            ids = [found[part] if own is None else own for part, own in zip(parts, ids)]
+            most = self.kept or KEPT
+            if len(self.known) > most:
+                short = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+                self.known = short if len(short) <= most // 2 else {}
+            self.known.update(found)
+        return ids
+
+    def _several(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a large_binary array without nulls."""
+        joined = pc.binary_join_element_wise(pa.scalar(b"\n", texts.type), texts, pa.scalar(b"", texts.type))
+        begins = np.frombuffer(joined.buffers()[1], np.int64, len(texts) + 1)
+        data = joined.buffers()[2].slice(0, int(begins[-1]))
+        cuts = _cuts(np.frombuffer(data, np.uint8), begins[:-1])
+        parts = pa.Array.from_buffers(texts.type, len(cuts), [None, pa.py_buffer(np.append(cuts, begins[-1])), data]).dictionary_encode()
+        ids = pa.array(self._looked_up(parts.dictionary.to_pylist()), texts.type).take(parts.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(cuts) + 1)[np.searchsorted(cuts, begins)].tolist()
+        out = memoryview(ids.buffers()[2])
+        return (bytes(out[a + len(self.feed) : b]) for a, b in zip(ends, ends[1:]))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
         """The ids of each text; null and empty ones have none."""
+        column = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_binary()), b"")
+        sizes = pc.binary_length(column).to_numpy()
         at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end] or "") <= SLICE):
-                size += len(texts[end] or "")
-                end += 1
-            found = self._several([t for t in texts[at:end] if t])
-            for t in texts[at:end]:
-                yield next(found) if t else b""
+        while at < len(column):
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + SLICE]), SLICE, "right")))
+            some, whole = column.slice(at, end - at), {}
+            for token in self.added:
+                for k in np.flatnonzero(pc.match_substring(some, token).to_numpy(zero_copy_only=False)).tolist():
+                    whole[k] = self._ids(some[k].as_py().decode())
+            if whole:
+                some = pc.if_else(pa.array([k in whole for k in range(len(some))]), pa.scalar(b"", some.type), some)
+            for k, ids in enumerate(self._several(some)):
+                yield whole.get(k, ids)
             at = end
 
 

@@ -20,6 +20,8 @@ END = 2
 BLOCK = 1 << 20
 #: Bits between two entries of a rank directory, and of a plane that are compressed together; one divides the other.
 STRIDE, CHUNK = 1 << 12, 1 << 16
+#: Ids that are moved at once, so that their places stay in a core's cache.
+MOVED = 1 << 15
 #: Bytes of documents' files for a shard, if there would be fewer than spark.sql.shuffle.partitions otherwise.
 SHARD_BYTES = 256 << 20
 
@@ -34,9 +36,9 @@ class Plane:
 
     @classmethod
     def of(cls, bits: np.ndarray) -> Plane:
-        n = len(bits)
-        ones = np.add.reduceat(bits, np.arange(0, n, STRIDE), dtype=np.int64) if n else np.zeros(0, np.int64)
-        packed, compress = np.packbits(bits).tobytes(), zstandard.ZstdCompressor(level=1).compress
+        n, octets = len(bits), np.packbits(bits)
+        ones = np.add.reduceat(np.bitwise_count(octets), np.arange(0, len(octets), STRIDE // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
+        packed, compress = octets.tobytes(), zstandard.ZstdCompressor(level=1).compress
         chunks = [compress(packed[at : at + CHUNK // 8]) for at in range(0, len(packed), CHUNK // 8)]
         return cls(n, np.concatenate(([0], np.cumsum(ones))).astype("<u4"), chunks)
 
@@ -90,11 +92,18 @@ class WaveletMatrix:
     def of(cls, ids: np.ndarray) -> WaveletMatrix:
         n, most = len(ids), int(ids.max(initial=0))
         x = ids.astype(np.uint16 if most < 1 << 16 else np.uint32)
-        planes = []
+        planes, after = [], np.empty_like(x)
         for shift in range(max(1, most.bit_length()) - 1, -1, -1):
             bits = (x >> shift & 1).astype(bool)
             planes.append(Plane.of(bits))
-            x = np.concatenate((x.take(np.flatnonzero(~bits)), x.take(np.flatnonzero(bits))))
+            zero, one = 0, planes[-1].zeros
+            for at in range(0, n if shift else 0, MOVED):  # nothing follows the last plane
+                own, part = bits[at : at + MOVED], x[at : at + MOVED]
+                zeros, ones = np.flatnonzero(~own), np.flatnonzero(own)
+                part.take(zeros, out=after[zero : zero + len(zeros)], mode="clip")
+                part.take(ones, out=after[one : one + len(ones)], mode="clip")
+                zero, one = zero + len(zeros), one + len(ones)
+            x, after = after, x
         return cls(planes, n)
 
     def access(self, at: int) -> int:
@@ -134,13 +143,17 @@ class WaveletMatrix:
 
     def decoded(self) -> np.ndarray:
         """The whole sequence: planes are undone from the last to the first."""
-        x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for shift, plane in enumerate(reversed(self.planes)):
+        x = self.planes[-1].whole().astype(np.uint16 if len(self.planes) <= 16 else np.uint32)
+        before = np.empty_like(x)
+        for shift, plane in enumerate(self.planes[-2::-1], 1):
             bits = plane.whole().view(bool)
-            ones = np.flatnonzero(bits)
-            before = np.empty_like(x)
-            before[np.flatnonzero(~bits)], before[ones] = x[: self.n - len(ones)], x[self.n - len(ones) :] | 1 << shift
-            x = before
+            zero, one = 0, plane.zeros
+            for at in range(0, self.n, MOVED):
+                own, part = bits[at : at + MOVED], before[at : at + MOVED]
+                zeros, ones = np.flatnonzero(~own), np.flatnonzero(own)
+                part[zeros], part[ones] = x[zero : zero + len(zeros)], x[one : one + len(ones)] | 1 << shift
+                zero, one = zero + len(zeros), one + len(ones)
+            x, before = before, x
         return x
 
     def to_bytes(self) -> bytes:
@@ -198,7 +211,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END) ->
         listed: list[tuple[int | None, int]] = []
         room, number, before, shard, first = BLOCK, 0, 0, 0, 0
         for batch in batches:
-            for shard, doc_id, ids in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
+            for shard, doc_id, ids in zip(batch["shard"].to_pylist(), batch["doc_id"].to_pylist(), ids_of(batch["text"])):
                 ids += last
                 at, n = 0, len(ids) // 4
                 if room < n <= BLOCK:

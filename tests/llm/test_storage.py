@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,24 @@ def test_encoder(encoder, monkeypatch):
     assert list(encoder.encode(texts)) == [whole(encoder, t) for t in texts]
 
 
+def test_encoder_keeps_a_word_once_whatever_marks_follow(encoder):
+    with open(PATH) as f:
+        own = tokenizing.Encoder(f.read())
+    texts = ["alpha, alpha. alpha!\nalpha alpha?! alpha", "alpha. caf\u00e9, caf\u00e9; caf\u00e9"]
+    assert list(own.encode(texts)) == [whole(encoder, t) for t in texts]
+    assert sorted(own.known) == sorted(p.encode() for p in ["\nalpha", " alpha", " caf\u00e9", ",", ".", "!", "?!", ";"])
+
+
+def test_encoder_cuts_at_no_other_white_space(encoder):
+    odd = [" ", "\n", *"\t\r\x1c\x85\xa0\u1680\u180e\u2000\u200a\u200b\u2028\u202f\u205f\u3000\u00d7\u00f7\u00e9\u00df\u0100\u017f\u0180\u0120\u0301\u201d,.'!-_*b7", "'s", "'ll"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(odd, k=rng.randrange(9))) for _ in range(20_000)] + [a + b + c for a in odd for b in " \n,'" for c in odd]
+    want = [whole(encoder, t) for t in texts]
+    assert list(encoder.encode(texts)) == want
+    assert list(encoder.encode(pa.array([None, *texts]).slice(9))) == want[8:]
+    assert list(encoder.encode([])) == [] and list(encoder.encode([None, None])) == [b"", b""]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = random.Random(7)
