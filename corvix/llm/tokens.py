@@ -26,7 +26,7 @@ _WHITES = [c.encode() for c in "\u0085\u00a0\u1680\u180e\u2000\u2001\u2002\u2003
 #: Parts whose ids a worker keeps (about 200 bytes each); when there are more, those of over SHORT bytes go.
 KEPT, SHORT = 1_100_000, 7
 #: Bytes of texts worked on at once, if no text is longer, and new parts encoded as one text.
-SLICE, TOGETHER = 8 << 20, 100
+SLICE, TOGETHER = 4 << 20, 100
 
 
 def _cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
